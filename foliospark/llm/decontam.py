@@ -79,6 +79,12 @@ def covered(hits: Column) -> Column:
     return end["n"].cast("long")
 
 
+def once(column: Column) -> Column:
+    """A column worked out once for each row: a filter above it isn't pushed down, which would put a copy of the
+    expression into each use of it, even into the loop over windows."""
+    return F.explode(F.array(column))
+
+
 def sliced(size: int):
     return lambda i: F.slice(F.col("dc__words"), i, F.lit(size))
 
@@ -105,12 +111,12 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, literal_windows: int = LITE
     """Adds dc__words, dc__hits (starts and sizes of windows that occur) and dc__found (sorted ids of their items)."""
     windows = benchmark_windows(benchmark)
     few = windows.limit(literal_windows + 1).collect()
-    docs = docs.withColumn("dc__words", words(F.col("text")))
+    docs = docs.withColumn("dc__words", once(words(F.col("text"))))
     if not few:
         return docs.withColumns({"dc__hits": F.expr(f"cast(array() as {HITS})"), "dc__found": F.expr("cast(array() as array<string>)")})
     if len(few) <= literal_windows:
         sql, items = literal_hits("dc__words", few)
-        docs = docs.withColumn("dc__hits", F.expr(sql))
+        docs = docs.withColumn("dc__hits", once(F.expr(sql)))
         found = F.array_sort(F.transform(F.filter(items, lambda it: F.arrays_overlap(it["w"], F.col("dc__hits.w"))), lambda it: it["id"]))
         return docs.withColumn("dc__found", F.when(F.size("dc__hits") > 0, found).otherwise(F.expr("cast(array() as array<string>)")))
     keyed = docs.withColumn("dc__key", row_key("text"))
