@@ -12,5 +12,6 @@ def daily(events: DataFrame) -> DataFrame:
 
 def daily_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """The same sums of a stream, by window; rows later than ``late`` behind the newest are dropped."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     w = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "event_type")
     return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.to_date("w.start").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
