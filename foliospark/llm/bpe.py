@@ -15,7 +15,9 @@ empty table gives no rows; further columns are ignored. Lone surrogates count as
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import heapq
 import json
 import mmap
 import re
@@ -36,6 +38,9 @@ from .common import batches, shared_dir, small_batches, table
 VOCABULARY = "word_bpe_49k.json"
 #: Words of the lexicon; distinct words a counting task holds before it passes them on; words a worker remembers.
 LEXICON_WORDS, HELD, REMEMBERED = 1 << 16, 400_000, 400_000
+#: Bits of an id in a packed pair, and a value above all packed pairs; bytes beyond which a word is merged by a heap.
+SHIFT = 20
+MASK, FAR, LONG = (1 << SHIFT) - 1, 1 << 2 * SHIFT, 100
 
 
 #: Text of only these is in NFC already, and Python's own regex engine cuts it as the file's pattern does, much faster.
@@ -62,12 +67,15 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.end = model["end_of_word_suffix"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.ranks = {(a, b): k for k, (a, b) in enumerate(pairs)}
+        ids = model["vocab"]
+        #: Two ids to the rank and the id of what they become, each pair packed into one number.
+        self.joins = {ids[a] << SHIFT | ids[b]: rank << SHIFT | ids[a + b] for rank, (a, b) in enumerate(pairs)}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.find = regex.compile(split["pattern"]["Regex"], regex.V0).findall
         self.plain = split["pattern"]["Regex"] == PATTERN
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.letters = byte_alphabet()
+        letters = byte_alphabet()
+        self.inner, self.last = ({b: ids[c + end] for b, c in letters.items() if c + end in ids} for end in ("", self.end))
 
     def words(self, text: str) -> Iterator[list[str] | int]:
         """Lists of words, and the ids of special tokens between them."""
@@ -82,20 +90,41 @@ class Vocabulary:
                 yield self.find(plain)
 
     def merged(self, word: str) -> list[int]:
-        """The ids of a word, by repeatedly merging its first pair of lowest rank; a merge never makes a pair of lower rank."""
-        parts = [self.letters[b] for b in word.encode("utf-8", "replace")]
-        parts[-1] += self.end
-        ranks, far = self.ranks.get, len(self.ranks)
-        each = [ranks(p, far) for p in zip(parts, parts[1:])]
+        """The ids of a word, by repeatedly merging its first pair of lowest rank."""
+        raw = word.encode("utf-8", "replace")
+        parts = [*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]]
+        if len(parts) > LONG:
+            return self.merged_by_heap(parts)
+        join, far = self.joins.get, FAR
+        each = [join(a << SHIFT | b, far) for a, b in zip(parts, parts[1:])]
         while each and (best := min(each)) < far:
             k = each.index(best)
-            parts[k] += parts.pop(k + 1)
-            del each[k]
+            parts[k] = new = best & MASK
+            del parts[k + 1], each[k]
             if k:
-                each[k - 1] = ranks((parts[k - 1], parts[k]), far)
+                each[k - 1] = join(parts[k - 1] << SHIFT | new, far)
             if k < len(each):
-                each[k] = ranks((parts[k], parts[k + 1]), far)
-        return [self.ids[p] for p in parts]
+                each[k] = join(new << SHIFT | parts[k + 1], far)
+        return parts
+
+    def merged_by_heap(self, parts: list[int]) -> list[int]:
+        """The same for a long word, in n log n steps: open pairs wait in a heap, and one that has changed is passed over."""
+        n, join = len(parts), self.joins.get
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [(v, k, parts[k], parts[k + 1]) for k in range(n - 1) if (v := join(parts[k] << SHIFT | parts[k + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            value, k, a, b = heapq.heappop(heap)
+            j = after[k]
+            if parts[k] != a or j < 0 or parts[j] != b:
+                continue
+            parts[k], parts[j], after[k] = value & MASK, -1, after[j]
+            if after[k] >= 0:
+                before[after[k]] = k
+            for x, y in ((before[k], k), (k, after[k])):
+                if x >= 0 and y >= 0 and (v := join(parts[x] << SHIFT | parts[y])) is not None:
+                    heapq.heappush(heap, (v, x, parts[x], parts[y]))
+        return [p for p in parts if p >= 0]
 
 
 def transducer(words: dict[str, list[int]]) -> bytes:
@@ -272,6 +301,7 @@ def encoded(docs: DataFrame, keep: list[str], path: str | None = None, digests:
     digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here makes cycles, and looking for them among the remembered words takes long
         vocabulary = Vocabulary(content.value)
         known = Known(vocabulary, Lexicon(SparkFiles.get(name)))
         for batch in batches(it):
