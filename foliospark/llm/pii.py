@@ -33,7 +33,8 @@ PATTERNS = {
 }
 #: A cheap test that any text with a match passes. All kinds but email also need a digit.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": "+", "iban": "[A-Z]{2}[0-9]{2}", "ssn": "-[0-9]{2}-"}
-PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+#: An octet of at most 255: one with a digit other than 0 behind any zeros, or zeros only.
+PART = "(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)|0++)"
 #: Context words that raise a span's score when they stand within CONTEXT code points before it.
 CONTEXT, RAISE, ACCEPT = 40, 0.35, 0.5
 WORDS = {

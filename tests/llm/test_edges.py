@@ -123,6 +123,18 @@ def test_pii_equals_regexes(spark):
     assert iban.select(pii.joined(F.filter("pii__spans", lambda x: x["kind"] == "iban"))).first()[0] == "iban:5:32"
 
 
+def test_pii_octets_of_zeros(spark):
+    rng = random.Random(8)
+    parts = ["0", "00", "10.0.0.1", ".", "1", "10", "199", "255", "256", "0255", "0256", "000300", " ", "x"]
+    texts = ["10.0.0.1", "192.168.0.1", "127.0.0.1", "0.0.0.0", "00.000.0.0255", "0.0.0.256", "0" * 4000 + ".0.0.1", "0." * 20000]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(600)]
+    texts += [".".join(rng.choice(["0", "00", "7", "10", "100", "255", "256", "0256"]) for _ in range(4)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.with_spans(docs).select("doc_id", pii.joined(F.filter("pii__spans", lambda x: x["k"] < 4)).alias("s")).collect()
+    assert {r.doc_id: r.s for r in rows} == {i: base_pii(t) for i, t in enumerate(texts)}
+    assert [r.text for r in pii.redact(docs.where("doc_id < 4")).orderBy("doc_id").collect()] == ["<IP>"] * 4
+
+
 def brute_decontam(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
     mine, hit, found = words(text), set(), set()
