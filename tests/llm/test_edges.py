@@ -89,6 +89,16 @@ def test_perplexity_band_rejects_noise(spark):
     assert 0 not in kept and len(kept) == 59
 
 
+def test_perplexity_band_rejects_labelled_junk(spark):
+    """Words with symbols ('word### word$$$') or bars between them, which the base rules let pass."""
+    tables = [spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels")]
+    out = quality.op1_quality(spark, "/root/testdata/sf0.01").where("not base_failed").join(tables[0].select("doc_id", "text"), "doc_id").join(tables[1], "doc_id").collect()
+    junk = [r for r in out if r.quality == 0 and re.search(r"[#$%&*]{3}|\S \| \S", r.text)]
+    clean = [r for r in out if r.quality == 1]
+    assert len(junk) >= 20 and sum(not r.kept for r in junk) >= 0.7 * len(junk)
+    assert sum(r.kept for r in clean) >= 0.95 * len(clean)
+
+
 def base_secrets(text):
     kinds = (("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 12), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 16))
     found = sorted((m.start(), k, n, m.end()) for k, (n, p, ok) in enumerate(kinds) for m in re.finditer(p, text) if ok(m))
