@@ -181,9 +181,10 @@ def q_daily_usage_stream(s, d):
     path, name = f"{checkpoint_dir(s)}/usage-{__import__('uuid').uuid4().hex}", "daily_usage"
     batch = s.read.parquet(f"{d}/events.parquet")
     events = s.readStream.schema(batch.schema).parquet(f"{d}/events.parquet*")
-    q = usage.daily_stream(events).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/{name}")
+    save = lambda sums, number: sums.write.mode("overwrite").parquet(f"{path}/{name}")
+    q = usage.daily_stream(events).writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return s.read.schema("day date, event_type string, n long, total double").parquet(f"{path}/{name}")
+    return s.read.schema("day date, event_type string, n long, total double, k_sum long").parquet(f"{path}/{name}")
 
 
 def q_nearest(s, d):

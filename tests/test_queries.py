@@ -42,3 +42,8 @@ def test_stream_equals_batch(spark):
     assert both[1] and all(both[0][k] == v for k, v in both[1].items())
     last = max(k[0] for k in both[0])
     assert {k for k in both[0] if k[0] < last} <= set(both[1])
+
+
+def test_stream_has_every_day(spark):
+    both = [sorted(tuple(map(str, r)) for r in QUERIES[q](spark, SF).select("day", "event_type", "n", "total", "k_sum").collect()) for q in ("daily_usage", "daily_usage_stream")]
+    assert both[0] and both[0] == both[1]
