@@ -10,7 +10,7 @@ if its size allows, and else shuffles by window.
 
 Defined results: null and empty texts have no words; an item of fewer words than WINDOW, but not none, is one window
 of its own length; an item without words is never found; repeated items with one item_id count once, repeated documents
-get equal rows; an empty benchmark finds nothing; an empty table gives no rows; further columns are ignored, or kept by
+get equal rows; an item with a null item_id hits words but isn't among the items found; an empty benchmark finds nothing; an empty table gives no rows; further columns are ignored, or kept by
 ``clean``.
 """
 
@@ -56,7 +56,8 @@ def literal_hits(tokens: str, windows: list) -> tuple[str, Column]:
     items: dict[object, list[str]] = {}
     for r in windows:
         by_size.setdefault(r.size, {})[r.h] = None
-        items.setdefault(r.item_id, []).append(" ".join(r.win))
+        if r.item_id is not None:
+            items.setdefault(r.item_id, []).append(" ".join(r.win))
     parts = []
     for size, hashes in sorted(by_size.items()):
         wins = [r.win for r in windows if r.size == size]

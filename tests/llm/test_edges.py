@@ -166,6 +166,15 @@ def test_decontamination(docs, bench, literal):
     assert all((r.n, r.hit, r["items"]) == brute_decontam(r.text, items) for r in out) and any(r.hit for r in out)
 
 
+@pytest.mark.parametrize("literal", [decontam.LITERAL_WINDOWS, 1])
+def test_decontamination_null_items(spark, docs, literal):
+    null = (None, "seven other animals")
+    for rows in ([null, (7, "lazy dog"), (None, "fox jumps")], [null, (None, "fox jumps")]):
+        out = decontam.with_hits(docs, spark.createDataFrame(rows, "item_id long, text string"), literal).where(F.col("text").startswith(PROSE)).select(decontam.covered(F.col("dc__hits")).alias("hit"), "dc__found").collect()
+        named = [str(i) for i, _ in rows if i is not None]
+        assert out and all((r.hit, r.dc__found) == (5 + 2 * len(named), named) for r in out)
+
+
 def test_bpe_equals_library():
     import public_tokenizers
     from tokenizers import Tokenizer
