@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +27,19 @@ def cited_by(citations: DataFrame, members: DataFrame) -> DataFrame:
     return e.groupBy("cited").agg(F.count_distinct("citing").alias("n_citing"))
 
 
-def reachable(edges: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame:
-    """(node, hops) of all nodes that the start nodes reach; each round visits new nodes only and is checkpointed."""
+def reachable(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, hops) of all nodes that the start nodes reach; each round visits new nodes only and is checkpointed.
+
+    Nodes farther than ``most`` hops, if it is given, are an error and not left out.
+    """
     seen = start.select("node", F.lit(0).alias("hops")).distinct().checkpoint()
     front = seen
-    for hop in range(1, most + 1):
+    for hop in count(1):
         new = front.join(edges, front.node == edges.citing).select(F.col("cited").alias("node")).distinct()
         front = new.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop)).checkpoint()
         if front.isEmpty():
             break
+        if most is not None and hop > most:
+            raise ValueError(f"nodes lie farther than {most} hops")
         seen = seen.union(front).checkpoint()
     return seen

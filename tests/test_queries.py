@@ -44,6 +44,18 @@ def test_stream_equals_batch(spark):
     assert {k for k in both[0] if k[0] < last} <= set(both[1])
 
 
+def test_reachable_ends_only_when_nothing_is_new(spark):
+    from foliospark.operators import graph
+    from foliospark.plans.session import checkpoint_dir
+
+    checkpoint_dir(spark)
+    edges, start = spark.createDataFrame([(i, i + 1) for i in range(5)] + [(5, 0)], "citing long, cited long"), spark.createDataFrame([(0,)], "node long")
+    for most in (None, 5):
+        assert {tuple(r) for r in graph.reachable(edges, start, most).collect()} == {(i, i) for i in range(6)}
+    with pytest.raises(ValueError):
+        graph.reachable(edges, start, 3)
+
+
 def test_stream_has_every_day(spark):
     both = [sorted(tuple(map(str, r)) for r in QUERIES[q](spark, SF).select("day", "event_type", "n", "total", "k_sum").collect()) for q in ("daily_usage", "daily_usage_stream")]
     assert both[0] and both[0] == both[1]
