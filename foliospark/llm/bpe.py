@@ -2,15 +2,21 @@
 
 The frequent words of all documents are counted by Spark, encoded, and compiled into a minimal acyclic transducer: equal
 suffixes share their states, and the numbers on a word's arcs add up to its place in the table of id sequences. The
-file is put in the shared folder, shipped by Spark, and memory-mapped by each worker. A word that the lexicon hasn't is
-merged exactly, by rank. A worker also remembers words it has met, within a bound.
+file is put in the shared folder, shipped by Spark, and memory-mapped by each worker. A worker takes the words of a
+batch that it hasn't met through the automaton together, one byte of each at a step; those the lexicon lacks are merged
+exactly, by rank, also together, one merge of each at a step. It remembers words it has met, within a bound.
 
 Text handling, as the file states: special tokens are found in the raw text; the rest is NFC-normalised, lower-cased
 letter by letter, and cut into words by the file's pattern; white space is dropped; bytes stand for themselves under
 the byte-level alphabet; decoding joins token strings with one space.
 
+The driver receives at most LEXICON_WORDS words, whatever the corpus: a histogram of the counts, of some hundred rows,
+gives the count from which on words are taken.
+
 Defined results: a null or blank text has no tokens and decodes to the empty string; equal rows give equal results; an
-empty table gives no rows; further columns are ignored. Lone surrogates count as question marks.
+empty table gives no rows; further columns are ignored, whatever their names; texts and words may be of any length (a
+long word is merged by a heap). Words of equal count enter the lexicon all or none. Lone surrogates count as question
+marks.
 """
 
 from __future__ import annotations
@@ -19,13 +25,13 @@ import gc
 import hashlib
 import heapq
 import json
-import mmap
 import re
-import struct
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -33,18 +39,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import batches, shared_dir, small_batches, table
+from .common import batches, materialised, shared_dir, small_batches, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words of the lexicon; distinct words a counting task holds before it passes them on; words a worker remembers.
 LEXICON_WORDS, HELD, REMEMBERED = 1 << 16, 400_000, 400_000
-#: Bits of an id in a packed pair, and a value above all packed pairs; bytes beyond which a word is merged by a heap.
+#: Bits of an id in a packed pair; bytes beyond which a word is merged by a heap.
 SHIFT = 20
-MASK, FAR, LONG = (1 << SHIFT) - 1, 1 << 2 * SHIFT, 100
+MASK, LONG = (1 << SHIFT) - 1, 100
+#: Rank of a pair that doesn't join.
+NEVER = np.int32((1 << 31) - 1)
+
+
+#: Cells of the table in which words are merged together; buckets of counts for each doubling, to find the lexicon's least.
+CELLS, BUCKETS = 1 << 18, 16
+
 
+def plain_text() -> re.Pattern:
+    """Matches texts of ASCII and Latin letters up to U+024F whose lower case stays there: they are in NFC already, and
+    Python's own regex engine cuts them as the file's pattern does, much faster."""
+    latin = [chr(c) for c in range(0xC0, 0x250) if unicodedata.category(chr(c))[0] == "L" and len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 0x250]
+    return re.compile(r"[\t-\r\x20-\x7e" + "".join(latin) + "]*")
 
-#: Text of only these is in NFC already, and Python's own regex engine cuts it as the file's pattern does, much faster.
-PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-\u012f\u0131-\u024f]*").fullmatch
+
+PLAIN = plain_text().fullmatch
 PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-\u024f]+|[0-9]|[^\sa-zß-öø-\u024f0-9]+").findall
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -56,14 +74,35 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+def newer_characters(content: str) -> dict[str, tuple[str, str]]:
+    """Of characters that Python's Unicode tables lack and the regex module's have: lower case and class (L, N or S) that
+    the tokenizers library gives them; its tables are of a version between."""
+    from tokenizers import Tokenizer
+
+    library, every = Tokenizer.from_str(content), "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    pieces = lambda x: len(library.pre_tokenizer.pre_tokenize_str(x))
+    newer = [c for c in regex.findall(r"\P{Cn}", every) if unicodedata.category(c) == "Cn"]
+    return {c: (library.normalizer.normalize_str(c), "L" if pieces(f"a{c}a") == 1 else "N" if pieces(c + c) == 2 else "S") for c in newer}
+
+
+def pattern_of(source: str, newer: dict[str, tuple[str, str]]) -> regex.Pattern:
+    """The file's pattern, without the letters and digits that only the regex module knows."""
+    for kind in "LN":
+        wrong = [c for c in regex.findall(rf"\p{{{kind}}}", "".join(newer)) if newer[c][1] != kind]
+        if wrong:
+            source = source.replace(rf"\p{{{kind}}}", rf"[\p{{{kind}}}--[{''.join(wrong)}]]")
+    return regex.compile(source, regex.V1)
+
+
 class Vocabulary:
     """What encoding needs of a vocabulary file."""
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, newer: dict[str, tuple[str, str]]):
         spec = json.loads(content)
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.ids.items()}
+        self.decimal = {i: str(i) for i in self.tokens}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.end = model["end_of_word_suffix"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
@@ -71,11 +110,18 @@ class Vocabulary:
         #: Two ids to the rank and the id of what they become, each pair packed into one number.
         self.joins = {ids[a] << SHIFT | ids[b]: rank << SHIFT | ids[a + b] for rank, (a, b) in enumerate(pairs)}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.find = regex.compile(split["pattern"]["Regex"], regex.V0).findall
+        self.find = pattern_of(split["pattern"]["Regex"], newer).findall
+        self.lower_newer = {ord(c): low for c, (low, _) in newer.items() if low != c}
         self.plain = split["pattern"]["Regex"] == PATTERN
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         letters = byte_alphabet()
         self.inner, self.last = ({b: ids[c + end] for b, c in letters.items() if c + end in ids} for end in ("", self.end))
+        # the same as arrays, to merge many words together: sorted pairs, their ranks, the ids by rank, and pairs of bytes
+        self.inner_of, self.last_of = (np.array([t.get(b, 0) for b in range(256)], np.int32) for t in (self.inner, self.last))
+        self.pairs = np.sort(np.fromiter(self.joins, np.int64, len(self.joins)))
+        values = np.array([self.joins[k] for k in self.pairs.tolist()], np.int64)
+        self.rank, self.become = (values >> SHIFT).astype(np.int32), (np.sort(values) & MASK).astype(np.int32)
+        self.first = [self.joined(self.inner_of[:, None], right[None]) for right in (self.inner_of, self.last_of)]
 
     def words(self, text: str) -> Iterator[list[str] | int]:
         """Lists of words, and the ids of special tokens between them."""
@@ -87,25 +133,65 @@ class Vocabulary:
             elif piece:
                 plain = unicodedata.normalize("NFC", piece)
                 plain = plain.lower() if "Σ" not in plain else "".join(c.lower() for c in plain)
-                yield self.find(plain)
-
-    def merged(self, word: str) -> list[int]:
-        """The ids of a word, by repeatedly merging its first pair of lowest rank."""
-        raw = word.encode("utf-8", "replace")
-        parts = [*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]]
-        if len(parts) > LONG:
-            return self.merged_by_heap(parts)
-        join, far = self.joins.get, FAR
-        each = [join(a << SHIFT | b, far) for a, b in zip(parts, parts[1:])]
-        while each and (best := min(each)) < far:
-            k = each.index(best)
-            parts[k] = new = best & MASK
-            del parts[k + 1], each[k]
-            if k:
-                each[k - 1] = join(parts[k - 1] << SHIFT | new, far)
-            if k < len(each):
-                each[k] = join(new << SHIFT | parts[k + 1], far)
-        return parts
+                yield self.find(plain.translate(self.lower_newer))
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of parts, NEVER where they don't join; a part of -1 is none."""
+        key = left.astype(np.int64) << SHIFT | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == key) & (left >= 0) & (right >= 0), self.rank[at], NEVER)
+
+    def merged(self, words: list[str]) -> list[list[int]]:
+        """The ids of words, each by repeatedly merging its first pair of lowest rank."""
+        raws = [w.encode("utf-8", "replace") for w in words]
+        out: list = [None] * len(raws)
+        order = sorted(range(len(raws)), key=lambda k: len(raws[k]))
+        while order and len(raws[order[-1]]) > LONG:
+            k = order.pop()
+            out[k] = self.merged_by_heap([*map(self.inner.__getitem__, raws[k][:-1]), self.last[raws[k][-1]]])
+        while order:
+            size = max(1, CELLS // max(len(raws[order[-1]]), 1))
+            some, order = order[-size:], order[:-size]
+            for k, ids in zip(some, self.merged_together([raws[k] for k in some]), strict=True):
+                out[k] = ids
+        return out
+
+    def merged_together(self, raws: list[bytes]) -> list[list[int]]:
+        """The same for words of similar length: a row each, its parts on the left, and one merge of each row at a step."""
+        lengths = np.fromiter(map(len, raws), np.int64, len(raws))
+        flat = np.frombuffer(b"".join(raws), np.uint8)
+        n, wide = len(raws), int(lengths.max())
+        cols, lines = np.arange(wide + 1), np.arange(n)
+        raw = np.zeros((n, wide), np.uint8)
+        raw[cols[:-1] < lengths[:, None]] = flat
+        parts = np.full((n, wide + 1), -1, np.int32)
+        parts[:, :-1] = np.where(cols[:-1] < lengths[:, None] - 1, self.inner_of[raw], -1)
+        parts[lines, lengths - 1] = self.last_of[raw[lines, lengths - 1]]
+        ranks = np.full((n, wide + 1), NEVER, np.int32)
+        ranks[:, : wide - 1] = np.where(cols[: wide - 1] < lengths[:, None] - 2, self.first[0][raw[:, :-1], raw[:, 1:]], NEVER)
+        two = lengths > 1
+        ranks[lines[two], lengths[two] - 2] = self.first[1][raw[lines[two], lengths[two] - 2], raw[lines[two], lengths[two] - 1]]
+        row, out = lines, [None] * n
+        while len(row):
+            at = ranks.argmin(axis=1)
+            rank = np.take_along_axis(ranks, at[:, None], 1)[:, 0]
+            done = rank == NEVER
+            if done.any():
+                for k, ids in zip(row[done].tolist(), parts[done].tolist(), strict=True):
+                    out[k] = ids[: ids.index(-1)]
+                row, parts, ranks, at, rank = (x[~done] for x in (row, parts, ranks, at, rank))
+                if not len(row):
+                    break
+            # each row loses a part, so the table loses a column
+            here, lines = cols[: parts.shape[1] - 1] >= at[:, None], np.arange(len(row))
+            parts, ranks = np.where(here, parts[:, 1:], parts[:, :-1]), np.where(here, ranks[:, 1:], ranks[:, :-1])
+            parts[lines, at] = self.become[rank]
+            ranks[lines, at] = NEVER
+            more = at < parts.shape[1] - 1
+            ranks[lines[more], at[more]] = self.joined(parts[lines[more], at[more]], parts[lines[more], at[more] + 1])
+            more = at > 0
+            ranks[lines[more], at[more] - 1] = self.joined(parts[lines[more], at[more] - 1], parts[lines[more], at[more]])
+        return out
 
     def merged_by_heap(self, parts: list[int]) -> list[int]:
         """The same for a long word, in n log n steps: open pairs wait in a heap, and one that has changed is passed over."""
@@ -128,7 +214,7 @@ class Vocabulary:
 
 
 def transducer(words: dict[str, list[int]]) -> bytes:
-    """The lexicon as one file: five counts, then arrays of 32-bit numbers, then the arcs' labels.
+    """The lexicon as one file of 32-bit numbers: five counts, then arrays. An arc's key is its state and label.
 
     Words enter in byte order; a state is frozen once no later word can change it, and equal frozen states are one.
     """
@@ -162,52 +248,52 @@ def transducer(words: dict[str, list[int]]) -> bytes:
         path[-1][1].append((before[len(path) - 1], freeze(node)))
     root = freeze(path[0])
 
-    first, final, targets, outs, labels = [], [], [], [], bytearray()
-    for is_final, arcs in states:
-        first.append(len(labels))
+    final, arcs_of, targets, outs = [], [], [], []
+    for number, (is_final, arcs) in enumerate(states):
         final.append(int(is_final))
         passed = int(is_final)
         for label, to in arcs:
-            labels.append(label)
+            arcs_of.append(number << 8 | label)
             targets.append(to)
             outs.append(passed)
             passed += reach[to]
-    first.append(len(labels))
     starts, ids = [0], []
     for _, word in keys:
         ids += words[word]
         starts.append(len(ids))
-    head = [root, len(states), len(labels), len(keys), len(ids)]
-    numbers = [*head, *first, *final, *targets, *outs, *starts, *ids]
-    return struct.pack(f"<{len(numbers)}I", *numbers) + bytes(labels)
+    head = [root, len(states), len(arcs_of), len(keys), len(ids)]
+    return np.array([*head, *final, *arcs_of, *targets, *outs, *starts, *ids], "<u4").tobytes()
 
 
 class Lexicon:
     """A transducer file, memory-mapped."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        whole = memoryview(self.map)
-        self.root, n_states, n_arcs, n_words, n_ids = struct.unpack("<5I", whole[:20])
-        numbers = whole[: len(whole) - n_arcs].cast("I")
-        sizes, at, parts = [n_states + 1, n_states, n_arcs, n_arcs, n_words + 1, n_ids], 5, []
-        for n in sizes:
-            parts.append(numbers[at : at + n])
-            at += n
-        self.first, self.final, self.targets, self.outs, self.starts, self.ids = parts
-        self.labels = 4 * at
-
-    def get(self, word: str) -> list[int] | None:
-        state, place, find, labels, first = self.root, 0, self.map.find, self.labels, self.first
-        raw = word.encode("utf-8", "replace")
-        for k in range(len(raw)):
-            arc = find(raw[k : k + 1], labels + first[state], labels + first[state + 1]) - labels
-            if arc < 0:
-                return None
-            place += self.outs[arc]
-            state = self.targets[arc]
-        return self.ids[self.starts[place] : self.starts[place + 1]].tolist() if self.final[state] else None
+        whole = np.memmap(path, "<u4", "r")
+        self.root, n_states, n_arcs, n_words, n_ids = map(int, whole[:5])
+        cuts = np.cumsum([5, n_states, n_arcs, n_arcs, n_arcs, n_words + 1, n_ids])
+        self.final, self.arcs, self.targets, self.outs, self.starts, self.ids = (whole[a:b] for a, b in zip(cuts, cuts[1:]))
+
+    def look(self, words: list[str]) -> list[list[int] | None]:
+        """The ids of each word, None if the lexicon hasn't it; all words walk the automaton together."""
+        raws = [w.encode("utf-8", "replace") for w in words]
+        lengths = np.fromiter(map(len, raws), np.int64, len(raws))
+        flat = np.frombuffer(b"".join(raws), np.uint8)
+        begin = np.cumsum(lengths) - lengths
+        states, place, fits = np.full(len(raws), self.root, np.int64), np.zeros(len(raws), np.int64), np.ones(len(raws), bool)
+        going, step = np.flatnonzero(lengths > 0), 0
+        while len(going) and len(self.arcs):
+            key = states[going] << 8 | flat[begin[going] + step]
+            arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            on = self.arcs[arc] == key
+            fits[going[~on]] = False
+            going, arc = going[on], arc[on]
+            place[going] += self.outs[arc]
+            states[going] = self.targets[arc]
+            step += 1
+            going = going[lengths[going] > step]
+        fits &= self.final[states] > 0 if len(self.arcs) else False
+        return [self.ids[self.starts[p] : self.starts[p + 1]].tolist() if f else None for p, f in zip(place.tolist(), fits.tolist(), strict=True)]
 
 
 def read_vocabulary(path: str | None = None) -> str:
@@ -220,10 +306,10 @@ def read_vocabulary(path: str | None = None) -> str:
 
 
 def frequent_words(docs: DataFrame, content, n: int = LEXICON_WORDS) -> list[str]:
-    """The n commonest words over all documents, ties by the word itself."""
+    """The commonest words over all documents, at most n, met twice at least; all words of a count or none."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, seen = Vocabulary(content.value), Counter()
+        vocabulary, seen = Vocabulary(*content.value), Counter()
 
         def passed() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
@@ -240,8 +326,16 @@ def frequent_words(docs: DataFrame, content, n: int = LEXICON_WORDS) -> list[str
         if seen:
             yield passed()
 
-    rows = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in rows.orderBy(F.desc("n"), "word").limit(n).collect()]
+    counted = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = materialised(counted.select("word", F.floor(F.log2("n") * BUCKETS).cast("int").alias("bucket")), "words")
+    sizes = {r.bucket: r.size for r in counts.groupBy("bucket").agg(F.count("*").alias("size")).collect()}  # at most 64 * BUCKETS rows
+    least, taken = max(sizes, default=0) + 1, 0
+    for bucket in sorted(sizes, reverse=True):
+        taken += sizes[bucket]
+        if taken > n:
+            break
+        least = bucket
+    return [r.word for r in counts.where(F.col("bucket") >= least).select("word").collect()]
 
 
 def ship(spark: SparkSession, name: str, content: bytes) -> str:
@@ -258,29 +352,41 @@ def ship(spark: SparkSession, name: str, content: bytes) -> str:
     return path.rsplit("/", 1)[1]
 
 
-class Known(dict):
-    """Word or special token's id -> (ids, their decimal form, their token strings); a word it hasn't is looked up, or merged."""
+class Known:
+    """The decimal ids and the token strings, blank-joined, of words and special tokens that a worker has met."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
-        self.vocabulary, self.look = vocabulary, (lexicon.get if lexicon else lambda w: None)
-
-    def __missing__(self, word: str | int) -> tuple[list[int], str, str]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = [word] if isinstance(word, int) else self.look(word) or self.vocabulary.merged(word)
-        self[word] = found = ids, " ".join(map(str, ids)), " ".join(map(self.vocabulary.tokens.__getitem__, ids))
-        return found
-
-    def of(self, text: str | None) -> list[tuple[list[int], str, str]]:
-        out: list = []
-        for words in self.vocabulary.words(text or ""):
-            out += map(self.__getitem__, [words] if isinstance(words, int) else words)
-        return out
+        self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.ids: dict[str | int, str] = {}
+        self.tokens: dict[str | int, str] = {}
+
+    def learn(self, words: Iterable[str | int]) -> None:
+        if len(self.ids) >= REMEMBERED:
+            self.ids.clear()
+            self.tokens.clear()
+        new = list(set(words).difference(self.ids))
+        plain = [w for w in new if isinstance(w, str)]
+        found: dict[str | int, list[int] | None] = {w: [w] for w in new if isinstance(w, int)}
+        found |= zip(plain, self.lexicon.look(plain) if self.lexicon and plain else [None] * len(plain), strict=True)
+        missing = [w for w in plain if found[w] is None]
+        found |= zip(missing, self.vocabulary.merged(missing), strict=True)
+        token, decimal = self.vocabulary.tokens.__getitem__, self.vocabulary.decimal.__getitem__
+        for word, ids in found.items():
+            self.ids[word] = " ".join(map(decimal, ids))
+            self.tokens[word] = " ".join(map(token, ids))
+
+    def of(self, texts: list[str | None]) -> Iterator[tuple[str, str]]:
+        """Decimal ids and decoded text of each text."""
+        cut = [list(chain.from_iterable([w] if isinstance(w, int) else w for w in self.vocabulary.words(t or ""))) for t in texts]
+        self.learn(chain.from_iterable(cut))
+        ids, tokens = self.ids.__getitem__, self.tokens.__getitem__
+        for words in cut:
+            yield " ".join(map(ids, words)), " ".join(map(tokens, words))
 
 
 def encoder(vocabulary: Vocabulary, lexicon: Lexicon | None) -> Callable[[str | None], list[int]]:
     known = Known(vocabulary, lexicon)
-    return lambda text: [i for ids, _, _ in known.of(text) for i in ids]
+    return lambda text: [int(i) for ids, _ in known.of([text]) for i in ids.split()]
 
 
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -292,8 +398,10 @@ def encoded(docs: DataFrame, keep: list[str], path: str | None = None, digests:
     spark = docs.sparkSession
     small_batches(spark)
     text = read_vocabulary(path)
-    content, vocabulary = spark.sparkContext.broadcast(text), Vocabulary(text)
-    name = ship(spark, "lexicon", transducer({w: vocabulary.merged(w) for w in frequent_words(docs, content)}))
+    newer = newer_characters(text)
+    content, vocabulary = spark.sparkContext.broadcast((text, newer)), Vocabulary(text, newer)
+    common = frequent_words(docs, content)
+    name = ship(spark, "lexicon", transducer(dict(zip(common, vocabulary.merged(common), strict=True))))
     picked = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("bpe__text"))
     n = len(keep)
     schema = StructType([*picked.schema.fields[:n], *StructType.fromDDL(DIGESTS if digests else OUTPUTS).fields])
@@ -302,15 +410,15 @@ def encoded(docs: DataFrame, keep: list[str], path: str | None = None, digests:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # nothing here makes cycles, and looking for them among the remembered words takes long
-        vocabulary = Vocabulary(content.value)
+        vocabulary = Vocabulary(*content.value)
         known = Known(vocabulary, Lexicon(SparkFiles.get(name)))
         for batch in batches(it):
-            found = (known.of(t.as_py()) for t in batch.column(n))
+            found = known.of(batch.column(n).to_pylist())
             if digests:
-                rows = [(sum([len(x[0]) for x in f]), digest(" ".join([x[1] for x in f])), digest(" ".join([x[2] for x in f]))) for f in found]
+                rows = [(i.count(" ") + 1 if i else 0, digest(i), digest(d)) for i, d in found]
                 kinds = pa.int64(), pa.string(), pa.string()
             else:
-                rows = [([i for x in f for i in x[0]], " ".join([x[2] for x in f])) for f in found]
+                rows = [([*map(int, i.split())], d) for i, d in found]
                 kinds = pa.list_(pa.int32()), pa.string()
             extra = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *extra], names=names)

@@ -175,16 +175,54 @@ def test_decontamination_null_items(spark, docs, literal):
         assert out and all((r.hit, r.dc__found) == (5 + 2 * len(named), named) for r in out)
 
 
-def test_bpe_equals_library():
+@pytest.fixture(scope="module")
+def library():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(public_tokenizers.path(bpe.VOCABULARY))
-    vocabulary = bpe.Vocabulary(bpe.read_vocabulary())
-    encode, rng = bpe.encoder(vocabulary, None), random.Random(5)
-    pool = "aAbBeE's'tÉéßΣσςİıǅ 12٣½Ⅷ日本한🙂\u0301 \u0085\x1c\x1f\xa0\u200b\x00!?.,Åﬁ"
-    for text in [t or "" for t in TEXTS] + ["".join(rng.choices(pool, k=20)) + rng.choice(["", "<|endoftext|>x"]) for _ in range(800)]:
-        assert encode(text) == library.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(public_tokenizers.path(bpe.VOCABULARY))
+
+
+def read_vocabulary():
+    content = bpe.read_vocabulary()
+    return bpe.Vocabulary(content, bpe.newer_characters(content))
+
+
+@pytest.mark.parametrize("with_lexicon", [False, True])
+def test_bpe_equals_library(library, tmp_path, with_lexicon):
+    vocabulary, lexicon = read_vocabulary(), None
+    if with_lexicon:
+        common = sorted({*PROSE.split(), "é", "école", "text", "s", "12"})
+        (tmp_path / "lexicon").write_bytes(bpe.transducer(dict(zip(common, vocabulary.merged(common), strict=True))))
+        lexicon = bpe.Lexicon(str(tmp_path / "lexicon"))
+    known, rng = bpe.Known(vocabulary, lexicon), random.Random(5)
+    pool = "aAbBeE's'tÉéßΣσςİıǅ 12٣½Ⅷ日本한🙂\u0301 \u0085\x1c\x1f\xa0\u200b\x00!?.,ÅﬁƁƏ\u088f"
+    texts = [t or "" for t in TEXTS] + ["".join(rng.choices(pool, k=20)) + rng.choice(["", "<|endoftext|>x"]) for _ in range(800)]
+    for text, (ids, decoded) in zip(texts, known.of(texts), strict=True):
+        expected = library.encode(text, add_special_tokens=False).ids
+        assert [int(i) for i in ids.split()] == expected
+        assert decoded == library.decode(expected, skip_special_tokens=False)
+
+
+def test_bpe_of_every_code_point(library):
+    known = bpe.Known(read_vocabulary(), None)
+    points = [c for c in (*range(0xD800), *range(0xE000, 0x20000), *range(0x2A000, 0x34000), *range(0xE0000, 0xE0200)) if c]
+    texts = [f"a{chr(c)}B" for c in points]
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    wrong = [hex(c) for c, (ids, _), e in zip(points, known.of(texts), expected, strict=True) if ids != " ".join(map(str, e))]
+    assert not wrong
+
+
+def test_bpe_query_equals_library(spark, docs, library, tmp_path):
+    """Through the shipped lexicon, by repeated words, with the digests of whole texts."""
+    d = files(spark, tmp_path, documents=docs)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    expected = {}
+    for i, t in enumerate(TEXTS):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        expected[i] = len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op7_bpe(spark, d).where("doc_id is not null").collect()}
+    assert got == expected
 
 
 def test_transducer(tmp_path):
@@ -192,8 +230,10 @@ def test_transducer(tmp_path):
     path = tmp_path / "lexicon"
     path.write_bytes(bpe.transducer(words))
     lexicon = bpe.Lexicon(str(path))
-    assert all(lexicon.get(w) == ids for w, ids in words.items())
-    assert [lexicon.get(w) for w in ("q", "jumpin", "zzz", "runningg")] == [None] * 4
+    assert lexicon.look(list(words)) == list(words.values())
+    assert lexicon.look(["q", "jumpin", "zzz", "runningg", ""]) == [None] * 5
+    path.write_bytes(bpe.transducer({}))
+    assert bpe.Lexicon(str(path)).look(["a", ""]) == [None, None]
 
 
 def brute_fingerprint(text):
