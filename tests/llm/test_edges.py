@@ -1,8 +1,10 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns; exact values by brute force."""
 
 import hashlib
+import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -272,7 +274,8 @@ def test_simhash_components(spark):
     assert [got[i] for i in range(len(fps))] == root
 
 
-def test_forward_backward_in_chunks():
+def test_forward_backward_in_chunks(monkeypatch):
+    monkeypatch.setattr(langid, "CHUNK", 64)
     rng = np.random.default_rng(7)
     lengths = np.array([1, 63, 64, 65, 200, 7])
     e, a = rng.random((lengths.sum(), 3)) + 0.1, rng.random((3, 3)) + 0.1
@@ -283,6 +286,40 @@ def test_forward_backward_in_chunks():
         at += n
 
 
+def test_forward_backward_by_label_paths(monkeypatch):
+    """Every path of labels, weighted by its emissions and transitions."""
+    monkeypatch.setattr(langid, "CHUNK", 2)
+    rng = np.random.default_rng(9)
+    lengths = np.array([1, 2, 3, 5, 6])
+    e, a = rng.random((lengths.sum(), 3)) + 0.1, rng.random((3, 3)) + 0.1
+    got, at = langid.expected(e, lengths, a), 0
+    for k, n in enumerate(lengths):
+        expected, total = np.zeros(3), 0.0
+        for path in itertools.product(range(3), repeat=int(n)):
+            weight = a[:, path[0]].sum() / 3 * np.prod([e[at + t, y] for t, y in enumerate(path)]) * np.prod([a[x, y] for x, y in itertools.pairwise(path)])
+            total += weight
+            expected += weight * np.bincount(path, minlength=3)
+        assert np.allclose(expected / total, got[k])
+        at += n
+
+
+def test_language_features():
+    words = ["a", "the", "été", "x" * 40, "the"]
+    places, owners = langid.features(words, frozenset({"the", "a"}))
+    each = [sorted(places[owners == k].tolist()) for k in range(5)]
+    assert [len(x) for x in each] == [1 + 1 + 2 + 1 + 1, 3 + 3 + 4 + 3 + 1, 3 + 3 + 4 + 3, 3 + 4 + 41 + 40, 14] and each[1] == each[4]
+    alone = langid.features(["été"], frozenset({"the"}))[0]
+    assert sorted(alone.tolist()) == each[2]
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, PROSE, "en") for i in range(5000)] + [(5000 + i, "det var en gang en konge som hadde tre døtre", "no") for i in range(12)] + [(9000, None, "xx")]
+    got = langid.sampled(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sum(r.lang == "en" for r in got) == langid.TRAIN_DOCS // 2
+    learned = [i for i in range(5000, 5012) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sum(r.lang == "no" for r in got) == len(learned)
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.op9_langid(spark, "/root/testdata/sf0.01").where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
