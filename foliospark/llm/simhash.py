@@ -1,23 +1,32 @@
 """SimHash near-duplicates: fingerprints, links within a Hamming radius by bit-sliced comparison, components.
 
-1. Each task computes fingerprints of whole texts. Equal fingerprints become one class before anything is compared.
-2. The 64 bits are cut into RADIUS + 2 parts. Two fingerprints within the radius agree in at least two parts, so each
-   class is listed under every pair of parts; only keys shared by several classes go on.
+1. Each task computes fingerprints of whole texts. Equal ones become one class before anything is compared.
+2. A class is listed under several keys, each made of some bits of its fingerprint; classes that share a key are
+   compared. With the keys of ``pigeonhole`` every link within the radius shares one; those of ``sampled_keys`` are
+   drawn at random, and miss a link with a known small probability.
 3. A key's classes are dealt into blocks of about BLOCK, each pair of blocks a group of its own, so no task gets an
-   unbounded key. A group holds its fingerprints as bit planes: word w of plane b has bit b of 64 fingerprints. All
-   distances to a set of queries are counted at once by carry-save adders (ones, twos, more), plane by plane, and a set
-   is abandoned once every lane has exceeded the radius.
-4. A group returns a forest: each class it linked with the smallest class it reaches, never all pairs.
+   unbounded key. Fingerprints are held as bit planes: word w of plane b has bit b of 64 fingerprints. All distances
+   are counted at once by carry-save adders, plane by plane, and a block is abandoned once every lane has exceeded the
+   radius. Small groups are compared as one run of rows, each row with those a few places behind it.
+4. A group returns a minimum spanning forest of its links, by distance, never all pairs; whatever a radius below the
+   given one joins, the forest joins by links within that radius.
 5. Components come from alternating large-star and small-star rounds, each checkpointed in the shared folder.
 
+``op8_simhash`` takes 3-word shingles, 64 bits and radius 2, all links found. ``deduplicated`` removes near-duplicates of
+five-word Jaccard similarity SIMILARITY or more: candidates by 128-bit fingerprints within NEAR bits, of which a share of
+(1 - p)**17 has a given key in common at p bits of difference in a hundred (at similarity 0.8, p = 0.15, 98 % share one of
+64 keys; at 0.9, 99.99 %), each forest link then confirmed by the exact similarity of whole texts.
+
 Defined results: a null text is empty; a text without words has fingerprint zero and is linked like any other; one of
-fewer than SHINGLE words has its whole sequence as one shingle; equal rows are linked; the component is the smallest
-doc_id reachable, null ids aside; an empty table gives no rows; further columns are ignored, or kept by ``deduplicated``.
+fewer words than a shingle has its whole sequence as one shingle; equal rows are linked; the component is the smallest
+doc_id reachable, null ids aside; texts may be of any length; an empty table gives no rows; further columns are ignored,
+or kept by ``deduplicated``, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import random
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -30,25 +39,48 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import batches, checkpointed, materialised, small_batches, table, text_bytes
 
 SHINGLE, SEED, RADIUS, BLOCK = 3, 42, 2, 1024
-PARTS = RADIUS + 2
-#: Queries compared with a block at once, and planes between two looks at whether any lane is still near.
-QUERIES, LOOK = 64, 8
-
-
-def fingerprint(text: str | None) -> int:
+#: Of the near-duplicate stage: words of a shingle, least Jaccard similarity, radius of candidates in 128 bits, keys, their bits.
+NEAR_SHINGLE, SIMILARITY, NEAR, KEYS, KEY_BITS = 5, 0.8, 30, 64, 17
+#: Queries compared with a block at once, planes between two looks at whether any lane is still near, rows of a group
+#: that is compared by places, rows gathered before a comparison.
+QUERIES, LOOK, SMALL, GATHERED = 64, 8, 64, 1 << 16
+#: Keys of more than BLOCK classes up to which their table, some 20 bytes each, is broadcast; beyond, it is joined by a shuffle.
+HOT_KEYS = 200_000
+FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; none of a text without words."""
     words = text_bytes(text).lower().split()  # bytes: A-Z only, and exactly the six ASCII white spaces
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    size = min(SHINGLE, len(words))
+    size = min(size, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate([[0], ends[:-1]])[: len(words) - size + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)], np.uint64)
-    n, counts = len(h), np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 16):
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The 64 bits set in over half of the hashes; zero without any."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(h), 1 << 16):
         counts += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None) -> int:
+    return majority(shingles(text, SHINGLE))
+
+
+def signature(text: str | None) -> tuple[int, int, int, int, int]:
+    """128 bits over the set of five-word shingles, a digest of the set, and its size."""
+    h = np.unique(shingles(text, NEAR_SHINGLE))
+    again = (h ^ h >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+    again ^= again >> np.uint64(29)
+    digest = xxhash.xxh3_128_intdigest(h.tobytes())
+    return majority(h), majority(again), digest >> 64, digest & (1 << 64) - 1, len(h)
 
 
 def with_fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -66,97 +98,186 @@ def with_fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """Bit planes of n fingerprints: 64 rows of ceil(n / 64) words."""
-    n = -(-len(fps) // 64) * 64
-    bits = np.zeros((n, 64), np.uint8)
-    bits[: len(fps)] = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Bit planes of n fingerprints, each some words: for each bit a row of ceil(n / 64) words."""
+    fps = fps.reshape(len(fps), -1)
+    bits = np.zeros((-(-len(fps) // 64) * 64, 64 * fps.shape[1]), np.uint8)
+    bits[: len(fps)] = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def near(queries: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
-    """Whether each of n fingerprints, given as planes, is within RADIUS of each query: a boolean matrix."""
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    ones = np.zeros((len(queries), block.shape[1]), np.uint64)
-    twos, far = ones.copy(), ones.copy()
-    for b in range(64):
-        flip = np.where((queries >> np.uint64(b)) & np.uint64(1), full, np.uint64(0))[:, None]
-        differ = block[b] ^ flip
-        carry = ones & differ
-        ones ^= differ
-        far |= twos & carry
-        twos ^= carry
-        far |= ones & twos  # three
-        if b % LOOK == LOOK - 1 and (far == full).all():
-            return np.zeros((len(queries), n), bool)
-    return ~np.unpackbits(np.ascontiguousarray(far).view(np.uint8), axis=1, bitorder="little")[:, :n].astype(bool)
-
-
-def forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(class, smallest class reached) over the links between two sets of fingerprints, which may be the same set."""
-    nodes = np.unique(np.concatenate([left, right]))
-    label = np.arange(len(nodes))
-    block, at_left, at_right = planes(right), np.searchsorted(nodes, left), np.searchsorted(nodes, right)
-    a, b = [], []
+def exceeding(differences: Iterable[np.ndarray], shape: tuple[int, ...], radius: int) -> np.ndarray:
+    """Lanes with more than ``radius`` set bits over all planes. Counters start so high that they overflow beyond it."""
+    levels = radius.bit_length()
+    start = (1 << levels) - 1 - radius
+    counter = [np.full(shape, FULL if start >> k & 1 else 0, np.uint64) for k in range(levels)]
+    waiting: list[np.ndarray | None] = [None] * levels
+    far = np.zeros(shape, np.uint64)
+    for number, carry in enumerate(differences, 1):
+        level = 0
+        while level < levels and waiting[level] is not None:  # two planes and the counter's make its new plane and a carry
+            half = counter[level] ^ waiting[level]
+            carry, counter[level], waiting[level] = counter[level] & waiting[level] | half & carry, half ^ carry, None
+            level += 1
+        if level < levels:
+            waiting[level] = carry
+        else:
+            far |= carry
+        if number % LOOK == 0 and (far == FULL).all():
+            return far
+    for level, carry in enumerate(waiting):
+        if carry is not None:
+            for k in range(level, levels):
+                carry, counter[k] = counter[k] & carry, counter[k] ^ carry
+            far |= carry
+    return far
+
+
+def lanes(far: np.ndarray, n: int) -> np.ndarray:
+    """The first n lanes that aren't far, as booleans."""
+    return ~np.unpackbits(np.ascontiguousarray(far).view(np.uint8), axis=-1, bitorder="little")[..., :n].astype(bool)
+
+
+def near(queries: np.ndarray, block: np.ndarray, n: int, radius: int = RADIUS) -> np.ndarray:
+    """Whether each of n fingerprints, given as planes, is within the radius of each query: a boolean matrix."""
+    queries = queries.reshape(len(queries), -1)
+    differences = (block[b] ^ np.where(queries[:, b // 64] >> np.uint64(b % 64) & np.uint64(1), FULL, np.uint64(0))[:, None] for b in range(len(block)))
+    return lanes(exceeding(differences, (len(queries), block.shape[1]), radius), n)
+
+
+def near_in_runs(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group within the radius; groups are runs of at most SMALL rows."""
+    every = planes(fps)
+    every = np.concatenate([every, np.zeros((len(every), 1), np.uint64)], axis=1)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, min(SMALL, len(fps))):
+        same = group[step:] == group[:-step]
+        if not same.any():
+            break
+        up, down = np.uint64(step), np.uint64(64 - step)
+        differences = (p[:-1] ^ (p[:-1] >> up | p[1:] << down) for p in every)
+        i = np.flatnonzero(lanes(exceeding(differences, (every.shape[1] - 1,), radius), len(same)) & same)
+        left.append(i)
+        right.append(i + step)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def near_in_blocks(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of left, row of right) within the radius."""
+    block, a, b = planes(right), [], []
     for k in range(0, len(left), QUERIES):
-        i, j = np.nonzero(near(left[k : k + QUERIES], block, len(right)))
-        i, j = at_left[k + i], at_right[j]
-        a.append(i[i != j])
-        b.append(j[i != j])
-    i, j = np.concatenate(a), np.concatenate(b)
+        i, j = np.nonzero(near(left[k : k + QUERIES], block, len(right), radius))
+        a.append(i + k)
+        b.append(j)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def forest(i: np.ndarray, j: np.ndarray, distance: np.ndarray, n: int) -> np.ndarray:
+    """Places of the links of a minimum spanning forest: each tree takes its nearest link, until none is left."""
+    label, chosen = np.arange(n), []
+    weight = distance.astype(np.int64) * len(i) + np.arange(len(i))
     while True:
-        least = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[moved], nodes[label[moved]]
-
-
-def links(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) of a spanning forest of every group of near classes. classes: distinct sh__fp."""
-    width = 64 // PARTS
-    keys = []
-    for number, (x, y) in enumerate(combinations(range(PARTS), 2)):
-        part = lambda k: F.shiftrightunsigned("sh__fp", k * width).bitwiseAND(F.lit((1 << width) - 1))
-        keys.append(F.shiftleft(F.lit(number).cast("long"), 2 * width).bitwiseOR(F.shiftleft(part(x), width)).bitwiseOR(part(y)))
-    keyed = classes.select("sh__fp", F.explode(F.array(*keys)).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = keyed.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("sh__fp"), blocks).cast("int"))
-    dealt = dealt.select("sh__fp", "key", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("sh__fp", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
+        a, b = label[i], label[j]
+        going = a != b
+        i, j, weight, a, b = (x[going] for x in (i, j, weight, a, b))
+        if not len(i):
+            return np.unique(np.concatenate([*chosen, np.zeros(0, np.int64)])) % max(len(distance), 1)
+        best = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(best, a, weight)
+        np.minimum.at(best, b, weight)
+        picked = (weight == best[a]) | (weight == best[b])
+        chosen.append(weight[picked] % len(distance))
+        root, a, b = np.arange(n), a[picked], b[picked]
+        while True:
+            new, least = root.copy(), np.minimum(root[a], root[b])
+            np.minimum.at(new, a, least)
+            np.minimum.at(new, b, least)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        label = root[label]
+
+
+def pigeonhole(bits: int, radius: int) -> list[list[int]]:
+    """Keys' bits: those of each pair of radius + 2 parts, of which fingerprints within the radius have two in common."""
+    parts = np.array_split(np.arange(bits), radius + 2)
+    return [[*x.tolist(), *y.tolist()] for x, y in combinations(parts, 2)]
+
+
+def sampled_keys(bits: int, keys: int, size: int) -> list[list[int]]:
+    """Keys' bits, drawn at random, the same in every run."""
+    rng = random.Random(SEED)
+    return [sorted(rng.sample(range(bits), size)) for _ in range(keys)]
+
+
+def links(classes: DataFrame, keys: list[list[int]], radius: int) -> DataFrame:
+    """Links (a, b) of a minimum spanning forest of every group. classes: sh__id, sh__n, then a fingerprint's words.
+
+    Only classes of similar size, sh__n, are linked: the smaller has at least SIMILARITY of the larger's.
+    """
+    words = classes.columns[2:]
+    places = [np.array(k, np.uint64) for k in keys]
+
+    def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it):
+            fps = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns[2:]]
+            for number, bits in enumerate(places):
+                key = np.full(batch.num_rows, number << 40, np.uint64)
+                for k, b in enumerate(bits.tolist()):
+                    key |= (fps[b // 64] >> np.uint64(b % 64) & np.uint64(1)) << np.uint64(k)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], names=["key", *batch.schema.names])
+
+    keyed = classes.mapInArrow(spread, StructType([StructField("key", LongType()), *classes.schema.fields]))
+    hot = materialised(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "hot-keys")
+    if hot.count() <= HOT_KEYS:
+        hot = F.broadcast(hot)
+    dealt = keyed.join(hot, "key", "left").withColumn("blocks", F.ceil(F.coalesce("n", F.lit(1)) / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("sh__id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "sh__id", "sh__n", *words)
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # of the group that may go on in the next batch
+        def edges(ids: np.ndarray, sizes: np.ndarray, fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+            fits = (np.minimum(sizes[i], sizes[j]) >= SIMILARITY * np.maximum(sizes[i], sizes[j])) & (ids[i] != ids[j])
+            i, j = i[fits], j[fits]
+            if len(i):
+                at = forest(i, j, np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1), len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i[at]]), pa.array(ids[j[at]])], names=["a", "b"])
 
         def compared(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cuts = np.flatnonzero((rows[1:, 1:4] != rows[:-1, 1:4]).any(axis=1)) + 1
-            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True):
-                if end - start < 2:
-                    continue
-                fps, own = rows[start:end, 0].astype(np.int64).view(np.uint64), rows[start:end, 4]
-                lo, hi = rows[start, 2], rows[start, 3]
-                left, right = (fps, fps) if lo == hi else (fps[own == lo], fps[own == hi])
+            starts = np.concatenate([[0], np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1])
+            sizes = np.diff(np.concatenate([starts, [len(rows)]]))
+            group = np.repeat(np.arange(len(starts)), sizes)
+            small = (sizes <= SMALL) & (rows[starts, 1] == rows[starts, 2])
+            few = rows[small[group] & (sizes > 1)[group]]
+            of = group[small[group] & (sizes > 1)[group]]
+            if len(few):
+                fps = np.ascontiguousarray(few[:, 6:]).view(np.uint64)
+                yield from edges(few[:, 4], few[:, 5], fps, *near_in_runs(fps, of, radius))
+            for k in np.flatnonzero(~small).tolist():
+                many = rows[starts[k] : starts[k] + sizes[k]]
+                fps = np.ascontiguousarray(many[:, 6:]).view(np.uint64)
+                left, right = (np.flatnonzero(many[:, 3] == many[0, c]) for c in (1, 2))
                 if len(left) and len(right):
-                    a, b = forest(np.ascontiguousarray(left), np.ascontiguousarray(right))
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+                    i, j = near_in_blocks(fps[left], fps[right], radius)
+                    yield from edges(many[:, 4], many[:, 5], fps, left[i], right[j])
 
+        held: list[np.ndarray] = []
+        n = 0
         for batch in batches(it):
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-            rows = np.concatenate([*held, rows]) if held else rows
-            new = np.flatnonzero((rows[:, 1:4] != rows[-1, 1:4]).any(axis=1))
-            whole = new[-1] + 1 if len(new) else 0
-            yield from compared(rows[:whole]) if whole else ()
-            held = [rows[whole:]]
-        if held:
-            yield from compared(held[0])
+            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1))
+            n += batch.num_rows
+            if n < GATHERED:
+                continue
+            rows = np.concatenate(held)
+            last = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))
+            whole = int(last[-1]) + 1 if len(last) else 0  # the last group may go on
+            if whole:
+                yield from compared(rows[:whole])
+            held, n = [rows[whole:]], len(rows) - whole
+        if n:
+            yield from compared(np.concatenate(held))
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -187,11 +308,11 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def component_ids(ids: DataFrame, *least: str) -> DataFrame:
-    """(sh__fp, component): the smallest (least...) of all rows that a fingerprint reaches. ids: least..., sh__fp."""
-    first = F.min(F.col(least[0]) if len(least) == 1 else F.struct(*least)).alias("first")
-    classes = checkpointed(ids.groupBy("sh__fp").agg(first))
-    roots = components(links(classes.select("sh__fp")))
+def component_ids(ids: DataFrame) -> DataFrame:
+    """(sh__fp, component): the smallest doc_id of all rows that a fingerprint reaches within RADIUS. ids: doc_id, sh__fp."""
+    classes = checkpointed(ids.groupBy("sh__fp").agg(F.min("doc_id").alias("first")))
+    edges = links(classes.select(F.col("sh__fp").alias("sh__id"), F.lit(1).alias("sh__n"), F.col("sh__fp").alias("sh__f0")), pigeonhole(64, RADIUS), RADIUS)
+    roots = components(edges)
     rooted = classes.join(roots, classes.sh__fp == roots.node, "left").select("sh__fp", "first", F.coalesce("root", "sh__fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
     return rooted.join(smallest, "root").select("sh__fp", "component")
@@ -199,14 +320,52 @@ def component_ids(ids: DataFrame, *least: str) -> DataFrame:
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = checkpointed(with_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"]))
-    found = component_ids(ids, "doc_id")
+    found = component_ids(ids)
     return ids.join(found, "sh__fp").select("doc_id", F.lpad(F.lower(F.hex("sh__fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+SIGNED = ("f0", "f1", "s0", "s1", "n")
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """(doc, row, f0, f1, s0, s1, n): a document as one struct, a row number, its fingerprint, its set's digest and size."""
+    small_batches(docs.sparkSession)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    text_at = docs.columns.index("text")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it):
+            found = np.array([signature(t) for t in batch.column(0).field(text_at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=["doc", *SIGNED])
+
+    out = whole.mapInArrow(run, StructType([*whole.schema.fields, *(StructField(c, LongType()) for c in SIGNED)]))
+    return out.withColumn("row", F.monotonically_increasing_id())
+
+
+def confirmed(edges: DataFrame, saved: DataFrame) -> DataFrame:
+    """The links whose rows have Jaccard similarity SIMILARITY or more, by the shingles of the whole texts."""
+    nodes = materialised(edges.select(F.col("a").alias("row")).union(edges.select("b")).distinct(), "linked-rows")
+    texts = saved.select("row", F.col("doc.text").alias("text")).join(nodes, "row", "left_semi")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it):
+            sets = [np.unique(shingles(t, NEAR_SHINGLE)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["row", "h"])
+
+    sets = texts.mapInArrow(run, "row long, h array<long>")
+    both = edges.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
+    common = F.size(F.array_intersect("ha", "hb"))
+    return both.where(common >= SIMILARITY * (F.size("ha") + F.size("hb") - common)).select("a", "b")
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component, with its own columns; of equal ids, one row."""
-    saved = materialised(with_fingerprints(docs, docs.columns).withColumn("sh__row", F.monotonically_increasing_id()), "simhash")
-    ids = saved.select("doc_id", "sh__row", "sh__fp")
-    found = component_ids(ids, "doc_id", "sh__row")
-    stay = found.select(F.col("component.sh__row").alias("sh__row")).distinct()
-    return saved.join(stay, "sh__row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The document with the smallest doc_id of each group of near-duplicates, with its own columns; of equal ids, one row."""
+    saved = materialised(signed(docs), "signed")
+    order = F.struct(F.col("doc.doc_id").isNull().alias("absent"), F.col("doc.doc_id").alias("id"), "row")
+    classes = materialised(saved.groupBy("s0", "s1").agg(F.min(order).alias("first"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("n").alias("n")).drop("s0", "s1"), "classes")
+    found = links(classes.select(F.col("first.row").alias("sh__id"), F.col("n").alias("sh__n"), "f0", "f1"), sampled_keys(128, KEYS, KEY_BITS), NEAR)
+    found = materialised(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
+    roots = components(confirmed(found, saved))
+    first = classes.select("first", F.col("first.row").alias("node")).join(roots, "node", "left")
+    stay = first.groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select("first.row")
+    return saved.join(materialised(stay, "kept-rows"), "row", "left_semi").select("doc.*")

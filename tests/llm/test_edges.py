@@ -268,12 +268,73 @@ def test_simhash_components(spark):
     ids = spark.createDataFrame([(i, x) for i, x in enumerate(signed)], "doc_id long, sh__fp long")
     old, simhash.BLOCK = simhash.BLOCK, 16
     try:
-        got = {r.doc_id: r.component for r in ids.join(simhash.component_ids(ids, "doc_id"), "sh__fp").collect()}
+        got = {r.doc_id: r.component for r in ids.join(simhash.component_ids(ids), "sh__fp").collect()}
     finally:
         simhash.BLOCK = old
     assert [got[i] for i in range(len(fps))] == root
 
 
+def test_bit_sliced_distances():
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 1 << 63, (200, 2)).astype(np.uint64)
+    fps[100:] = fps[:100] ^ (np.uint64(1) << rng.integers(0, 64, (100, 2)).astype(np.uint64)) * (rng.random((100, 2)) < 0.6)
+    true = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
+    for radius in (0, 1, 2, 5, 30, 60, 64, 127):
+        assert (simhash.near(fps, simhash.planes(fps), 200, radius) == (true <= radius)).all()
+        group = np.sort(rng.integers(0, 20, 200))
+        i, j = simhash.near_in_runs(fps, group, radius)
+        assert {*zip(i.tolist(), j.tolist())} == {(x, y) for x in range(200) for y in range(x + 1, 200) if group[x] == group[y] and true[x, y] <= radius and y - x < simhash.SMALL}
+
+
+def test_minimum_forest():
+    rng = np.random.default_rng(4)
+    i, j, d = rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.integers(0, 5, 300)
+
+    def joined(at, most):
+        root = list(range(40))
+        for _ in range(40):
+            for x, y, z in zip(i[at], j[at], d[at]):
+                if z <= most:
+                    root[x] = root[y] = min(root[x], root[y])
+        return root
+
+    at = simhash.forest(i, j, d, 40)
+    assert len(at) == 40 - len(set(joined(np.arange(300), 9)))
+    assert all(joined(at, most) == joined(np.arange(300), most) for most in range(5))
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_near_duplicate_stage(spark, monkeypatch, block):
+    """Against all pairs of five-word Jaccard 0.8 or more: nothing else is removed, and nearly all of it is."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    texts = [None, "", " ", "one two", "one two"]
+    for _ in range(60):
+        words = rng.choices(vocabulary, k=rng.randint(40, 300))
+        texts.append(" ".join(words))
+        for _ in range(rng.randint(0, 6)):
+            changed = words[:]
+            for _ in range(rng.randint(0, max(1, len(words) // 40))):
+                changed[rng.randrange(len(words))] = rng.choice(vocabulary)
+            texts.append(" ".join(changed).upper() if rng.random() < 0.3 else " ".join(changed))
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    sets = [frozenset(simhash.shingles(t, 5).tolist()) for t in texts]
+    jaccard = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8]
+    root = list(range(len(texts)))
+    for _ in range(20):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    expected = {min(ids[k] for k in range(len(texts)) if root[k] == r) for r in set(root)}
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in zip(ids, texts)], "doc_id long, text string, row string, doc string").repartition(3)
+    out = simhash.deduplicated(docs)
+    assert out.columns == docs.columns
+    kept = {r.doc_id for r in out.collect()}
+    assert expected <= kept and len(kept) - len(expected) <= 0.05 * (len(texts) - len(expected))
+
+
 def test_forward_backward_in_chunks(monkeypatch):
     monkeypatch.setattr(langid, "CHUNK", 64)
     rng = np.random.default_rng(7)
