@@ -40,6 +40,17 @@ def materialised(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession, folder: str) -> list[str]:
+    """Has Spark give each Parquet file of a folder to every executor; their names, for SparkFiles."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    found = [f.getPath() for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)]
+    files = sorted(f.toString() for f in found if f.getName().endswith(".parquet"))
+    for f in files:
+        spark.sparkContext.addFile(f)
+    return [f.rsplit("/", 1)[1] for f in files]
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the memory of a Python worker: a batch of very long texts is still a few hundred MB at most."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
@@ -50,12 +61,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rebuilt(batch: pa.RecordBatch, keep: list[str], extra: dict[str, pa.Array]) -> pa.RecordBatch:
-    """The kept columns of a batch, with computed ones behind them."""
-    cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-    return pa.RecordBatch.from_arrays([*cols, *extra.values()], names=[*keep, *extra])
-
-
 def text_bytes(text: str | None) -> bytes:
     """UTF-8 of a text; null is empty. A lone surrogate, which UTF-8 can't hold, becomes a question mark."""
     return b"" if text is None else text.encode("utf-8", "replace")

@@ -1,191 +1,209 @@
 """Quality rules: counts of a text, and the perplexity of its characters under a language's own n-gram model.
 
-The model has order 4 over an alphabet of 32 character classes, so a language has at most 32**4 distinct n-grams
-(about a million) however large the corpus is. That proves the bound of what is collected and broadcast, while the
-counts themselves are taken over every character of every document: each task adds up its own n-grams in a dense
-array, emits (language, n-gram, count), and Spark sums these. Probabilities follow interpolated modified Kneser-Ney.
-A language's model is a handful of sorted arrays, one pair (n-gram code, log probability) and one (context code,
-log backoff) for each order; the code is a collision-free hash of the n-gram, looked up by binary search.
-
-A document is rejected if its mean log perplexity lies outside its language's band, median +- BAND_WIDTH robust
-deviations (1.4826 x median absolute deviation), both from a histogram over all documents of that language.
+The model has order ORDER over characters: code points below 0x800 stand for themselves, those above share 2,048 places
+by a hash. Spark counts every n-gram of every document; each task adds up its own first, so what is shuffled are
+distinct n-grams. Probabilities follow interpolated modified Kneser-Ney: the highest order uses counts, lower orders the
+number of distinct characters seen in front, and each order takes its discounts from its own counts of counts. Spark
+works out an n-gram's share and its context's weight for the lower order in one window per order, whose groups are the
+followers of one context, 4,096 at most. N-grams of order 3 and more met once only are left out and their share goes to
+the lower order: so the model stays small, and a text isn't predicted by what only it contains.
+
+A model is stored as arrays sorted by hash, that is by the n-gram's characters packed into 60 bits: Parquet files in the
+shared folder, in order of language, kind and hash, which Spark ships to executors. A worker reads a language's part when
+it first meets it and looks n-grams up by binary search. Nothing of it passes through the driver.
+
+A document is rejected if its mean log perplexity, at full length or at the model's lowest order (LEVELS), lies outside
+its language's band, median +- BAND_WIDTH robust deviations (1.4826 x median absolute deviation), from a histogram over
+all documents of that language. Full length sees order of letters and words; the lowest sees odd characters, even of a
+kind of junk so frequent that the longer contexts have learned it.
 
 Defined results: a null text counts as empty; null or blank ``lang`` is a language of its own, named ''; an empty text
-has no perplexity and fails the base rule; repeated rows are judged each for itself; an empty table gives no rows.
-Columns beyond those used are ignored by ``score`` and kept untouched by ``accepted``.
+has no perplexity and fails the base rule; repeated rows are judged each for itself; texts may be of any length; an
+empty table gives no rows. Columns beyond those used are ignored by ``op1_quality`` and kept by ``accepted``, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import batches, checkpointed, materialised, rebuilt, small_batches, table, text_bytes
+from .common import batches, materialised, shared_dir, shipped, small_batches, table, text_bytes
 
-ORDER, BITS = 4, 5
-CLASSES = 1 << BITS
+ORDER, BITS = 5, 12
+CHARACTERS = 1 << BITS
+#: Least count of an n-gram of order 3 and more; those of lower orders are all kept.
+LEAST_COUNT = 2
 #: Width of the histogram of log perplexities, in nats; half-width of a band in robust deviations, and its least value.
-#: 3.5 is the narrowest width, below and above, at which the last half step rejected no fewer labelled junk documents of
-#: sf0.1 than clean ones; README.md has the figures.
-BIN, BAND_WIDTH, LEAST_DEVIATION = 0.002, 3.5, 0.02
-#: Languages whose counts a task holds at once; more are emitted early and summed by Spark.
-LANGS_HELD = 16
+#: README.md has the measured rejection by width.
+BIN, BAND_WIDTH, LEAST_DEVIATION = 0.002, 6.0, 0.02
+LEVELS = (1, ORDER)
+#: Characters a task gathers before it counts them; n-grams it holds before it passes them on; of a worker: n-grams of a
+#: language whose probability it remembers, and languages it holds.
+CHUNK, HELD, REMEMBERED, LANGS_HELD = 1 << 21, 3_000_000, 4_000_000, 8
 
 WORD_BREAKS = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
-SCORE_SCHEMA = "word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_words long, log_ppl double, lang_key string"
-
-
-def class_table() -> np.ndarray:
-    """Class of each code point up to 0xFFFF: 0 space, 1 digit, 2 sentence mark, 3 symbol, 4 to 29 letters, 30 quotes and joiners, 31 repeated-exclamation and bars.
-
-    Letters with marks count as their base letter; those of other scripts are dealt over the letter classes.
-    """
-    import unicodedata
-
-    out = np.zeros(0x10000, np.uint8)
-    for cp in range(0x10000):
-        ch = chr(cp)
-        kind = unicodedata.category(ch)
-        if kind[0] == "L":
-            base = unicodedata.normalize("NFD", ch)[0].lower()
-            out[cp] = 4 + (ord(base[0]) - 97 if "a" <= base[0] <= "z" else cp % 26)
-        elif kind[0] == "M":
-            out[cp] = 30
-        elif kind[0] == "N":
-            out[cp] = 1
-        elif kind[0] in "ZC":
-            out[cp] = 0
-        elif ch in ".,;:?":
-            out[cp] = 2
-        elif ch in "'\"-()":
-            out[cp] = 30
-        elif ch in "!|":
-            out[cp] = 31
-        else:
-            out[cp] = 3
-    return out
-
-
-def codes_of(texts: list[str], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the n-grams that end at each character, and the texts' lengths. A text starts after ORDER - 1 spaces."""
+LOGS = tuple(f"log_ppl_{k}" for k in LEVELS)
+COUNTS = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_words")
+
+
+def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Packed n-grams that end at each character, and the texts' lengths. A text starts after ORDER - 1 spaces."""
     lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     pad = " " * (ORDER - 1)
-    joined = pad + pad.join(texts)
-    points = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
-    symbols = classes[np.where(points < 0x10000, points, 0x4E00 + points % 26)].astype(np.uint32)
-    grams = np.zeros(len(symbols), np.uint32)
+    points = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    points = np.where(points < 0x800, points, 0x800 + (points * 0x9E3779B1 >> 15 & 0x7FF))
+    grams = np.zeros(len(points), np.int64)
     for back in range(ORDER):
-        grams[back:] |= symbols[: len(symbols) - back] << np.uint32(BITS * back)
-    inside = np.ones(len(symbols), bool)
+        grams[back:] |= points[: len(points) - back] << BITS * back
+    inside = np.ones(len(points), bool)
     starts = np.concatenate([[0], np.cumsum(lengths + ORDER - 1)[:-1]]).astype(np.int64)
     for k in range(ORDER - 1):
         inside[starts + k] = False
     return grams[inside], lengths
 
 
+def added(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, the counts of equal ones summed."""
+    order = np.argsort(codes)
+    codes, counts = codes[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def count_ngrams(docs: DataFrame) -> DataFrame:
     """(lang_key, code, n) over every character of every document."""
     small_batches(docs.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, held = class_table(), {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, counts in held.items():
-                at = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["lang_key", "code", "n"])
+        waiting: dict[str, list[str]] = {}
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        size = 0
+
+        def count() -> None:
+            nonlocal size
+            for lang, texts in waiting.items():
+                codes, n = np.unique(codes_of(texts)[0], return_counts=True)
+                held[lang] = added(np.concatenate([held[lang][0], codes]), np.concatenate([held[lang][1], n])) if lang in held else (codes, n)
+            waiting.clear()
+            size = 0
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            for lang, (codes, n) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n.astype(np.int64))], names=["lang_key", "code", "n"])
             held.clear()
 
         for batch in batches(it):
-            by_lang: dict[str, list[str]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    by_lang.setdefault(lang, []).append(text)
-            for lang, texts in by_lang.items():
-                if lang not in held and len(held) >= LANGS_HELD:
-                    yield from flush()
-                counts = np.bincount(codes_of(texts, classes)[0], minlength=CLASSES**ORDER)
-                held[lang] = held[lang] + counts if lang in held else counts
-        yield from flush()
+                    waiting.setdefault(lang, []).append(text)
+                    size += len(text)
+                    if size >= CHUNK:
+                        count()
+                        if sum(len(c) for c, _ in held.values()) >= HELD:
+                            yield from passed()
+        count()
+        yield from passed()
 
     keyed = docs.select(language_key().alias("lang_key"), "text")
     return keyed.mapInArrow(run, "lang_key string, code long, n long").groupBy("lang_key", "code").agg(F.sum("n").alias("n"))
 
 
-def language_key():
-    """The primary part of a language tag in lower case ('en' of 'en-GB'); '' if null. Such codes number a few hundred."""
+def language_key() -> Column:
+    """The primary part of a language tag in lower case ('en' of 'en-GB'); '' if null."""
     return F.lower(F.substring_index(F.trim(F.coalesce(F.col("lang"), F.lit(""))), "-", 1))
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more."""
-    n1, n2, n3, n4 = (max(int((counts == k).sum()), 1) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2)
-    return np.array([0.0, *(np.clip(k - (k + 1) * y * b / a, 0.05 * k, 0.95 * k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))])
-
-
-def kneser_ney(codes: np.ndarray, n: np.ndarray) -> dict[int, tuple[np.ndarray, ...]]:
-    """For each order k: sorted codes of seen n-grams, their log probability, sorted codes of contexts, their log backoff.
-
-    The highest order uses raw counts, lower orders the number of distinct symbols seen in front.
-    """
-    model: dict[int, tuple[np.ndarray, ...]] = {}
-    by_order = {}
-    order = np.argsort(codes)
-    codes, n = codes[order].astype(np.uint32), n[order].astype(np.int64)
-    for k in range(ORDER, 0, -1):
-        by_order[k] = codes, n
-        codes, n = np.unique(codes & np.uint32((1 << BITS * (k - 1)) - 1), return_counts=True)
-    lower_p = np.full(1, 1 / CLASSES)
-    lower_codes = np.zeros(1, np.uint32)
-    for k in range(1, ORDER + 1):
-        codes, n = by_order[k]
-        d = discounts(n)
-        contexts, where = np.unique(codes >> np.uint32(BITS), return_inverse=True)
-        total = np.bincount(where, n)
-        taken = d[np.minimum(n, 3)]
-        gamma = np.bincount(where, taken) / total
-        suffix = np.searchsorted(lower_codes, codes & np.uint32((1 << BITS * (k - 1)) - 1)) if k > 1 else np.zeros(len(codes), np.int64)
-        p = (n - taken) / total[where] + gamma[where] * lower_p[suffix]
-        model[k] = codes, np.log(p).astype(np.float32), contexts, np.log(gamma).astype(np.float32)
-        lower_codes, lower_p = codes, p
-    return model
-
-
-def log_probs(model: dict[int, tuple[np.ndarray, ...]], codes: np.ndarray) -> np.ndarray:
-    """Log probability of the last symbol of each n-gram, by binary search with backoff."""
-    out, open_ = np.zeros(len(codes), np.float64), np.arange(len(codes))
-    for k in range(ORDER, 0, -1):
-        seen, logp, contexts, backoff = model[k]
-        own = codes[open_] & np.uint32((1 << BITS * k) - 1)
-        at = np.minimum(np.searchsorted(seen, own), len(seen) - 1)
-        hit = seen[at] == own
-        out[open_[hit]] += logp[at[hit]]
-        open_, own = open_[~hit], own[~hit] >> np.uint32(BITS)
-        if not len(open_):
-            return out
-        at = np.minimum(np.searchsorted(contexts, own), len(contexts) - 1)
-        out[open_] += np.where(contexts[at] == own, backoff[at], 0.0)
-    out[open_] += np.log(1 / CLASSES)
-    return out
-
-
-def train(docs: DataFrame) -> dict[str, dict[int, tuple[np.ndarray, ...]]]:
-    """A model for each language; at most CLASSES**ORDER rows of each are collected."""
-    rows = count_ngrams(docs).toArrow()
-    langs = rows.column("lang_key").combine_chunks().dictionary_encode() if rows.num_rows else None
-    if langs is None:
-        return {}
-    if isinstance(langs, pa.ChunkedArray):
-        langs = langs.combine_chunks()
-    which, codes, n = langs.indices.to_numpy(), rows.column("code").to_numpy(), rows.column("n").to_numpy()
-    return {lang: kneser_ney(codes[which == i], n[which == i]) for i, lang in enumerate(langs.dictionary.to_pylist())}
+def shares(grams: DataFrame, order: int) -> DataFrame:
+    """(lang_key, kind, code, value) of one order: kind 2 * order, an n-gram and its discounted share; kind 2 * order + 1,
+    a context and the weight it leaves to the lower order."""
+    seen = lambda k: F.greatest(F.count_if(F.col("n") == k), F.lit(1)).alias(f"n{k}")
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    discount = lambda k: F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.05 * k)), F.lit(0.95 * k)).alias(f"d{k}")
+    taken = materialised(grams.groupBy("lang_key").agg(*map(seen, (1, 2, 3, 4))).select("lang_key", *map(discount, (1, 2, 3))), "discounts")
+    context = W.partitionBy("lang_key", "context")
+    least = F.lit(LEAST_COUNT if order >= 3 else 1)
+    d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    share = F.when(F.col("n") >= least, (F.col("n") - d) / F.sum("n").over(context))
+    rows = grams.withColumn("context", F.shiftright("code", BITS)).join(taken, "lang_key").withColumn("share", share)
+    rows = rows.withColumn("left", 1 - F.sum("share").over(context)).withColumn("first", F.row_number().over(context.orderBy("code")) == 1)
+    row = lambda kind, code, value: F.struct(F.lit(kind).alias("kind"), F.col(code).alias("code"), F.col(value).cast("float").alias("value"))
+    both = F.array(F.when(F.col("share").isNotNull(), row(2 * order, "code", "share")), F.when(F.col("first") & F.col("left").isNotNull(), row(2 * order + 1, "context", "left")))
+    return rows.select("lang_key", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("x")).select("lang_key", "x.*")
+
+
+def train(docs: DataFrame) -> list[str]:
+    """Names of the model's files, shipped to all executors."""
+    spark = docs.sparkSession
+    grams, levels = materialised(count_ngrams(docs), "ngrams"), []
+    for order in range(ORDER, 0, -1):
+        levels.append(shares(grams, order))
+        if order > 1:
+            shorter = F.col("code").bitwiseAND(F.lit((1 << BITS * (order - 1)) - 1))
+            grams = materialised(grams.groupBy("lang_key", shorter.alias("code")).agg(F.count("*").alias("n")), "ngrams")
+    path = shared_dir(spark, "model")
+    whole = reduce(DataFrame.union, levels)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    whole.repartitionByRange(parts, "lang_key", "kind", "code").sortWithinPartitions("lang_key", "kind", "code").write.parquet(path)
+    return shipped(spark, path)
+
+
+class Model:
+    """One language's arrays: for each kind, hashes in order and their values."""
+
+    def __init__(self, files: list[str], lang: str):
+        rows = pa.concat_tables([pq.read_table(f, columns=["kind", "code", "value"], filters=[("lang_key", "=", lang)]) for f in files])
+        kind, code, value = (rows.column(c).to_numpy() for c in ("kind", "code", "value"))
+        order = np.lexsort((code, kind))
+        kind, code, value = kind[order], code[order], value[order]
+        cuts = np.searchsorted(kind, np.arange(2, 2 * ORDER + 3))
+        self.of = {k: (code[a:b], value[a:b]) for k, a, b in zip(range(2, 2 * ORDER + 2), cuts, cuts[1:])}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.logs = np.zeros(0, np.int64), np.zeros((len(LEVELS), 0))
+
+    def value(self, kind: int, codes: np.ndarray, absent: float) -> np.ndarray:
+        keys, values = self.of[kind]
+        if not len(keys):
+            return np.full(len(codes), absent)
+        at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+        return np.where(keys[at] == codes, values[at], absent)
+
+    def log_probs(self, codes: np.ndarray) -> np.ndarray:
+        """Log probability of the last character of each n-gram, a row for each of LEVELS."""
+        p, out = np.full(len(codes), 1 / CHARACTERS), []
+        for k in range(1, ORDER + 1):
+            own = codes & (1 << BITS * k) - 1
+            p = self.value(2 * k, own, 0.0) + self.value(2 * k + 1, own >> BITS, 1.0) * p
+            if k in LEVELS:
+                out.append(np.log(np.maximum(p, 1e-30)))
+        return np.stack(out)
+
+    def remembered(self, codes: np.ndarray) -> np.ndarray:
+        """The same; distinct codes are worked out once while at most REMEMBERED of them are held."""
+        distinct, where = np.unique(codes, return_inverse=True)
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        at = np.searchsorted(self.known, distinct)
+        new = np.ones(len(distinct), bool)
+        if len(self.known):
+            new = self.known[np.minimum(at, len(self.known) - 1)] != distinct
+        if new.any():
+            self.known, self.logs = np.insert(self.known, at[new], distinct[new]), np.insert(self.logs, at[new], self.log_probs(distinct[new]), axis=1)
+            at = np.searchsorted(self.known, distinct)
+        return self.logs[:, at][:, where]
 
 
 def repeated_words(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -236,94 +254,72 @@ def base_counts(texts: list[str | None]) -> dict[str, np.ndarray]:
     return {"word_chars": np.array(chars, np.int64), "n_symbols": np.array(symbols, np.int64), "n_dup_lines": np.array(dups, np.int64), "n_repeat_words": repeated_words(np.array(ids, np.int64), starts, lengths_).astype(np.int64), "n_words": lengths_}
 
 
-def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every document with its counts and mean log perplexity, null for an empty text."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
-    n_keep = len(keep)
+def score(docs: DataFrame, model: list[str], keep: list[str]) -> DataFrame:
+    """(doc, lang_key, counts..., LOGS...) of every document: ``doc`` is a struct of the columns ``keep``; LOGS are its mean
+    log perplexities at each of LEVELS, null for an empty text."""
+    small_batches(docs.sparkSession)
+    picked = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("doc"), language_key().alias("lang_key"), "text")
+    out = StructType([*picked.schema.fields[:2], *StructType.fromDDL(", ".join([*(f"{c} long" for c in COUNTS), *(f"{c} double" for c in LOGS)])).fields])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, tables = class_table(), {}
+        models: dict[str, Model] = {}
         for batch in batches(it):
-            texts, langs = batch.column(n_keep).to_pylist(), batch.column(n_keep + 1).to_pylist()
-            counts = base_counts(texts)
-            means = np.full(len(texts), np.nan)
+            langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            counts, means = base_counts(texts), np.full((len(LEVELS), len(texts)), np.nan)
             for lang in set(langs):
                 rows = [i for i, x in enumerate(langs) if x == lang and texts[i]]
                 if not rows:
                     continue
-                codes, lengths = codes_of([texts[i] for i in rows], classes)
-                if lang not in tables:
-                    if len(tables) >= LANGS_HELD:
-                        tables.clear()
-                    tables[lang] = np.full(CLASSES**ORDER, np.nan, np.float32)
-                known = tables[lang]
-                fresh = np.unique(codes[np.isnan(known[codes])])
-                if len(fresh):
-                    known[fresh] = log_probs(shared.value[lang], fresh)
-                sums = np.add.reduceat(known[codes].astype(np.float64), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-                means[rows] = -sums / lengths
-            extra = {k: pa.array(v, pa.int64()) for k, v in counts.items()}
-            extra["log_ppl"] = pa.array(means, pa.float64(), mask=np.isnan(means))
-            extra["lang_key"] = pa.array(langs, pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *extra.values()], names=names)
-
-    from pyspark.sql.types import StructType
-
-    out = StructType([*docs.select(*(f"`{c}`" for c in keep)).schema.fields, *(f for f in spark.createDataFrame([], SCORE_SCHEMA.replace(", ", ", " + PREFIX).replace("word_chars", PREFIX + "word_chars", 1)).schema.fields)])
-    names = out.fieldNames()
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias(PREFIX + "text"), language_key().alias(PREFIX + "lang")).mapInArrow(run, out)
-
-
-#: Of computed columns, so that none of the input's has the same name.
-PREFIX = "q__"
-
-
-def bands(scored: DataFrame) -> dict[str, tuple[float, float]]:
-    """Lower and upper log perplexity of each language: from the counts of its documents by bin, some hundred rows each."""
-    rows = scored.where(F.col(PREFIX + "log_ppl").isNotNull()).groupBy(F.col(PREFIX + "lang_key").alias("k"), F.floor(F.col(PREFIX + "log_ppl") / BIN).alias("b")).agg(F.count("*").alias("n")).collect()
-    by: dict[str, dict[int, int]] = {}
-    for r in rows:
-        by.setdefault(r.k, {})[r.b] = r.n
-
-    def median(values: np.ndarray, weights: np.ndarray) -> float:
-        order = np.argsort(values)
-        return float(values[order][np.searchsorted(np.cumsum(weights[order]), weights.sum() / 2)])
-
-    out = {}
-    for lang, hist in by.items():
-        x, w = (np.array(list(hist)) + 0.5) * BIN, np.array(list(hist.values()), float)
-        mid = median(x, w)
-        wide = BAND_WIDTH * max(1.4826 * median(np.abs(x - mid), w), LEAST_DEVIATION)
-        out[lang] = mid - wide, mid + wide
-    return out
-
-
-def verdict(scored: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
-    """Adds base_failed, kept and the band's limits, each with PREFIX."""
-    p = lambda c: F.col(PREFIX + c)
-    spark = scored.sparkSession
-    rows = spark.createDataFrame([(k, *v) for k, v in limits.items()], f"{PREFIX}band_lang string, {PREFIX}low double, {PREFIX}high double")
-    out = scored.join(F.broadcast(rows), p("lang_key") == F.col(PREFIX + "band_lang"), "left").drop(PREFIX + "band_lang")
-    failed = (p("n_words") < 10) | (100 * p("n_repeat_words") > 20 * p("n_words"))
-    inside = F.coalesce(p("log_ppl").between(p("low"), p("high")), F.lit(False))
-    return out.withColumns({PREFIX + "base_failed": failed, PREFIX + "kept": ~failed & inside})
-
-
-def judge(docs: DataFrame, keep: list[str], save) -> DataFrame:
-    """Scores every document, saves the scores in the shared folder, and adds the verdict."""
-    scored = save(score(docs, train(docs), keep))
-    return verdict(scored, bands(scored))
+                if lang not in models:
+                    if len(models) >= LANGS_HELD:
+                        models.clear()
+                    models[lang] = Model([SparkFiles.get(f) for f in model], lang)
+                codes, lengths = codes_of([texts[i] for i in rows])
+                sums = np.add.reduceat(models[lang].remembered(codes), np.concatenate([[0], np.cumsum(lengths)[:-1]]), axis=1)
+                means[:, rows] = -sums / lengths
+            extra = [*(pa.array(counts[c], pa.int64()) for c in COUNTS), *(pa.array(m, pa.float64(), mask=np.isnan(m)) for m in means)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *extra], names=out.fieldNames())
+
+    return picked.mapInArrow(run, out)
+
+
+def bands(scored: DataFrame) -> DataFrame:
+    """(lang_key, low_k, high_k for each level k) that bound a language's log perplexities, from a histogram of some
+    thousand bins."""
+    key = ["lang_key", "level"]
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.col(c).alias("x")) for k, c in zip(LEVELS, LOGS)))).alias("v")
+    bins = scored.select("lang_key", each).select("lang_key", "v.*").where(F.col("x").isNotNull()).groupBy(*key, F.floor(F.col("x") / BIN).alias("bin")).agg(F.count("*").alias("n"))
+    bins = materialised(bins.select(*key, ((F.col("bin") + 0.5) * BIN).alias("x"), "n"), "bins")
+
+    def median(rows: DataFrame, value: str, out: str) -> DataFrame:
+        whole = W.partitionBy(*key)
+        upto = F.sum("n").over(whole.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+        return rows.withColumn("half", upto >= F.sum("n").over(whole) / 2).where("half").groupBy(*key).agg(F.min(value).alias(out))
+
+    middle = median(bins, "x", "middle")
+    off = bins.join(middle, key).withColumn("off", F.abs(F.col("x") - F.col("middle")))
+    wide = BAND_WIDTH * F.greatest(1.4826 * F.col("spread"), F.lit(LEAST_DEVIATION))
+    limits = middle.join(median(off, "off", "spread"), key).withColumn("wide", wide)
+    of = lambda k, x: F.max(F.when(F.col("level") == k, x))
+    ends = [f(k) for k in LEVELS for f in (lambda k: of(k, F.col("middle") - F.col("wide")).alias(f"low_{k}"), lambda k: of(k, F.col("middle") + F.col("wide")).alias(f"high_{k}"))]
+    return limits.groupBy("lang_key").agg(*ends)
+
+
+def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Scores every document, saves the scores in the shared folder, and adds the limits, base_failed and kept."""
+    scored = materialised(score(docs, train(docs), keep), "scores")
+    out = scored.join(materialised(bands(scored), "bands"), "lang_key", "left")
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    inside = reduce(Column.__and__, (F.coalesce(F.col(c).between(F.col(f"low_{k}"), F.col(f"high_{k}")), F.lit(False)) for k, c in zip(LEVELS, LOGS)))
+    return out.withColumns({"base_failed": failed, "kept": ~failed & inside})
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = judge(docs, ["doc_id"], checkpointed)
-    return out.select("doc_id", *(F.col(PREFIX + c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")), F.exp(PREFIX + "log_ppl").alias("perplexity"), F.exp(PREFIX + "low").alias("lower"), F.exp(PREFIX + "high").alias("upper"))
+    out = judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ["doc_id"])
+    shown = [F.exp(c).alias(f"{name}_{k}") for k in LEVELS for c, name in ((f"log_ppl_{k}", "perplexity"), (f"low_{k}", "lower"), (f"high_{k}", "upper"))]
+    return out.select("doc.doc_id", *("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"), *shown)
 
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns."""
-    out = judge(docs, docs.columns, lambda df: materialised(df, "quality"))
-    return out.where(F.col(PREFIX + "kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return judged(docs, docs.columns).where("kept").select("doc.*")

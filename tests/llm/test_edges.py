@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns; exact values by brute force."""
 
+import collections
 import hashlib
 import itertools
 import random
@@ -9,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import functions as F
 
 from foliospark.llm import bpe, decontam, html, langid, pii, quality, secrets, simhash, urls, warc
@@ -74,12 +76,59 @@ def test_quality_counts():
     assert [tuple(int(got[k][i]) for k in ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_words")) for i in range(len(texts))] == [brute_quality(t) for t in texts]
 
 
-def test_kneser_ney_is_a_distribution():
-    codes, n = np.unique(quality.codes_of([PROSE * 3], quality.class_table())[0], return_counts=True)
-    model = quality.kneser_ney(codes, n)
-    for context in (codes[0] >> 5, codes[7] >> 5, 12345):
-        every = (np.uint32(context) << np.uint32(5)) | np.arange(32, dtype=np.uint32)
-        assert abs(np.exp(quality.log_probs(model, every)).sum() - 1) < 1e-3
+@pytest.fixture(scope="module")
+def model(spark):
+    texts = [*(t for t in TEXTS if t), PROSE.title(), "日本語の文章と" * 30, "чай и сахар " * 20]
+    files_ = quality.train(spark.createDataFrame([(t, "en") for t in texts] + [("x", None)], "text string, lang string"))
+    return texts, quality.Model([SparkFiles.get(f) for f in files_], "en"), [SparkFiles.get(f) for f in files_]
+
+
+def test_kneser_ney_is_a_distribution(model):
+    codes = quality.codes_of(model[0])[0]
+    for context in (codes[5] >> 12, codes[300] >> 12, 12345, codes[-1] >> 12):
+        every = (context << 12) | np.arange(4096)
+        assert np.allclose(np.exp(model[1].log_probs(every)).sum(axis=1), 1, atol=1e-3)
+
+
+def test_kneser_ney_by_brute_force(model):
+    """Counts, discounts and interpolation written out with dictionaries."""
+    texts, mine, _ = model
+    grams = collections.Counter(quality.codes_of(texts)[0].tolist())
+    levels = {5: grams}
+    for k in (4, 3, 2, 1):
+        levels[k] = collections.Counter(c & (1 << 12 * k) - 1 for c in levels[k + 1])
+    take, total, kept = {}, collections.Counter(), collections.Counter()
+    for k, level in levels.items():
+        n1, n2, n3, n4 = (max(sum(v == i for v in level.values()), 1) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        take[k] = [min(max(i - (i + 1) * y * b / a, 0.05 * i), 0.95 * i) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        for c, v in level.items():
+            total[k, c >> 12] += v
+    share = {(k, c): (v - take[k][min(v, 3) - 1]) / total[k, c >> 12] for k, level in levels.items() for c, v in level.items() if v >= 2 or k < 3}
+    for (k, c), v in share.items():
+        kept[k, c >> 12] += v
+
+    def p(k, c):
+        if not k:
+            return 1 / 4096
+        c &= (1 << 12 * k) - 1
+        return share.get((k, c), 0.0) + (1 - kept[k, c >> 12]) * p(k - 1, c)
+
+    asked = [*grams][:3000] + [random.Random(3).getrandbits(60) for _ in range(200)]
+    assert np.allclose(mine.log_probs(np.array(asked)), [[np.log(p(k, c)) for c in asked] for k in quality.LEVELS], atol=1e-4)
+    assert np.array_equal(mine.remembered(np.array(asked)), mine.log_probs(np.array(asked)))
+
+
+def test_shuffled_letters_and_words_are_less_likely(spark):
+    """Of documents that the model counted too, and more so of letters than of words."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and length(text) between 400 and 4000").select("text", "lang")
+    names = quality.train(docs)
+    lm, rng = quality.Model([SparkFiles.get(f) for f in names], "en"), random.Random(4)
+    texts = [r.text for r in docs.limit(200).collect()]
+    mean = lambda t: -lm.remembered(quality.codes_of([t])[0])[-1].mean()
+    shuffled = lambda xs: rng.sample(xs, len(xs))
+    worse = [(mean(" ".join(shuffled(t.split()))) > mean(" ".join(t.split())), mean("".join(shuffled(list(t)))) > 1.5 * mean(t)) for t in texts]
+    assert np.mean([w for w, _ in worse]) >= 0.75 and np.mean([c for _, c in worse]) >= 0.99
 
 
 def test_perplexity_band_rejects_noise(spark):
@@ -97,8 +146,8 @@ def test_perplexity_band_rejects_labelled_junk(spark):
     out = quality.op1_quality(spark, "/root/testdata/sf0.01").where("not base_failed").join(tables[0].select("doc_id", "text"), "doc_id").join(tables[1], "doc_id").collect()
     junk = [r for r in out if r.quality == 0 and re.search(r"[#$%&*]{3}|\S \| \S", r.text)]
     clean = [r for r in out if r.quality == 1]
-    assert len(junk) >= 20 and sum(not r.kept for r in junk) >= 0.7 * len(junk)
-    assert sum(r.kept for r in clean) >= 0.95 * len(clean)
+    assert len(junk) >= 20 and sum(not r.kept for r in junk) >= 0.9 * len(junk)
+    assert sum(r.kept for r in clean) >= 0.96 * len(clean)
 
 
 def base_secrets(text):
