@@ -13,9 +13,9 @@
 5. Components come from alternating large-star and small-star rounds, each checkpointed in the shared folder.
 
 ``op8_simhash`` takes 3-word shingles, 64 bits and radius 2, all links found. ``deduplicated`` removes near-duplicates of
-five-word Jaccard similarity SIMILARITY or more: candidates by 128-bit fingerprints within NEAR bits, of which a share of
-(1 - p)**17 has a given key in common at p bits of difference in a hundred (at similarity 0.8, p = 0.15, 98 % share one of
-64 keys; at 0.9, 99.99 %), each forest link then confirmed by the exact similarity of whole texts.
+five-word Jaccard similarity SIMILARITY or more: candidates are 128-bit fingerprints within NEAR bits that share a key. Where
+a share p of the bits differs, a key is shared with probability (1 - p)**KEY_BITS (at similarity 0.8, p = 0.15, 99 % share
+one of the 64 keys; at 0.9, all but one in 100,000). Each forest link is then confirmed by the exact similarity of whole texts.
 
 Defined results: a null text is empty; a text without words has fingerprint zero and is linked like any other; one of
 fewer words than a shingle has its whole sequence as one shingle; equal rows are linked; the component is the smallest
@@ -40,12 +40,14 @@ from .common import batches, checkpointed, materialised, small_batches, table, t
 
 SHINGLE, SEED, RADIUS, BLOCK = 3, 42, 2, 1024
 #: Of the near-duplicate stage: words of a shingle, least Jaccard similarity, radius of candidates in 128 bits, keys, their bits.
-NEAR_SHINGLE, SIMILARITY, NEAR, KEYS, KEY_BITS = 5, 0.8, 30, 64, 17
+NEAR_SHINGLE, SIMILARITY, NEAR, KEYS, KEY_BITS = 5, 0.8, 30, 64, 16
 #: Queries compared with a block at once, planes between two looks at whether any lane is still near, rows of a group
 #: that is compared by places, rows gathered before a comparison.
 QUERIES, LOOK, SMALL, GATHERED = 64, 8, 64, 1 << 16
 #: Keys of more than BLOCK classes up to which their table, some 20 bytes each, is broadcast; beyond, it is joined by a shuffle.
 HOT_KEYS = 200_000
+#: One class in so many is counted to estimate the sizes of keys.
+SIZED = 16
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -227,11 +229,13 @@ def links(classes: DataFrame, keys: list[list[int]], radius: int) -> DataFrame:
                     key |= (fps[b // 64] >> np.uint64(b % 64) & np.uint64(1)) << np.uint64(k)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], names=["key", *batch.schema.names])
 
-    keyed = classes.mapInArrow(spread, StructType([StructField("key", LongType()), *classes.schema.fields]))
-    hot = materialised(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "hot-keys")
+    keyed = lambda some: some.mapInArrow(spread, StructType([StructField("key", LongType()), *classes.schema.fields]))
+    # how many classes a key has only decides how they are dealt, so an estimate from a share of the classes will do
+    share = keyed(classes.where(F.pmod(F.xxhash64("sh__id"), F.lit(SIZED)) == 0))
+    hot = materialised(share.groupBy("key").agg((F.count("*") * SIZED).alias("n")).where(F.col("n") > BLOCK), "hot-keys")
     if hot.count() <= HOT_KEYS:
         hot = F.broadcast(hot)
-    dealt = keyed.join(hot, "key", "left").withColumn("blocks", F.ceil(F.coalesce("n", F.lit(1)) / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("sh__id"), F.col("blocks")).cast("int"))
+    dealt = keyed(classes).join(hot, "key", "left").withColumn("blocks", F.ceil(F.coalesce("n", F.lit(1)) / BLOCK).cast("int")).withColumn("own", F.pmod(F.hash("sh__id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "sh__id", "sh__n", *words)
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -346,16 +350,18 @@ def confirmed(edges: DataFrame, saved: DataFrame) -> DataFrame:
     """The links whose rows have Jaccard similarity SIMILARITY or more, by the shingles of the whole texts."""
     nodes = materialised(edges.select(F.col("a").alias("row")).union(edges.select("b")).distinct(), "linked-rows")
     texts = saved.select("row", F.col("doc.text").alias("text")).join(nodes, "row", "left_semi")
+    both = edges.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
-            sets = [np.unique(shingles(t, NEAR_SHINGLE)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["row", "h"])
-
-    sets = texts.mapInArrow(run, "row long, h array<long>")
-    both = edges.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
-    common = F.size(F.array_intersect("ha", "hb"))
-    return both.where(common >= SIMILARITY * (F.size("ha") + F.size("hb") - common)).select("a", "b")
+            keep = []
+            for pair in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                x, y = (np.unique(shingles(t, NEAR_SHINGLE)) for t in pair)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= SIMILARITY * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
