@@ -48,3 +48,33 @@ def csv_cell(x: Column) -> Column:
     """An RFC 4180 cell: quoted if it holds a comma, quote or line break, or begins or ends with a blank; null is empty."""
     text = F.coalesce(x.cast("string"), F.lit(""))
     return F.when(text.rlike('[",\r\n]|^ | $'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def year_of(x: Column, last: int) -> Column:
+    """The first four digits in a row as a year from 1400 to ``last``; else absent."""
+    y = F.regexp_extract(x.cast("string"), "([0-9]{4})", 1)
+    n = F.when(y != "", y.cast("int"))
+    return F.when(n.between(1400, last), n)
+
+
+def count_of(x: Column) -> Column:
+    """A positive whole number, cut off at the point; else 0."""
+    n = x.cast("string").try_cast("double")
+    return F.when(n > 0, F.floor(n)).otherwise(0).cast("long")
+
+
+def is_absent(x: Column) -> Column:
+    """Marks of an absent value: blank, dashes, n.d., n/a, not ..."""
+    plain = F.lower(F.trim(F.coalesce(x, F.lit(""))))
+    return plain.isin("", "-", "–", "—", "n.d.", "nd", "n/a", "na", "none") | plain.startswith("not ")
+
+
+def similarity_band(x: Column) -> Column:
+    return F.when(x >= 0.7, "close").when(x >= 0.5, "related").when(x.isNotNull(), "weak")
+
+
+def packed(sizes: Column, budget: int) -> Column:
+    """Sizes of chunks: parts are packed in order while a chunk stays within ``budget``; a larger part is a chunk alone."""
+    begin = F.struct(F.lit(0).cast("long").alias("now"), F.expr("cast(array() as array<bigint>)").alias("out"))
+    step = lambda a, x: F.when((a["now"] > 0) & (a["now"] + x > budget), F.struct(x.alias("now"), F.array_append(a["out"], a["now"]).alias("out"))).otherwise(F.struct((a["now"] + x).alias("now"), a["out"].alias("out")))
+    return F.aggregate(F.transform(sizes, lambda x: x.cast("long")), begin, step, lambda a: F.when(a["now"] > 0, F.array_append(a["out"], a["now"])).otherwise(a["out"]))

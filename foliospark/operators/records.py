@@ -46,7 +46,7 @@ def unit_outvoted(records: DataFrame, least: int = 5, share: float = 0.8) -> Dat
     units = own.groupBy("field", "canonical_unit").agg(F.sum("own").alias("unit_n"))
     total = units.groupBy("field").agg(F.sum("unit_n").alias("field_n"))
     runs = own.groupBy("field", "run_id").agg(F.sum("own").alias("run_n"))
-    pairs = runs.join(F.broadcast(units.join(total, "field")), "field").join(own, ["field", "run_id", "canonical_unit"], "left").fillna(0, ["own"])
+    pairs = runs.join(units.join(total, "field"), "field").join(own, ["field", "run_id", "canonical_unit"], "left").fillna(0, ["own"])
     others = pairs.withColumns({"others": F.col("field_n") - F.col("run_n"), "others_unit": F.col("unit_n") - F.col("own")})
     main = others.where((F.col("others") >= least) & (F.col("others_unit") >= share * F.col("others"))).select("field", "run_id", F.col("canonical_unit").alias("dominant"))
     return known.join(main, ["field", "run_id"]).where("canonical_unit != dominant")
@@ -62,9 +62,9 @@ def outliers(records: DataFrame, decades: float, least: int = 5) -> DataFrame:
     key = ["field", "unit"]
     run = positive.groupBy(*key, "run_id").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     ends = run.groupBy(*key).agg(F.sum("n").alias("all_n"), F.min(F.struct("lo", "run_id")).alias("first"), F.max(F.struct("hi", "run_id")).alias("last"))
-    mine = run.join(F.broadcast(ends), key)
+    mine = run.join(ends, key)
     second = mine.groupBy(*key).agg(F.min(F.when(F.col("run_id") != F.col("first.run_id"), F.col("lo"))).alias("lo2"), F.max(F.when(F.col("run_id") != F.col("last.run_id"), F.col("hi"))).alias("hi2"))
-    peers = mine.join(F.broadcast(second), key).select(*key, "run_id", (F.col("all_n") - F.col("n")).alias("peers"), F.when(F.col("run_id") == F.col("first.run_id"), F.col("lo2")).otherwise(F.col("first.lo")).alias("peer_lo"), F.when(F.col("run_id") == F.col("last.run_id"), F.col("hi2")).otherwise(F.col("last.hi")).alias("peer_hi"))
+    peers = mine.join(second, key).select(*key, "run_id", (F.col("all_n") - F.col("n")).alias("peers"), F.when(F.col("run_id") == F.col("first.run_id"), F.col("lo2")).otherwise(F.col("first.lo")).alias("peer_lo"), F.when(F.col("run_id") == F.col("last.run_id"), F.col("hi2")).otherwise(F.col("last.hi")).alias("peer_hi"))
     off = F.greatest(F.log10(F.col("peer_lo")) - F.log10("value"), F.log10("value") - F.log10(F.col("peer_hi")))
     return positive.join(peers, [*key, "run_id"]).where((F.col("peers") >= least) & (off > decades)).withColumn("decades_off", off)
 

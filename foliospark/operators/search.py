@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import any_needle
+from foliospark.functions.text import any_needle, search_fold
 
 #: Most rows a search ever returns, whatever the page.
 SEARCH_LIMIT = 300
@@ -62,13 +63,20 @@ def with_citations(works: DataFrame, citations: DataFrame) -> DataFrame:
 
 
 def search(works: DataFrame, citations: DataFrame, authors: DataFrame, f: Filters, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page of hits, most cited first, then year (absent last), title and id; authors in order, a snippet of 200 characters."""
+    """A page of hits, most cited first, then year (absent last), title without regard to ASCII case, and id; authors in order, a snippet of 200 characters."""
     hits = with_citations(works, citations).where(predicates(f))
-    order = [F.desc("n_citations"), F.desc_nulls_last("year"), F.asc("title"), F.asc("work_id")]
-    page = hits.orderBy(*order).offset(offset).limit(max(0, min(limit, SEARCH_LIMIT - offset)))
+    order = [F.desc("n_citations"), F.desc_nulls_last("year"), F.asc("folded"), F.asc("work_id")]
+    page = hits.withColumn("folded", F.translate("title", string.ascii_uppercase, string.ascii_lowercase)).orderBy(*order).offset(offset).limit(max(0, min(limit, SEARCH_LIMIT - offset)))
     own = authors.join(F.broadcast(page.select("work_id")), "work_id")  # at most SEARCH_LIMIT rows
     names = own.groupBy("work_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda x: x["name"]), "; ").alias("authors"))
-    return page.join(names, "work_id", "left").select("work_id", "title", "year", "venue", "n_citations", F.substring("abstract", 1, 200).alias("snippet"), F.coalesce("authors", F.lit("")).alias("authors"))
+    return page.join(names, "work_id", "left").orderBy(*order).select("work_id", "title", "year", "venue", "n_citations", F.substring("abstract", 1, 200).alias("snippet"), F.coalesce("authors", F.lit("")).alias("authors"))
+
+
+def written_by(authors: DataFrame, needles: tuple[str, ...]) -> DataFrame:
+    """Ids of works of which any author's folded name holds any of the folded needles; blank needles don't count."""
+    wanted = [n.strip() for n in needles if n.strip()]
+    clause = reduce(lambda a, b: a | b, (F.contains(search_fold(F.col("name")), search_fold(F.lit(n))) for n in wanted), F.lit(not wanted))
+    return authors.where(clause).select("work_id").distinct()
 
 
 def count(works: DataFrame, citations: DataFrame, f: Filters) -> DataFrame:

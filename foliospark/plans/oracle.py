@@ -41,18 +41,18 @@ SELECT supplier, min(s) AS span_start, max(e) AS span_end, count(*) AS n FROM i
 i AS (SELECT * FROM e WHERE citing IN (SELECT work_id FROM n) AND cited IN (SELECT work_id FROM n))
 SELECT work_id, relevance, (SELECT count(*) FROM e WHERE cited = work_id) AS in_degree, (SELECT count(*) FROM e WHERE citing = work_id) AS out_degree, (SELECT count(*) FROM i WHERE cited = work_id) AS inner_in, (SELECT count(*) FROM i WHERE citing = work_id) AS inner_out FROM n""",
     "cited_by": f"""WITH {CITES}, n AS (SELECT p_partkey AS work_id FROM part WHERE p_partkey % 9 <> 0 AND (p_partkey * 37 % 100) / 100 >= 0.3) SELECT cited, count(DISTINCT citing) AS n_citing FROM cites WHERE citing <> cited AND citing IN (SELECT work_id FROM n) AND cited IN (SELECT work_id FROM n) GROUP BY cited""",
-    "reachable": f"""WITH RECURSIVE {CITES}, e AS (SELECT * FROM cites WHERE (citing * 7 + cited) % 13 = 0), r AS (SELECT p_partkey AS node, 0 AS hops FROM part WHERE p_partkey < 3 UNION SELECT cited, hops + 1 FROM r JOIN e ON node = citing WHERE hops < 60) SELECT node, min(hops) AS hops FROM r GROUP BY node""",
+    "reachable": f"""WITH RECURSIVE {CITES}, r AS (SELECT p_partkey AS node, 0 AS hops FROM part WHERE p_partkey < 3 UNION SELECT cited, hops + 1 FROM r JOIN cites ON node = citing WHERE hops < 60) SELECT node, min(hops) AS hops FROM r GROUP BY node""",
     "records": f"""WITH {M} SELECT run_id, work_id, field, ordinal, value, unit, {CANON} AS canonical_unit, round(CASE unit WHEN 'mg/L' THEN value * 0.001 WHEN 'g/L' THEN value WHEN 'kPa' THEN value * 1000 WHEN '°C' THEN value + 273.15 END, 6) AS canonical_value, subject, conditions, {STATUS} AS status FROM m WHERE NOT superseded""",
     "status_summary": f"WITH {M} SELECT {STATUS} AS status, count(*) AS n, count(DISTINCT work_id) AS works FROM m WHERE NOT superseded GROUP BY 1",
     "matrix": f"""WITH {M}, k AS (SELECT *, lower(trim(subject)) || '|' || lower(trim(conditions)) AS reading FROM m WHERE NOT superseded AND value IS NOT NULL), f AS (SELECT *, row_number() OVER (PARTITION BY work_id, reading, field ORDER BY run_id, ordinal, value) AS rn FROM k)
 SELECT work_id, reading, max(value) FILTER (field = 'A') AS field_a, max(value) FILTER (field = 'N') AS field_n, max(value) FILTER (field = 'R') AS field_r FROM f WHERE rn = 1 GROUP BY work_id, reading""",
     "coverage": f"WITH {M} SELECT field, count(DISTINCT CASE WHEN value IS NOT NULL THEN work_id END) AS with_values, (SELECT count(*) FROM part) - count(DISTINCT CASE WHEN value IS NOT NULL THEN work_id END) AS without_values, count(value) AS n_values FROM m WHERE NOT superseded GROUP BY field",
-    "unit_outvoted": f"""WITH {M}, k AS (SELECT *, {CANON} AS cu FROM m WHERE NOT superseded AND (ordinal = 2 OR run_id % 40 = 1)), o AS (SELECT field, run_id, cu, count(*) AS own FROM k WHERE cu IS NOT NULL GROUP BY ALL), r AS (SELECT field, run_id, sum(own) AS run_n FROM o GROUP BY ALL), u AS (SELECT field, cu, sum(own) AS un FROM o GROUP BY ALL), t AS (SELECT field, sum(un) AS tn FROM u GROUP BY ALL),
-p AS (SELECT r.field, r.run_id, u.cu, tn - run_n AS others, un - coalesce(own, 0) AS ou FROM r JOIN u USING (field) JOIN t USING (field) LEFT JOIN o ON o.field = r.field AND o.run_id = r.run_id AND o.cu = u.cu), d AS (SELECT field, run_id, cu AS dominant FROM p WHERE others >= 5 AND ou >= 0.8 * others)
+    "unit_outvoted": f"""WITH {M}, k AS (SELECT *, {CANON} AS cu FROM m WHERE NOT superseded), o AS (SELECT field, run_id, cu, count(*) AS own FROM k WHERE cu IS NOT NULL GROUP BY ALL), r AS (SELECT field, run_id, sum(own) AS run_n FROM o GROUP BY ALL), u AS (SELECT field, cu, sum(own) AS un FROM o GROUP BY ALL), t AS (SELECT field, sum(un) AS tn FROM u GROUP BY ALL),
+p AS (SELECT r.field, r.run_id, u.cu, tn - run_n AS others, un - coalesce(own, 0) AS ou FROM r JOIN u USING (field) JOIN t USING (field) LEFT JOIN o ON o.field = r.field AND o.run_id = r.run_id AND o.cu = u.cu), d AS (SELECT field, run_id, cu AS dominant FROM p WHERE others >= 5 AND ou >= 0.5 * others)
 SELECT k.field, k.cu AS canonical_unit, dominant, count(*) AS n FROM k JOIN d ON k.field = d.field AND k.run_id = d.run_id AND k.cu <> dominant GROUP BY ALL""",
     "error_exceeds": f"WITH {M} SELECT field, count(*) AS n, round(max(error), 4) AS largest FROM m WHERE error >= 0 AND abs(error) > abs(value) GROUP BY field",
-    "outliers": f"""WITH {M}, k AS (SELECT field, unit, run_id, work_id, CASE WHEN run_id IN (6, 11) THEN value * 1e5 ELSE value END AS value FROM m WHERE value > 0 AND unit IS NOT NULL), r AS (SELECT field, unit, run_id, count(*) AS n, min(value) AS lo, max(value) AS hi FROM k GROUP BY ALL), s AS (SELECT field, unit, run_id FROM r WHERE run_id IN (6, 11)),
-p AS (SELECT s.field, s.unit, s.run_id, sum(n) AS peers, min(lo) AS plo, max(hi) AS phi FROM s JOIN r ON r.field = s.field AND r.unit = s.unit AND r.run_id <> s.run_id GROUP BY ALL)
+    "outliers": f"""WITH {M}, k AS (SELECT field, unit, run_id, work_id, CASE WHEN run_id IN (6, 11) THEN value * 1e5 ELSE value END AS value FROM m WHERE value > 0 AND unit IS NOT NULL), r AS (SELECT field, unit, run_id, count(*) AS n, min(value) AS lo, max(value) AS hi FROM k GROUP BY ALL),
+p AS (SELECT *, sum(n) OVER w AS peers, min(lo) OVER w AS plo, max(hi) OVER w AS phi FROM r WINDOW w AS (PARTITION BY field, unit ORDER BY run_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW))
 SELECT k.field, k.unit, k.run_id, work_id, value, round(greatest(log10(plo) - log10(value), log10(value) - log10(phi)), 6) AS decades_off FROM k JOIN p ON k.field = p.field AND k.unit = p.unit AND k.run_id = p.run_id WHERE peers >= 5 AND greatest(log10(plo) - log10(value), log10(value) - log10(phi)) > 3""",
     "duplicates": f"WITH {M} SELECT work_id % 20 AS work_id, field, subject, conditions, value, unit, count(*) AS n FROM m GROUP BY ALL HAVING count(*) > 1",
     "cell_conflicts": f"WITH {M} SELECT work_id, field, CAST(CAST(subject AS BIGINT) % 10 AS VARCHAR) AS subject, conditions, count(DISTINCT value) AS n_values FROM m GROUP BY ALL HAVING count(DISTINCT value) > 1",

@@ -1,14 +1,18 @@
 """Each query of the library against its SQL in DuckDB, on the smallest tables."""
 
 import math
+import random
 from pathlib import Path
 
 import duckdb
 import pytest
 
+from foliospark.plans.more import MORE, MORE_ORACLE
 from foliospark.plans.oracle import ORACLE
 from foliospark.plans.queries import QUERIES
 
+QUERIES, ORACLE = QUERIES | MORE, ORACLE | MORE_ORACLE
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -36,12 +40,50 @@ def test_query(spark, duck, name):
     assert got == sorted(tuple(plain(x) for x in r) for r in theirs.fetchall())
 
 
-def test_stream_equals_batch(spark):
-    """The stream has closed every day but the last, which its watermark hasn't passed."""
-    both = [{(r.day, r.event_type): (r.n, r.total) for r in QUERIES[q](spark, SF).collect()} for q in ("daily_usage", "daily_usage_stream")]
-    assert both[1] and all(both[0][k] == v for k, v in both[1].items())
-    last = max(k[0] for k in both[0])
-    assert {k for k in both[0] if k[0] < last} <= set(both[1])
+def test_search_page_is_in_order(spark):
+    got = [(-r.n_citations, r.year is None, -(r.year or 0), r.title.lower(), r.work_id) for r in QUERIES["search"](spark, "/root/testdata/sf0.01").collect()]
+    assert got and got == sorted(got)
+
+
+def test_greedy_assignment(spark):
+    from foliospark.operators import matching
+    from foliospark.plans.session import checkpoint_dir
+
+    checkpoint_dir(spark)
+    rng = random.Random(1)
+    rows = list({(rng.randrange(30), rng.randrange(30), rng.choice((0.7, 0.8, 0.9))) for _ in range(300)})
+    refs, works, expected = set(), set(), set()
+    for r, w, score in sorted(rows, key=lambda x: (-x[2], x[0], x[1])):
+        if r not in refs and w not in works:
+            refs.add(r)
+            works.add(w)
+            expected.add((r, w, score))
+    got = matching.assigned(spark.createDataFrame(rows, "ref_id long, work_id long, score double")).collect()
+    assert {tuple(r) for r in got} == expected
+
+
+def test_reference_matches(spark):
+    """Whole titles with their venue find their work; no reference or work twice."""
+    out = QUERIES["reference_matches"](spark, SF).collect()
+    assert len({r.ref_id for r in out}) == len({r.work_id for r in out}) == len(out)
+    assert sum(r.ref_id == 10 * r.work_id for r in out if r.work_id % 4) >= 0.7 * sum(r.work_id % 4 > 0 for r in out) > 0
+
+
+def test_packed_chunks(spark):
+    docs = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect() if r.text is not None]
+    got = [(r.chunks, r.longest, r.chars) for r in QUERIES["packed_chunks"](spark, SF).orderBy("doc_id").collect()]
+
+    def brute(text):
+        out, now = [], 0
+        for n in map(len, text.split("\n")):
+            if now and now + n > 600:
+                out.append(now)
+                now = 0
+            now += n
+        out += [now] if now else []
+        return len(out), max(out, default=None), sum(out)
+
+    assert got == [brute(t) for t in docs]
 
 
 def test_reachable_ends_only_when_nothing_is_new(spark):
