@@ -46,6 +46,8 @@ NEAR_SHINGLE, SIMILARITY, NEAR, KEYS, KEY_BITS = 5, 0.8, 30, 64, 16
 QUERIES, LOOK, SMALL, GATHERED = 64, 8, 64, 1 << 16
 #: Keys of more than BLOCK classes up to which their table, some 20 bytes each, is broadcast; beyond, it is joined by a shuffle.
 HOT_KEYS = 200_000
+#: Row numbers up to which their list, 16 bytes each, is broadcast to pick texts; beyond, texts are joined by a shuffle.
+ROWS = 4_000_000
 #: One class in so many is counted to estimate the sizes of keys.
 SIZED = 16
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -346,9 +348,15 @@ def signed(docs: DataFrame) -> DataFrame:
     return out.withColumn("row", F.monotonically_increasing_id())
 
 
+def listed(rows: DataFrame, tag: str) -> DataFrame:
+    """Row numbers, saved and counted; broadcast up to ROWS of them."""
+    saved = materialised(rows, tag)
+    return F.broadcast(saved) if saved.count() <= ROWS else saved
+
+
 def confirmed(edges: DataFrame, saved: DataFrame) -> DataFrame:
     """The links whose rows have Jaccard similarity SIMILARITY or more, by the shingles of the whole texts."""
-    nodes = materialised(edges.select(F.col("a").alias("row")).union(edges.select("b")).distinct(), "linked-rows")
+    nodes = listed(edges.select(F.col("a").alias("row")).union(edges.select("b")).distinct(), "linked-rows")
     texts = saved.select("row", F.col("doc.text").alias("text")).join(nodes, "row", "left_semi")
     both = edges.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
 
@@ -374,4 +382,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     roots = components(confirmed(found, saved))
     first = classes.select("first", F.col("first.row").alias("node")).join(roots, "node", "left")
     stay = first.groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select("first.row")
-    return saved.join(materialised(stay, "kept-rows"), "row", "left_semi").select("doc.*")
+    gone = listed(saved.select("row").join(stay, "row", "left_anti"), "rows-that-go")  # the fewer ones
+    return saved.join(gone, "row", "left_anti").select("doc.*")
