@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -454,7 +455,46 @@ def test_pages(spark, tmp_path):
     assert [q(spark, e).count() for q in (html.op4_html, urls.op3_urls, warc.op5_warc)] == [0, 0, 0]
 
 
-def test_host_boilerplate():
-    pages = [["home about contact us now please", f"tale{i} of{i} things{i} seen{i}"] for i in range(10)]
-    assert html.boilerplate(pages) == [[True, False]] * 10
-    assert html.boilerplate([pages[0]] * 10) == [[False, False]] * 10
+def test_runs_by_brute_force():
+    rng = random.Random(5)
+    for _ in range(60):
+        streams = ["\n".join(" ".join(rng.choice("ab") for _ in range(rng.randrange(12))) for _ in range(rng.randrange(3))) for _ in range(rng.randrange(1, 6))]
+        want = collections.Counter(w for s in streams for w in {" ".join(s.split()[i : i + html.RUN]) for i in range(len(s.split()) - html.RUN + 1)})
+        for least in (1, 2):
+            assert sorted(html.runs(streams, least)) == sorted((html.run_hash(w.split()), c) for w, c in want.items() if c >= least)
+
+
+def test_boilerplate_of_a_whole_host(spark):
+    """Runs of a host of several groups: open blocks on a tenth of the pages go, articles' edges on most pages go."""
+    prose = lambda i: f"Start {i}. " + " ".join(f"w{i}x{j}" for j in range(50))
+    menu, more, rare = "home about contact us now please", "read more stories like this one here", "this line is only on very few pages"
+    rows = []
+    for i in range(400):
+        extra = f"<div>{rare}</div>" if i < 5 else ""
+        body = f"<div>{menu}</div><div>{prose(i)}</div>{extra}" if i % 4 == 0 else f"<article><p>{prose(i)}</p><p>{more}</p>{extra}</article>"
+        rows.append((i, "http://h.org/x", body))
+    copy = f"<article><h1>one two three four five six seven</h1><p>{prose(-1)}</p></article>"
+    rows += [(1000 + i, "http://copies.org/", copy) for i in range(60)]
+    out = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(400):
+        assert out[i] == "\n\n".join([prose(i), *([rare] if i < 5 else [])]), i
+    assert all(out[1000 + i] == f"one two three four five six seven\n\n{prose(-1)}" for i in range(60))
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<script src=https://x/>leak()</script><p>a", ["a"]),
+    ("<p class=it's>hello</p><p id='x>y'>b</p>", ["hello", "b"]),
+    ("<article><div class='content navy'>sea</div><p class=notice>n</p><p id=share-prices>rose</p><p class=share-box>s</p></article>", ["sea", "rose"]),
+    ("<head><script>x='</head>'</script><title>t</title></head><p>a<!-- <p>b", ["a"]),
+    ("a < b & c &lt; d<br>e</3 f <svg/> g <i", ["a < b & c < d e</3 f g"]),
+    ("<ul><li>a</div></ul></section><p>b", ["a", "b"]),
+])
+def test_page_blocks(page, want):
+    assert [t for t, kind in html.blocks_of(page) if kind != html.OUT] == want
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>", "<div></section>", "<svg>", "<!-- ", "<p x='", '<p x="y', "<", "</", "&amp", "<a b=", "<math><noscript>", "<p class=a-"])
+def test_long_pages_take_linear_time(part):
+    began = time.process_time()
+    html.blocks_of(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 10
