@@ -1,33 +1,41 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, looked up for every window of a document.
 
-Native: only DataFrame functions. A document is split into its words once; the 64-bit hash of each window is looked up
-in the set, and windows that hit are compared word by word with the benchmark's before they count.
+Native: only DataFrame functions, and one path for a benchmark of any size.
 
-The set holds one hash for each distinct benchmark window. While there are at most LITERAL_WINDOWS of them (the bound is
-checked), they are sent with the plan and a document is judged in its own row: no shuffle, join or explode. Beyond
-that, ``exploded_hits`` joins the documents' windows with the benchmark's; Spark then broadcasts the benchmark's side
-if its size allows, and else shuffles by window.
+1. A window of n words holds a gram of q = ceil(n / 2) words at one of any n - q + 1 places in a row. So the set has the
+   hashes of all grams of the benchmark's windows, and of a document every (n - q + 1)-th gram is looked up: for windows of
+   13 words, seven words at every seventh place. No window is missed.
+2. The set is broadcast in blocks of at most SET_ROWS hashes, a bound that is counted, and each block takes one reading of
+   the documents, whose windows are never shuffled. Only the few places that are in the set go on, by text key.
+3. They are verified: the windows around these places are joined with the benchmark's by all their words, which also
+   gives the items.
+4. Verified hits, gathered by text key, are joined back to the documents.
+
+The text key is the SHA-256 of the text, so copies of a text are looked at once and get equal results.
 
 Defined results: null and empty texts have no words; an item of fewer words than WINDOW, but not none, is one window
 of its own length; an item without words is never found; repeated items with one item_id count once, repeated documents
-get equal rows; an item with a null item_id hits words but isn't among the items found; an empty benchmark finds nothing; an empty table gives no rows; further columns are ignored, or kept by
-``clean``.
+get equal rows; an item with a null item_id hits words but isn't among the items found; very long texts are taken whole;
+an empty benchmark finds nothing; an empty table gives no rows; further columns, whatever their names, are ignored, or
+kept by ``clean`` and ``without_spans``.
 """
 
 from __future__ import annotations
 
-import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, table
+from .common import checkpointed, table
 
 WINDOW = 13
 #: Least share of hit words, one in SHARE, at which a document is contaminated.
 SHARE = 20
-LITERAL_WINDOWS = 50_000
-HITS = "array<struct<i:int,n:int,w:string>>"
+#: Hashes of a broadcast block, some 50 MB at most.
+SET_ROWS = 1_000_000
+HITS = "array<struct<i:int,n:int>>"
+PLACES = "array<struct<i:int,n:int,h:bigint>>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,36 +50,33 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(plain, F.lit("")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """Distinct (item_id, size, win array<string>, h)."""
-    items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    size = F.least(F.size("w"), F.lit(WINDOW))
-    out = items.select("item_id", size.alias("size"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.slice(F.col("w"), i, F.least(F.size("w"), F.lit(WINDOW))))).alias("win"))
-    return out.withColumn("h", F.xxhash64("win")).distinct()
-
-
-def literal_hits(tokens: str, windows: list) -> tuple[str, Column]:
-    """SQL of the array of starts and sizes of windows that hit, and the literal of the items with their windows."""
-    by_size: dict[int, dict[int, None]] = {}
-    items: dict[object, list[str]] = {}
-    for r in windows:
-        by_size.setdefault(r.size, {})[r.h] = None
-        if r.item_id is not None:
-            items.setdefault(r.item_id, []).append(" ".join(r.win))
-    parts = []
-    for size, hashes in sorted(by_size.items()):
-        wins = [r.win for r in windows if r.size == size]
-        # a word holds no blank and no quote, so the joined window stands for its words
-        listed = lambda values: ",".join(f"'{v}'" for v in sorted(set(values)))
-        # most windows fall at one of up to six single words, before any window is hashed
-        singles = " and ".join(f"element_at({tokens}, i + {k}) in ({listed(w[k] for w in wins)})" for k in sorted({*range(0, size, -(-size // 5)), size - 1}))
-        parts.append(
-            f"case when size({tokens}) >= {size} then transform(filter(sequence(1, greatest(size({tokens}) - {size - 1}, 1)), i -> {singles}"
-            f" and xxhash64(slice({tokens}, i, {size})) in ({','.join(map(str, hashes))}) and array_join(slice({tokens}, i, {size}), ' ') in ({listed(' '.join(w) for w in wins)})), i -> struct(i as i, {size} as n, array_join(slice({tokens}, i, {size}), ' ') as w))"
-            f" else cast(array() as {HITS}) end"
-        )
-    literal = F.from_json(F.lit(json.dumps([{"id": str(k), "w": v} for k, v in items.items()])), "array<struct<id:string,w:array<string>>>")
-    return f"array_sort(flatten(array({', '.join(parts)})))", literal
+def taken(tokens: Column, i: Column, n: Column) -> Column:
+    """n words from the i-th on, element by element, since slice() copies the whole array each time."""
+    return F.transform(F.sequence(i, i + n - 1), lambda k: F.get(tokens, k - 1))
+
+
+def gram_words(n: int) -> int:
+    return -(-n // 2)
+
+
+def grams(tokens: Column, n: int, step: int) -> Column:
+    """array<struct<i, n, h>>: hash of the gram at every step-th word of a text that has a window of n words."""
+    q = gram_words(n)
+    starts = F.sequence(F.lit(1), F.size(tokens) - (q - 1), F.lit(step))
+    each = F.transform(starts, lambda i: F.struct(i.alias("i"), F.lit(n).alias("n"), F.xxhash64(*(F.get(tokens, i + (k - 1)) for k in range(q))).alias("h")))
+    return F.when(F.size(tokens) >= n, each).otherwise(F.expr(f"cast(array() as {PLACES})"))
+
+
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, w, n) of items with words."""
+    items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
+    return items.withColumn("n", F.least(F.size("w"), F.lit(WINDOW)))
+
+
+def benchmark_windows(items: DataFrame) -> DataFrame:
+    """Distinct (item_id, n, win), the window's words joined by blanks, which no word holds."""
+    starts = F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)
+    return items.select("item_id", "n", F.explode(F.transform(starts, lambda i: F.array_join(taken(F.col("w"), i, F.col("n")), " "))).alias("win")).distinct()
 
 
 def covered(hits: Column) -> Column:
@@ -80,50 +85,49 @@ def covered(hits: Column) -> Column:
     return end["n"].cast("long")
 
 
-def once(column: Column) -> Column:
-    """A column worked out once for each row: a filter above it isn't pushed down, which would put a copy of the
-    expression into each use of it, even into the loop over windows."""
-    return F.explode(F.array(column))
-
-
-def sliced(size: int):
-    return lambda i: F.slice(F.col("dc__words"), i, F.lit(size))
-
-
-def exploded_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(dc__key, dc__hits, dc__found) of documents with hits, for a benchmark of any size; joins on the windows' words."""
-    sizes = [r[0] for r in windows.select("size").distinct().collect()]  # at most WINDOW values
-    each = []
-    for n in sizes:
-        long_enough = docs.where(F.size("dc__words") >= n)
-        at = F.transform(F.sequence(F.lit(1), F.size("dc__words") - (n - 1)), sliced(n))
-        each.append(long_enough.select("dc__key", F.posexplode(at).alias("i", "win")).select("dc__key", (F.col("i") + 1).alias("i"), F.lit(n).alias("n"), "win", F.xxhash64("win").alias("h")))
-    if not each:
-        each = [docs.select("dc__key", F.lit(1).alias("i"), F.lit(1).alias("n"), "dc__words", F.lit(0).cast("long").alias("h")).toDF("dc__key", "i", "n", "win", "h").where("false")]
-    every = each[0]
-    for more in each[1:]:
-        every = every.unionByName(more)
-    right = windows.select("item_id", F.col("size").alias("n"), "win", "h")
-    hits = every.join(right, ["h", "n", "win"])
-    return hits.groupBy("dc__key").agg(F.array_sort(F.collect_set(F.struct("i", "n", F.array_join("win", " ").alias("w")))).alias("dc__hits"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("dc__found"))
-
-
-def with_hits(docs: DataFrame, benchmark: DataFrame, literal_windows: int = LITERAL_WINDOWS) -> DataFrame:
-    """Adds dc__words, dc__hits (starts and sizes of windows that occur) and dc__found (sorted ids of their items)."""
-    windows = benchmark_windows(benchmark)
-    few = windows.limit(literal_windows + 1).collect()
-    docs = docs.withColumn("dc__words", once(words(F.col("text"))))
-    if not few:
-        return docs.withColumns({"dc__hits": F.expr(f"cast(array() as {HITS})"), "dc__found": F.expr("cast(array() as array<string>)")})
-    if len(few) <= literal_windows:
-        sql, items = literal_hits("dc__words", few)
-        docs = docs.withColumn("dc__hits", once(F.expr(sql)))
-        found = F.array_sort(F.transform(F.filter(items, lambda it: F.arrays_overlap(it["w"], F.col("dc__hits.w"))), lambda it: it["id"]))
-        return docs.withColumn("dc__found", F.when(F.size("dc__hits") > 0, found).otherwise(F.expr("cast(array() as array<string>)")))
-    keyed = docs.withColumn("dc__key", row_key("text"))
-    hits = exploded_hits(keyed.select("dc__key", "dc__words"), windows)
-    out = keyed.join(hits, "dc__key", "left").drop("dc__key")
-    return out.withColumns({"dc__hits": F.coalesce("dc__hits", F.expr(f"cast(array() as {HITS})")), "dc__found": F.coalesce("dc__found", F.expr("cast(array() as array<string>)"))})
+def looked_up(texts: DataFrame, items: DataFrame, set_rows: int) -> DataFrame:
+    """Distinct (key, i, n) of the places of texts (key, text) whose gram's hash is in the benchmark's set."""
+    sizes = sorted(r[0] for r in items.select("n").distinct().collect())  # at most WINDOW values
+    if not sizes:
+        return texts.select("key", F.lit(0).alias("i"), F.lit(0).alias("n")).limit(0)
+    every_gram = F.concat(*(F.when(F.col("n") == n, grams(F.col("w"), n, 1)).otherwise(F.expr(f"cast(array() as {PLACES})")) for n in sizes))
+    hashes = checkpointed(items.select(F.explode(every_gram).alias("x")).select("x.h").distinct())
+    blocks = max(1, -(-hashes.count() // set_rows))
+    tokens = texts.select("key", F.explode(F.array(words(F.col("text")))).alias("w"))  # worked out once a row
+    places = tokens.select("key", F.explode(F.concat(*(grams(F.col("w"), n, n - gram_words(n) + 1) for n in sizes))).alias("x")).select("key", "x.*")
+    found = [places.join(F.broadcast(hashes.where(F.pmod("h", F.lit(blocks)) == b)), "h", "left_semi") for b in range(blocks)]
+    return reduce(DataFrame.unionByName, found).select("key", "i", "n").distinct()
+
+
+def verified(texts: DataFrame, places: DataFrame, windows: DataFrame) -> DataFrame:
+    """(key, hits, found) of texts in which the windows around some place are a benchmark's: starts and sizes, item ids."""
+    by_text = places.groupBy("key").agg(F.collect_list(F.struct("i", "n")).alias("x"))  # at most one for each word and size
+    one = texts.join(by_text.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    at = one.join(by_text, "key").select("key", F.explode(F.array(words(F.col("text")))).alias("w"), "x")
+
+    def around(x: Column) -> Column:
+        n = x["n"]
+        first = F.greatest(F.lit(1), x["i"] - (n - F.ceil(n / 2).cast("int")))
+        last = F.least(x["i"], F.size("w") - n + 1)
+        return F.when(first <= last, F.transform(F.sequence(first, last), lambda i: F.struct(i.alias("i"), n.alias("n")))).otherwise(F.expr(f"cast(array() as {HITS})"))
+
+    starts = F.array_distinct(F.flatten(F.transform("x", around)))
+    wins = F.transform(starts, lambda x: F.struct(x["i"].alias("i"), x["n"].alias("n"), F.array_join(taken(F.col("w"), x["i"], x["n"]), " ").alias("win")))
+    true = at.select("key", F.explode(wins).alias("x")).select("key", "x.*").join(windows, ["n", "win"])
+    return true.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("i", "n"))).alias("hits"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("found"))
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, set_rows: int = SET_ROWS) -> DataFrame:
+    """(row, n_words, hits, found): each document as a struct, its number of words, starts and sizes of the windows that
+    occur, and sorted ids of their items."""
+    key = F.sha2(F.col("text"), 256).alias("key")
+    items = checkpointed(benchmark_items(benchmark))
+    windows = checkpointed(benchmark_windows(items))
+    texts = docs.where(F.col("text").isNotNull()).select(key, "text")
+    places = checkpointed(looked_up(texts, items, set_rows))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key, F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    out = whole.join(verified(texts, places, windows), "key", "left")
+    return out.select("row", "n_words", F.coalesce("hits", F.expr(f"cast(array() as {HITS})")).alias("hits"), F.coalesce("found", F.expr("cast(array() as array<string>)")).alias("found"))
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -132,22 +136,22 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = with_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    out = out.select("doc_id", F.size("dc__words").cast("long").alias("n_words"), covered(F.col("dc__hits")).alias("n_hit"), F.size("dc__found").cast("long").alias("n_items"), F.sha2(F.array_join("dc__found", ","), 256).alias("items_sha256"))
+    out = out.select("row.doc_id", "n_words", covered(F.col("hits")).alias("n_hit"), F.size("found").cast("long").alias("n_items"), F.sha2(F.array_join("found", ","), 256).alias("items_sha256"))
     return out.withColumn("contaminated", contaminated(F.col("n_hit"), F.col("n_words")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that aren't contaminated, with their own columns."""
-    out = with_hits(docs, benchmark)
-    return out.where(~contaminated(covered(F.col("dc__hits")), F.size("dc__words").cast("long"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return with_hits(docs, benchmark).where(~contaminated(covered(F.col("hits")), F.col("n_words"))).select("row.*")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every document, its words inside hit windows removed; a text with hits becomes its normalised words, blank-joined."""
-    out = with_hits(docs, benchmark)
-    rest = F.filter(F.col("dc__words"), lambda w, j: ~F.exists("dc__hits", lambda x: (j + 1 >= x["i"]) & (j + 1 < x["i"] + x["n"])))
-    text = F.when(F.size("dc__hits") > 0, F.array_join(rest, " ")).otherwise(F.col("text"))
-    return out.withColumn("dc__text", text).select(*((F.col("dc__text") if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns))
+    out = with_hits(docs, benchmark).withColumn("w", F.explode(F.array(words(F.col("row.text")))))
+    hit = F.flatten(F.transform("hits", lambda x: F.sequence(x["i"], x["i"] + x["n"] - 1)))
+    rest = F.transform(F.array_except(F.sequence(F.lit(1), F.size("w")), hit), lambda k: F.get("w", k - 1))
+    text = F.when(F.size("hits") > 0, F.array_join(rest, " ")).otherwise(F.col("row.text"))
+    return out.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 ORACLE = r"""

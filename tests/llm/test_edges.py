@@ -211,20 +211,26 @@ def brute_decontam(text, items):
     return len(mine), len(hit), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("literal", [decontam.LITERAL_WINDOWS, 1])
-def test_decontamination(docs, bench, literal):
-    out = decontam.with_hits(docs, bench, literal).select("text", F.size("dc__words").alias("n"), decontam.covered(F.col("dc__hits")).alias("hit"), F.sha2(F.array_join("dc__found", ","), 256).alias("items")).collect()
+@pytest.mark.parametrize("set_rows", [decontam.SET_ROWS, 3])
+def test_decontamination(docs, bench, set_rows):
+    out = decontam.with_hits(docs, bench, set_rows).select("row.text", "n_words", decontam.covered(F.col("hits")).alias("hit"), F.sha2(F.array_join("found", ","), 256).alias("items")).collect()
     items = [tuple(r) for r in bench.collect()]
-    assert all((r.n, r.hit, r["items"]) == brute_decontam(r.text, items) for r in out) and any(r.hit for r in out)
+    assert all((r.n_words, r.hit, r["items"]) == brute_decontam(r.text, items) for r in out) and any(r.hit for r in out)
 
 
-@pytest.mark.parametrize("literal", [decontam.LITERAL_WINDOWS, 1])
-def test_decontamination_null_items(spark, docs, literal):
+@pytest.mark.parametrize("set_rows", [decontam.SET_ROWS, 3])
+def test_decontamination_null_items(spark, docs, set_rows):
     null = (None, "seven other animals")
     for rows in ([null, (7, "lazy dog"), (None, "fox jumps")], [null, (None, "fox jumps")]):
-        out = decontam.with_hits(docs, spark.createDataFrame(rows, "item_id long, text string"), literal).where(F.col("text").startswith(PROSE)).select(decontam.covered(F.col("dc__hits")).alias("hit"), "dc__found").collect()
+        out = decontam.with_hits(docs, spark.createDataFrame(rows, "item_id long, text string"), set_rows).where(F.col("row.text").startswith(PROSE)).select(decontam.covered(F.col("hits")).alias("hit"), "found").collect()
         named = [str(i) for i, _ in rows if i is not None]
-        assert out and all((r.hit, r.dc__found) == (5 + 2 * len(named), named) for r in out)
+        assert out and all((r.hit, r.found) == (5 + 2 * len(named), named) for r in out)
+
+
+def test_decontaminated_texts(docs, bench):
+    out = {r.doc_id: r.text for r in decontam.without_spans(docs, bench).collect()}
+    assert out[3] == out[5] == "hill and wonder why it runs"
+    assert out[0] is None and out[9] == "a" * 50000
 
 
 @pytest.fixture(scope="module")
