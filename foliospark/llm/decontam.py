@@ -34,6 +34,9 @@ WINDOW = 13
 SHARE = 20
 #: Hashes of a broadcast block, some 50 MB at most.
 SET_ROWS = 1_000_000
+#: Text keys, or hits and items, up to which a table of theirs, below 100 bytes each, is broadcast; beyond, documents and
+#: it are shuffled by key and one of SALTS salts, so that no task gets all copies of a text.
+KEY_ROWS, SALTS = 200_000, 32
 HITS = "array<struct<i:int,n:int>>"
 PLACES = "array<struct<i:int,n:int,h:bigint>>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -99,10 +102,20 @@ def looked_up(texts: DataFrame, items: DataFrame, set_rows: int) -> DataFrame:
     return reduce(DataFrame.unionByName, found).select("key", "i", "n").distinct()
 
 
-def verified(texts: DataFrame, places: DataFrame, windows: DataFrame) -> DataFrame:
+def by_key(left: DataFrame, right: DataFrame, entries: int, how: str, key_rows: int) -> DataFrame:
+    """Joins documents with a table of counted size by the text key."""
+    if entries <= key_rows:
+        return left.join(F.broadcast(right), "key", how)
+    left = left.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, ["key", "salt"], how).drop("salt")
+
+
+def verified(texts: DataFrame, places: DataFrame, windows: DataFrame, key_rows: int) -> DataFrame:
     """(key, hits, found) of texts in which the windows around some place are a benchmark's: starts and sizes, item ids."""
     by_text = places.groupBy("key").agg(F.collect_list(F.struct("i", "n")).alias("x"))  # at most one for each word and size
-    one = texts.join(by_text.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    keys = places.select("key").distinct()
+    one = by_key(texts, keys, keys.count(), "left_semi", key_rows).groupBy("key").agg(F.first("text").alias("text"))
     at = one.join(by_text, "key").select("key", F.explode(F.array(words(F.col("text")))).alias("w"), "x")
 
     def around(x: Column) -> Column:
@@ -117,7 +130,7 @@ def verified(texts: DataFrame, places: DataFrame, windows: DataFrame) -> DataFra
     return true.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("i", "n"))).alias("hits"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("found"))
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, set_rows: int = SET_ROWS) -> DataFrame:
+def with_hits(docs: DataFrame, benchmark: DataFrame, set_rows: int = SET_ROWS, key_rows: int = KEY_ROWS) -> DataFrame:
     """(row, n_words, hits, found): each document as a struct, its number of words, starts and sizes of the windows that
     occur, and sorted ids of their items."""
     key = F.sha2(F.col("text"), 256).alias("key")
@@ -126,7 +139,9 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, set_rows: int = SET_ROWS) -
     texts = docs.where(F.col("text").isNotNull()).select(key, "text")
     places = checkpointed(looked_up(texts, items, set_rows))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key, F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = whole.join(verified(texts, places, windows), "key", "left")
+    true = checkpointed(verified(texts, places, windows, key_rows))
+    entries = true.agg(F.sum(F.size("hits") + F.size("found") + 1)).first()[0] or 0
+    out = by_key(whole, true, entries, "left", key_rows)
     return out.select("row", "n_words", F.coalesce("hits", F.expr(f"cast(array() as {HITS})")).alias("hits"), F.coalesce("found", F.expr("cast(array() as array<string>)")).alias("found"))
 
 
