@@ -40,6 +40,12 @@ def materialised(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``shared_dir`` named and nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def shipped(spark: SparkSession, folder: str) -> list[str]:
     """Has Spark give each Parquet file of a folder to every executor; their names, for SparkFiles."""
     jvm = spark._jvm

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, html, langid, pii, quality, secrets, simhash, urls, warc
+from . import bpe, centroids, decontam, html, langid, phrases, pii, quality, secrets, simhash, urls, warc
 
 
 def queries():
@@ -19,9 +19,11 @@ def queries():
         "op8_simhash": simhash.op8_simhash,
         "op9_langid": langid.op9_langid,
         "op10_pii": pii.op10_pii,
+        "op11_sort_means": centroids.op11_sort_means,
+        "op12_phrases": phrases.op12_phrases,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {"op6_decontaminate": decontam.ORACLE}
+    return {"op6_decontaminate": decontam.ORACLE, "op11_sort_means": centroids.ORACLE, "op12_phrases": phrases.ORACLE}
