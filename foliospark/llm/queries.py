@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, centroids, decontam, html, langid, phrases, pii, quality, secrets, simhash, urls, warc
+from . import bpe, centroids, decontam, html, langid, phrases, pii, projections, quality, secrets, simhash, urls, warc
 
 
 def queries():
@@ -21,6 +21,7 @@ def queries():
         "op10_pii": pii.op10_pii,
         "op11_sort_means": centroids.op11_sort_means,
         "op12_phrases": phrases.op12_phrases,
+        "op13_neighbours": projections.op13_neighbours,
         "pipeline": corpus_pipeline.run,
     }
 
