@@ -5,9 +5,10 @@ empty texts and empty tables give no rows; repeated rows count again; a very lon
 in one pass. Equal scores and counts go by the phrase's UTF-8 bytes. Extra columns don't matter.
 
 Rows are counted before they are shuffled: a task turns up to FLUSH_WORDS words into the distinct windows of max_n words
-(shorter at a piece's end) with their counts. They are dealt by language and a window's first max_n - 1 words, so windows
-and their longest proper prefixes are summed in one shuffle; only the still shorter prefixes take another, small one. Parts
-of a frequent phrase are as frequent, so all else works on frequent phrases alone.
+(shorter at a piece's end) with their counts. They are dealt by language and a window's first max_n - 1 words, its head, so
+windows and heads are summed in one shuffle. Words are counted first; the DICTIONARY most frequent ones are known to all
+tasks and travel as numbers, all others are spelled out. Where the dictionary holds every word that occurs ``least`` times,
+the others end a window, as no frequent phrase has them. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -16,29 +17,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batches, materialised, small_batches, table, text_bytes
+from .common import batches, materialised, shared_dir, shipped, small_batches, table, text_bytes
 
 MAX_N, LEAST, COVERED, TOP, SCALE = 3, 10, 50, 2000, 1_000_000
-#: Words that a task counts together, a bound on its memory; not on the words it takes.
-FLUSH_WORDS = 1 << 21
+#: Words that a task counts together, and words that have numbers of BITS bits: bounds on memory, not on what is counted.
+FLUSH_WORDS, DICTIONARY, BITS = 1 << 21, 1 << 19, 20
 #: Bytes that end a piece, and the letters folded.
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + BREAKS, b"abcdefghijklmnopqrstuvwxyz" + b"\xff" * len(BREAKS))  # no text in UTF-8 has 0xFF
-
-GRAMS = pa.schema([("lang", pa.string()), ("head", pa.string()), ("tail", pa.string()), ("n", pa.int64())])
-
-
-def windows(words: list[bytes], max_n: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
-    """(head, tail, n) of the distinct windows of ``words``, in which 0xFF ends a piece: a window of max_n words has its
-    last one as tail, a shorter one at a piece's end has none."""
-    ids_of: dict[bytes, int] = {b"\xff": 0}
-    ids = np.fromiter((ids_of.setdefault(w, len(ids_of)) for w in words), np.int64, len(words))
-    vocabulary = pa.array([*map(bytes.decode, list(ids_of)[1:])], pa.string())
+END = b"\xff"
+
+ROW = "lang string, h long, head string, t long, tail string, n long"
+GRAMS = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("head", pa.string()), ("t", pa.int64()), ("tail", pa.string()), ("n", pa.int64())])
+
+
+class Dictionary:
+    """Numbers of the words of each language, from 1 on; 0 is none."""
+
+    def __init__(self, files: list[str], complete: bool):
+        self.words, self.of, self.complete = [b""], {}, complete
+        for f in files:
+            rows = pq.read_table(SparkFiles.get(f), columns=["lang", "phrase"])
+            for lang, word in zip(*(rows.column(c).to_pylist() for c in ("lang", "phrase"))):
+                self.of.setdefault(lang, {})[word.encode()] = len(self.words)
+                self.words.append(word.encode())
+
+    def text(self, code: int) -> str:
+        out = []
+        while code:
+            out.append(self.words[code & (1 << BITS) - 1])
+            code >>= BITS
+        return b" ".join(out).decode()
+
+
+def windows(words: list[bytes], max_n: int, known: Dictionary, lang: str) -> pa.RecordBatch:
+    """The distinct windows of ``words``, in which END ends a piece, and their counts: a window of max_n words has its last
+    one as t or tail, a shorter one at a piece's end has none. The others are in h, the first in its lowest bits, or head."""
+    of, last, own = known.of.get(lang, {}), len(known.words), {}
+    if known.complete:
+        ids = np.fromiter((of.get(w, 0) for w in words), np.int64, len(words))
+    else:
+        ids = np.fromiter((of.get(w) or (0 if w == END else last + own.setdefault(w, len(own))) for w in words), np.int64, len(words))
     at = np.flatnonzero(ids)
     rows, on = [ids[at]], np.ones(len(at), bool)
     padded = np.concatenate([ids, np.zeros(max_n, np.int64)])
@@ -46,34 +71,42 @@ def windows(words: list[bytes], max_n: int) -> tuple[pa.Array, pa.Array, np.ndar
         on = on & (padded[at + k] > 0)
         rows.append(np.where(on, padded[at + k], 0))
     code = rows[0]
-    for r in rows[1:]:  # equal prefixes get equal numbers, so a code never needs more than 42 bits
-        _, code = np.unique(code, return_inverse=True)
-        code = code * len(ids_of) + r
+    for r in rows[1:]:  # equal prefixes get equal numbers, so a code stays far below 64 bits
+        code = np.unique(code, return_inverse=True)[1] * (last + len(own)) + r
     _, first, n = np.unique(code, return_index=True, return_counts=True)
-    word = lambda r: vocabulary.take(pa.array(r[first] - 1, mask=r[first] == 0))
-    parts = [word(r) for r in rows]
-    head = parts[0] if max_n <= 2 else pc.binary_join_element_wise(*parts[:-1], " ", null_handling="skip")
-    return head, parts[-1] if max_n > 1 else pa.nulls(len(first), pa.string()), n
+    rows = [r[first] for r in rows]
+    spell = lambda i: known.words[i] if i < last else list_of[i - last]
+    list_of = list(own)
+
+    def coded(parts: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+        spelled = np.any([p >= last for p in parts], axis=0) if len(parts) * BITS < 63 else np.ones(len(first), bool)
+        number = sum(p << BITS * k for k, p in enumerate(parts) if k * BITS < 63)
+        text: list[str | None] = [None] * len(first)
+        for i in np.flatnonzero(spelled & (parts[0] > 0)).tolist():
+            text[i] = b" ".join(spell(int(p[i])) for p in parts if p[i]).decode()
+        return pa.array(number, pa.int64(), mask=spelled | (number == 0)), pa.array(text, pa.string())
 
+    head = coded(rows[: max(1, max_n - 1)])
+    tail = coded(rows[-1:]) if max_n > 1 else (pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.string()))
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), *head, *tail, pa.array(n, pa.int64())], schema=GRAMS)
 
-def exploded(docs: DataFrame, max_n: int) -> DataFrame:
-    """(lang, head, tail, n): each task's windows and their counts."""
+
+def exploded(docs: DataFrame, max_n: int, files: list[str], complete: bool) -> DataFrame:
+    """(lang, h, head, t, tail, n): each task's windows and their counts."""
     small_batches(docs.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[bytes]] = {}
+        known, held = Dictionary(files, complete), {}
 
         def flush(lang: str) -> Iterator[pa.RecordBatch]:
-            head, tail, n = windows(held.pop(lang), max_n)
-            lang_ = pa.array([lang] * len(n), pa.string())
-            for k in range(0, len(n), 65536):
-                yield pa.RecordBatch.from_arrays([x.slice(k, 65536) for x in (lang_, head, tail, pa.array(n, pa.int64()))], schema=GRAMS)
+            whole = windows(held.pop(lang), max_n, known, lang)
+            yield from (whole.slice(k, 65536) for k in range(0, whole.num_rows, 65536))
 
         for b in batches(it):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = held.setdefault(lang, [])
-                words += text_bytes(text).translate(FOLD).replace(b"\xff", b" \xff ").split()
-                words.append(b"\xff")
+                words += text_bytes(text).translate(FOLD).replace(END, b" \xff ").split()
+                words.append(END)
                 if len(words) >= FLUSH_WORDS:
                     yield from flush(lang)
             if sum(map(len, held.values())) >= FLUSH_WORDS:
@@ -82,24 +115,48 @@ def exploded(docs: DataFrame, max_n: int) -> DataFrame:
         for lang in list(held):
             yield from flush(lang)
 
-    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, "lang string, head string, tail string, n long")
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, ROW)
+
+
+def spelled(rows: DataFrame, files: list[str]) -> DataFrame:
+    """(lang, phrase, n): numbers turned into their words."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Dictionary(files, True)
+        for b in batches(it):
+            lang, h, head, t, tail, n = b.columns
+            parts = [[known.text(c) if c is not None else x for c, x in zip(code.to_pylist(), text.to_pylist())] for code, text in ((h, head), (t, tail))]
+            phrase = [a if z is None else f"{a} {z}" for a, z in zip(*parts)]
+            yield pa.RecordBatch.from_arrays([lang, pa.array(phrase, pa.string()), n], names=["lang", "phrase", "n"])
+
+    return rows.select("lang", "h", "head", "t", "tail", "n").mapInArrow(run, "lang string, phrase string, n long")
+
+
+def with_size(phrases: DataFrame) -> DataFrame:
+    return phrases.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "n")
 
 
 def counted(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> DataFrame:
     """(lang, phrase, words, n): all words, and the phrases of 2 to max_n words that occur ``least`` times or more."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = exploded(docs, max_n).repartition(parts, "lang", "head")
-    size = F.size(F.split("head", " "))
-    row = lambda phrase, words: F.struct(phrase.alias("phrase"), words.cast("int").alias("words"))
-    words = F.split("head", " ")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: row(F.array_join(F.slice(words, 1, k), " "), k))
-    whole = F.when(F.col("tail").isNotNull(), F.array(row(F.concat_ws(" ", "head", "tail"), size + 1)))
-    each = F.explode(F.concat(prefixes, F.coalesce(whole, F.filter(prefixes, lambda x: F.lit(False)))))
-    rows = dealt.select("lang", "head", "n", each.alias("x")).select("lang", "head", "n", "x.*")
-    here = rows.groupBy("lang", "head", "phrase", "words").agg(F.sum("n").alias("n"))  # all rows of a head lie together
-    final = F.col("words") >= max(1, max_n - 1)
-    here = here.where(~final | (F.col("n") >= least) | (F.col("words") == 1)).select("lang", "phrase", "words", "n")
-    return here.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where((F.col("words") == 1) | (F.col("n") >= least))
+    spark = docs.sparkSession
+    words = materialised(exploded(docs, 1, [], False).groupBy("lang", F.col("head").alias("phrase")).agg(F.sum("n").alias("n")), "words")
+    frequent, path = words.where(F.col("n") >= least), shared_dir(spark, "dictionary")
+    frequent.orderBy(F.desc("n"), "lang", "phrase").limit(DICTIONARY).write.parquet(path)
+    files, complete = shipped(spark, path), frequent.count() <= DICTIONARY
+    dealt = exploded(docs, max_n, files, complete).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "lang", "h", "head")
+    own, none = F.struct("t", "tail"), F.struct(F.lit(None).cast("long").alias("t"), F.lit(None).cast("string").alias("tail"))
+    both = F.when(F.col("t").isNull() & F.col("tail").isNull(), F.array(none)).otherwise(F.array(own, none))
+    rows = dealt.select("lang", "h", "head", "n", F.explode(both).alias("x")).select("lang", "h", "head", "x.*", "n")
+    here = rows.groupBy("lang", "h", "head", "t", "tail").agg(F.sum("n").alias("n"))  # all rows of a head lie together
+    whole = with_size(spelled(here.where(F.col("n") >= least), files)).where(F.col("words").between(max(2, max_n - 1), max_n))
+    out = with_size(words).union(whole)
+    if max_n > 3:  # prefixes shorter than a head
+        heads = spelled(here.where("t is null and tail is null"), files)
+        each = heads.select("lang", "n", F.split("phrase", " ").alias("w")).where(F.size("w") > 1)
+        sizes = F.sequence(F.lit(2), F.least(F.size("w"), F.lit(max_n - 2)))
+        shorter = each.select("lang", F.explode(F.transform(sizes, lambda k: F.array_join(F.slice("w", 1, k), " "))).alias("phrase"), "n")
+        out = out.union(with_size(shorter.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)))
+    return out
 
 
 def decimal(x: Column) -> Column:
