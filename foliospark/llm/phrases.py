@@ -7,13 +7,15 @@ in one pass. Equal scores and counts go by the phrase's UTF-8 bytes. Extra colum
 Rows are counted before they are shuffled: a task turns up to FLUSH_WORDS words into the distinct windows of max_n words
 (shorter at a piece's end) with their counts. They are dealt by language and a window's first max_n - 1 words, its head, so
 windows and heads are summed in one shuffle. Words are counted first; the DICTIONARY most frequent ones are known to all
-tasks and travel as numbers, all others are spelled out. Where the dictionary holds every word that occurs ``least`` times,
-the others end a window, as no frequent phrase has them. Both ways give the same rows.
+tasks and travel as numbers. Where these are all words that occur ``least`` times, the others end a window, as no frequent
+phrase has them, and rows are numbers alone; else the others are spelled out. Both ways give the same rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,26 +29,30 @@ from .common import batches, materialised, shared_dir, shipped, small_batches, t
 
 MAX_N, LEAST, COVERED, TOP, SCALE = 3, 10, 50, 2000, 1_000_000
 #: Words that a task counts together, and words that have numbers of BITS bits: bounds on memory, not on what is counted.
-FLUSH_WORDS, DICTIONARY, BITS = 1 << 21, 1 << 19, 20
+FLUSH_WORDS, DICTIONARY, BITS = 1 << 19, 1 << 19, 20
+#: Partitions of the windows for each one that Spark is set to: sums of windows take more memory than other rows.
+FINER = 4
 #: Bytes that end a piece, and the letters folded.
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + BREAKS, b"abcdefghijklmnopqrstuvwxyz" + b"\xff" * len(BREAKS))  # no text in UTF-8 has 0xFF
 END = b"\xff"
 
-ROW = "lang string, h long, head string, t long, tail string, n long"
+NUMBERS = pa.schema([("h", pa.int64()), ("t", pa.int64()), ("n", pa.int64())])
 GRAMS = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("head", pa.string()), ("t", pa.int64()), ("tail", pa.string()), ("n", pa.int64())])
+DDL = {2: "h long, t long, n long", 5: "lang string, h long, head string, t long, tail string, n long"}
 
 
 class Dictionary:
     """Numbers of the words of each language, from 1 on; 0 is none."""
 
     def __init__(self, files: list[str], complete: bool):
-        self.words, self.of, self.complete = [b""], {}, complete
+        self.words, self.langs, self.of, self.complete = [b""], [""], {}, complete
         for f in files:
             rows = pq.read_table(SparkFiles.get(f), columns=["lang", "phrase"])
             for lang, word in zip(*(rows.column(c).to_pylist() for c in ("lang", "phrase"))):
                 self.of.setdefault(lang, {})[word.encode()] = len(self.words)
                 self.words.append(word.encode())
+                self.langs.append(lang)
 
     def text(self, code: int) -> str:
         out = []
@@ -56,27 +62,33 @@ class Dictionary:
         return b" ".join(out).decode()
 
 
-def windows(words: list[bytes], max_n: int, known: Dictionary, lang: str) -> pa.RecordBatch:
-    """The distinct windows of ``words``, in which END ends a piece, and their counts: a window of max_n words has its last
-    one as t or tail, a shorter one at a piece's end has none. The others are in h, the first in its lowest bits, or head."""
-    of, last, own = known.of.get(lang, {}), len(known.words), {}
-    if known.complete:
-        ids = np.fromiter((of.get(w, 0) for w in words), np.int64, len(words))
-    else:
-        ids = np.fromiter((of.get(w) or (0 if w == END else last + own.setdefault(w, len(own))) for w in words), np.int64, len(words))
+def followed(ids: np.ndarray, max_n: int) -> list[np.ndarray]:
+    """The numbers of each word and of the max_n - 1 after it, 0 from its piece's end on."""
     at = np.flatnonzero(ids)
-    rows, on = [ids[at]], np.ones(len(at), bool)
-    padded = np.concatenate([ids, np.zeros(max_n, np.int64)])
+    rows, on, padded = [ids[at]], np.ones(len(at), bool), np.concatenate([ids, np.zeros(max_n, np.int64)])
     for k in range(1, max_n):
         on = on & (padded[at + k] > 0)
         rows.append(np.where(on, padded[at + k], 0))
+    return rows
+
+
+def windows(words: list[bytes], max_n: int, known: Dictionary, lang: str) -> pa.RecordBatch:
+    """The distinct windows of ``words``, in which END ends a piece, and their counts: a window of max_n words has its last
+    one as t or tail, a shorter one at a piece's end has none. The others are in h, the first in its lowest bits, or head."""
+    of, last, own = known.of.get(lang, {}), len(known.words), {}
+    if known.complete and max_n * BITS < 63:
+        rows = followed(np.fromiter((of.get(w, 0) for w in words), np.int64, len(words)), max_n)
+        code, n = np.unique(sum(r << BITS * k for k, r in enumerate(rows)), return_counts=True)
+        tail = code >> BITS * (max_n - 1)
+        return pa.RecordBatch.from_arrays([pa.array(code & (1 << BITS * (max_n - 1)) - 1), pa.array(tail, mask=tail == 0), pa.array(n, pa.int64())], schema=NUMBERS)
+    ids = np.fromiter((of.get(w) or (0 if w == END or known.complete else last + own.setdefault(w, len(own))) for w in words), np.int64, len(words))
+    rows = followed(ids, max_n)
     code = rows[0]
     for r in rows[1:]:  # equal prefixes get equal numbers, so a code stays far below 64 bits
         code = np.unique(code, return_inverse=True)[1] * (last + len(own)) + r
     _, first, n = np.unique(code, return_index=True, return_counts=True)
-    rows = [r[first] for r in rows]
-    spell = lambda i: known.words[i] if i < last else list_of[i - last]
-    list_of = list(own)
+    rows, new = [r[first] for r in rows], list(own)
+    spell = lambda i: known.words[i] if i < last else new[i - last]
 
     def coded(parts: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
         spelled = np.any([p >= last for p in parts], axis=0) if len(parts) * BITS < 63 else np.ones(len(first), bool)
@@ -86,14 +98,46 @@ def windows(words: list[bytes], max_n: int, known: Dictionary, lang: str) -> pa.
             text[i] = b" ".join(spell(int(p[i])) for p in parts if p[i]).decode()
         return pa.array(number, pa.int64(), mask=spelled | (number == 0)), pa.array(text, pa.string())
 
-    head = coded(rows[: max(1, max_n - 1)])
-    tail = coded(rows[-1:]) if max_n > 1 else (pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.string()))
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), *head, *tail, pa.array(n, pa.int64())], schema=GRAMS)
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), *coded(rows[:-1]), *coded(rows[-1:]), pa.array(n, pa.int64())], schema=GRAMS)
 
 
-def exploded(docs: DataFrame, max_n: int, files: list[str], complete: bool) -> DataFrame:
-    """(lang, h, head, t, tail, n): each task's windows and their counts."""
+def split(text: str | None) -> list[bytes]:
+    """The words of a text, END after each piece."""
+    return [*text_bytes(text).translate(FOLD).replace(END, b" \xff ").split(), END]
+
+
+def in_languages(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+
+
+def counted_words(docs: DataFrame) -> DataFrame:
+    """(lang, phrase, n) of all words; a task sends its counts once it holds FLUSH_WORDS words."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, counts in held.items():
+                counts.pop(END, None)
+                words = [w.decode() for w in counts]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string()), pa.array([*counts.values()], pa.int64())], names=["lang", "phrase", "n"])
+            held.clear()
+
+        for b in batches(it):
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held.setdefault(lang, Counter()).update(split(text))
+            if sum(map(len, held.values())) >= FLUSH_WORDS:
+                yield from flush()
+        yield from flush()
+
+    rows = in_languages(docs).mapInArrow(run, "lang string, phrase string, n long")
+    return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+
+
+def exploded(docs: DataFrame, max_n: int, files: list[str], complete: bool) -> DataFrame:
+    """Each task's windows and their counts: (h, t, n), or (lang, h, head, t, tail, n) where words are spelled out."""
+    short = complete and max_n * BITS < 63
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held = Dictionary(files, complete), {}
@@ -105,8 +149,7 @@ def exploded(docs: DataFrame, max_n: int, files: list[str], complete: bool) -> D
         for b in batches(it):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = held.setdefault(lang, [])
-                words += text_bytes(text).translate(FOLD).replace(END, b" \xff ").split()
-                words.append(END)
+                words += split(text)
                 if len(words) >= FLUSH_WORDS:
                     yield from flush(lang)
             if sum(map(len, held.values())) >= FLUSH_WORDS:
@@ -115,7 +158,7 @@ def exploded(docs: DataFrame, max_n: int, files: list[str], complete: bool) -> D
         for lang in list(held):
             yield from flush(lang)
 
-    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, ROW)
+    return in_languages(docs).mapInArrow(run, DDL[2 if short else 5])
 
 
 def spelled(rows: DataFrame, files: list[str]) -> DataFrame:
@@ -124,12 +167,15 @@ def spelled(rows: DataFrame, files: list[str]) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Dictionary(files, True)
         for b in batches(it):
-            lang, h, head, t, tail, n = b.columns
-            parts = [[known.text(c) if c is not None else x for c, x in zip(code.to_pylist(), text.to_pylist())] for code, text in ((h, head), (t, tail))]
-            phrase = [a if z is None else f"{a} {z}" for a, z in zip(*parts)]
-            yield pa.RecordBatch.from_arrays([lang, pa.array(phrase, pa.string()), n], names=["lang", "phrase", "n"])
+            of = dict(zip(b.schema.names, (c.to_pylist() for c in b.columns)))
+            none = [None] * b.num_rows
+            head = [known.text(c) if c is not None else x for c, x in zip(of["h"], of.get("head", none))]
+            tail = [known.text(c) if c is not None else x for c, x in zip(of["t"], of.get("tail", none))]
+            lang = of.get("lang") or [known.langs[c & (1 << BITS) - 1] for c in of["h"]]
+            phrase = [a if z is None else f"{a} {z}" for a, z in zip(head, tail)]
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(of["n"], pa.int64())], names=["lang", "phrase", "n"])
 
-    return rows.select("lang", "h", "head", "t", "tail", "n").mapInArrow(run, "lang string, phrase string, n long")
+    return rows.mapInArrow(run, "lang string, phrase string, n long")
 
 
 def with_size(phrases: DataFrame) -> DataFrame:
@@ -139,19 +185,22 @@ def with_size(phrases: DataFrame) -> DataFrame:
 def counted(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> DataFrame:
     """(lang, phrase, words, n): all words, and the phrases of 2 to max_n words that occur ``least`` times or more."""
     spark = docs.sparkSession
-    words = materialised(exploded(docs, 1, [], False).groupBy("lang", F.col("head").alias("phrase")).agg(F.sum("n").alias("n")), "words")
+    words = materialised(counted_words(docs), "words")
     frequent, path = words.where(F.col("n") >= least), shared_dir(spark, "dictionary")
     frequent.orderBy(F.desc("n"), "lang", "phrase").limit(DICTIONARY).write.parquet(path)
     files, complete = shipped(spark, path), frequent.count() <= DICTIONARY
-    dealt = exploded(docs, max_n, files, complete).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "lang", "h", "head")
-    own, none = F.struct("t", "tail"), F.struct(F.lit(None).cast("long").alias("t"), F.lit(None).cast("string").alias("tail"))
-    both = F.when(F.col("t").isNull() & F.col("tail").isNull(), F.array(none)).otherwise(F.array(own, none))
-    rows = dealt.select("lang", "h", "head", "n", F.explode(both).alias("x")).select("lang", "h", "head", "x.*", "n")
-    here = rows.groupBy("lang", "h", "head", "t", "tail").agg(F.sum("n").alias("n"))  # all rows of a head lie together
+    dealt = exploded(docs, max_n, files, complete)
+    left, right = [[c for c in cols if c in dealt.columns] for cols in (["lang", "h", "head"], ["t", "tail"])]
+    dealt = dealt.repartition(FINER * int(spark.conf.get("spark.sql.shuffle.partitions")), *left)
+    none = F.struct(*(F.lit(None).cast(dict(dealt.dtypes)[c]).alias(c) for c in right))
+    shorter_one = reduce(Column.__and__, (F.col(c).isNull() for c in right))
+    both = F.when(shorter_one, F.array(none)).otherwise(F.array(F.struct(*right), none))
+    rows = dealt.select(*left, "n", F.explode(both).alias("x")).select(*left, "x.*", "n")
+    here = rows.groupBy(*left, *right).agg(F.sum("n").alias("n"))  # all rows of a head lie together
     whole = with_size(spelled(here.where(F.col("n") >= least), files)).where(F.col("words").between(max(2, max_n - 1), max_n))
     out = with_size(words).union(whole)
     if max_n > 3:  # prefixes shorter than a head
-        heads = spelled(here.where("t is null and tail is null"), files)
+        heads = spelled(here.where(shorter_one), files)
         each = heads.select("lang", "n", F.split("phrase", " ").alias("w")).where(F.size("w") > 1)
         sizes = F.sequence(F.lit(2), F.least(F.size("w"), F.lit(max_n - 2)))
         shorter = each.select("lang", F.explode(F.transform(sizes, lambda k: F.array_join(F.slice("w", 1, k), " "))).alias("phrase"), "n")
