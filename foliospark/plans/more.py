@@ -9,7 +9,6 @@ from foliospark.functions import text as T
 from foliospark.operators import changes, matching, ranking, records, search
 from foliospark.plans.oracle import CITES, M, PW, TEXT, W5, WORKS
 from foliospark.plans.queries import FILTERS
-from foliospark.plans.session import checkpoint_dir
 from foliospark.sources import entities as E
 
 
@@ -175,19 +174,6 @@ def q_cleaned_fields(s, d):
     return c.select("c_custkey", T.year_of(raw, 2028).alias("year"), T.count_of(F.col("c_acctbal")).alias("count"), T.is_absent(raw).alias("absent"), T.similarity_band(share).alias("band"), F.round(share * 100, 4).alias("percent"))
 
 
-def references_and_works(s, d):
-    w = E.works(s, d)
-    words = F.split("title", " ")
-    said = F.when(F.col("work_id") % 4 == 0, F.array_join(F.slice(words, 1, 2), " ")).otherwise(F.upper("title"))
-    r = w.select((F.col("work_id") * 10).alias("ref_id"), said.alias("title"), "venue", (F.col("year") + F.when(F.col("work_id") % 3 == 0, 1).otherwise(0)).alias("year"))
-    return r, w.select("work_id", "title", "venue", "year")
-
-
-def q_reference_matches(s, d):
-    checkpoint_dir(s)
-    return matching.assigned(matching.scored(*references_and_works(s, d)))
-
-
 def q_containment(s, d):
     b = E.table(s, d, "benchmark").select("item_id", T.tokens(F.col("text")).alias("t"))
     first = b.agg(F.min_by("t", "item_id").alias("t0"))  # one row

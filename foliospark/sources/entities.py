@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -52,3 +52,44 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.when(F.col("l_linenumber") == 1, "mg/L").when(F.col("l_linenumber") == 2, "g/L").when(F.col("l_linenumber") == 3, "kPa").when(F.col("l_linenumber") == 4, "°C").when(F.col("l_linenumber") == 5, "furlong")
     value = F.when(F.col("l_linenumber") != 7, F.col("l_quantity"))
     return x.select(F.col("l_orderkey").alias("run_id"), F.col("l_partkey").alias("work_id"), F.col("l_returnflag").alias("field"), F.col("l_linenumber").alias("ordinal"), value.alias("value"), unit.alias("unit"), (F.col("l_tax") * 100 * F.col("l_discount") * 100).alias("error"), F.col("l_suppkey").cast("string").alias("subject"), F.date_format("l_shipdate", "yyyy-MM").alias("conditions"), (F.col("l_orderkey") % 5 == 0).alias("superseded"), F.col("l_linestatus").alias("kind"))
+
+
+def letters(x: Column) -> Column:
+    """Nine letters made from a text's hash."""
+    return F.translate(F.substring(F.md5(x), 1, 9), "0123456789abcdef", "bcdfghjklmnprstv")
+
+
+def surname(work: Column, k: int) -> Column:
+    """The k-th author's surname of a work, one of 211."""
+    return letters(F.concat(F.lit("a"), ((work * 7 + k * (k + 31) * work + k) % 211).cast("string")))
+
+
+def published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works as a bibliography knows them: title, DOI for two of three, one to four authors, year, venue."""
+    p = table(spark, sf_dir, "part")
+    w = F.col("p_partkey")
+    word = lambda kind, x: F.translate(F.substring(F.md5(F.concat(F.lit(kind), x.cast("string"))), 1, 7), "0123456789abcdef", "bcdfghjklmnprstv")
+    part = F.when(w % 17 == 0, ". II. ").when(w % 17 == 1, ". I. ").otherwise(" of ")
+    title = F.concat("p_name", part, word("x", w), F.lit(" and "), word("y", w % 97), F.lit(" in "), word("z", F.floor(w / 2)))
+    return p.select(
+        w.alias("work_id"), title.alias("title"), F.when(w % 3 != 0, F.concat(F.lit("10.1234/w."), w.cast("string"))).alias("doi"), F.slice(F.array(*(surname(w, k) for k in range(4))), 1, (w % 4 + 1).cast("int")).alias("author_surnames"),
+        F.when(w % 13 != 0, F.col("p_size") + 1970).alias("year"), F.concat(F.lit("Journal of "), F.initcap(F.lower("p_type")), F.lit(" "), word("v", w % 23)).alias("venue"),
+    )
+
+
+def bibliographies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References as printed: each customer's orders name a work each, in one of ten manners; none is wholly clean."""
+    o, w = table(spark, sf_dir, "orders"), published(spark, sf_dir)
+    n = table(spark, sf_dir, "part").agg(F.max("p_partkey") + 1).first()[0]
+    rows = o.select((F.col("o_custkey") % n).alias("citing"), F.row_number().over(W.partitionBy(F.col("o_custkey") % n).orderBy("o_orderkey")).alias("ref_index"), (F.col("o_orderkey") * 7919 % n).alias("work_id"), (F.col("o_orderkey") % 10).alias("how"))
+    x = rows.join(w, "work_id")
+    how, s = F.col("how"), F.col("author_surnames")
+    damaged = F.transform(s, lambda a: F.concat(F.substring(a, 1, 2), F.lit("q"), F.substring(a, F.lit(4), F.length(a))))
+    cut = F.array_join(F.slice(F.split("title", " "), F.lit(1), F.size(F.split("title", " ")) - 2), " ")
+    title = F.when(how.isin(5, 6, 7), None).when(how == 3, F.upper("title")).when(how == 4, cut).otherwise(F.col("title"))
+    year = F.when(how == 8, F.col("year") + 1).when(how == 9, F.col("year") + 5).otherwise(F.col("year"))
+    venue = F.when(how == 9, "Annals of Nothing").when(how.isin(5, 6), F.regexp_replace("venue", "Journal of ([A-Za-z]{3})[a-z]*", "J. $1.")).otherwise(F.col("venue"))
+    raw = F.concat(F.array_join(F.transform(F.when(how == 6, F.slice(s, 1, 1)).otherwise(s), lambda a: F.concat(F.initcap(a), F.lit(", A."))), "; "), F.when(how == 6, " et al. ").otherwise(" "), F.when(how == 7, F.col("title")).otherwise(F.coalesce(title, F.lit(""))), F.lit(" "), venue)
+    doi = F.when(how == 0, F.concat(F.lit("https://doi.org/"), F.upper("doi"), F.lit(".")))
+    names = F.when(how == 2, damaged).when(how == 7, F.slice(s, 1, 0)).otherwise(s)
+    return x.select("citing", "ref_index", doi.alias("doi"), title.alias("title"), names.alias("surnames"), year.alias("year"), venue.alias("venue"), raw.alias("raw"))
