@@ -19,6 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,23 +44,20 @@ DDL = {2: "h long, t long, n long", 5: "lang string, h long, head string, t long
 
 
 class Dictionary:
-    """Numbers of the words of each language, from 1 on; 0 is none."""
+    """Numbers of the words of each language, from 1 on; 0 is none. ``last`` is larger than any."""
 
     def __init__(self, files: list[str], complete: bool):
-        self.words, self.langs, self.of, self.complete = [b""], [""], {}, complete
-        for f in files:
-            rows = pq.read_table(SparkFiles.get(f), columns=["lang", "phrase"])
-            for lang, word in zip(*(rows.column(c).to_pylist() for c in ("lang", "phrase"))):
-                self.of.setdefault(lang, {})[word.encode()] = len(self.words)
-                self.words.append(word.encode())
-                self.langs.append(lang)
-
-    def text(self, code: int) -> str:
-        out = []
-        while code:
-            out.append(self.words[code & (1 << BITS) - 1])
-            code >>= BITS
-        return b" ".join(out).decode()
+        rows = pa.concat_tables([pq.read_table(SparkFiles.get(f), columns=["lang", "phrase", "id"]) for f in files])
+        self.rows, self.of, self.complete, self.last = rows, {}, complete, rows.num_rows + 1
+
+    def numbers(self, lang: str) -> dict[bytes, int]:
+        if lang not in self.of:
+            own = self.rows.filter(pc.equal(self.rows["lang"], lang))
+            self.of[lang] = dict(zip(own["phrase"].cast(pa.binary()).to_pylist(), own["id"].to_pylist()))
+        return self.of[lang]
+
+    def words(self, lang: str) -> dict[int, bytes]:
+        return {i: w for w, i in self.numbers(lang).items()}
 
 
 def followed(ids: np.ndarray, max_n: int) -> list[np.ndarray]:
@@ -75,7 +73,7 @@ def followed(ids: np.ndarray, max_n: int) -> list[np.ndarray]:
 def windows(words: list[bytes], max_n: int, known: Dictionary, lang: str) -> pa.RecordBatch:
     """The distinct windows of ``words``, in which END ends a piece, and their counts: a window of max_n words has its last
     one as t or tail, a shorter one at a piece's end has none. The others are in h, the first in its lowest bits, or head."""
-    of, last, own = known.of.get(lang, {}), len(known.words), {}
+    of, last, own = known.numbers(lang), known.last, {}
     if known.complete and max_n * BITS < 63:
         rows = followed(np.fromiter((of.get(w, 0) for w in words), np.int64, len(words)), max_n)
         code, n = np.unique(sum(r << BITS * k for k, r in enumerate(rows)), return_counts=True)
@@ -87,8 +85,8 @@ def windows(words: list[bytes], max_n: int, known: Dictionary, lang: str) -> pa.
     for r in rows[1:]:  # equal prefixes get equal numbers, so a code stays far below 64 bits
         code = np.unique(code, return_inverse=True)[1] * (last + len(own)) + r
     _, first, n = np.unique(code, return_index=True, return_counts=True)
-    rows, new = [r[first] for r in rows], list(own)
-    spell = lambda i: known.words[i] if i < last else new[i - last]
+    rows, new, old = [r[first] for r in rows], list(own), known.words(lang)
+    spell = lambda i: old[i] if i < last else new[i - last]
 
     def coded(parts: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
         spelled = np.any([p >= last for p in parts], axis=0) if len(parts) * BITS < 63 else np.ones(len(first), bool)
@@ -161,21 +159,17 @@ def exploded(docs: DataFrame, max_n: int, files: list[str], complete: bool) -> D
     return in_languages(docs).mapInArrow(run, DDL[2 if short else 5])
 
 
-def spelled(rows: DataFrame, files: list[str]) -> DataFrame:
-    """(lang, phrase, n): numbers turned into their words."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Dictionary(files, True)
-        for b in batches(it):
-            of = dict(zip(b.schema.names, (c.to_pylist() for c in b.columns)))
-            none = [None] * b.num_rows
-            head = [known.text(c) if c is not None else x for c, x in zip(of["h"], of.get("head", none))]
-            tail = [known.text(c) if c is not None else x for c, x in zip(of["t"], of.get("tail", none))]
-            lang = of.get("lang") or [known.langs[c & (1 << BITS) - 1] for c in of["h"]]
-            phrase = [a if z is None else f"{a} {z}" for a, z in zip(head, tail)]
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(of["n"], pa.int64())], names=["lang", "phrase", "n"])
-
-    return rows.mapInArrow(run, "lang string, phrase string, n long")
+def spelled(rows: DataFrame, dictionary: DataFrame, max_n: int) -> DataFrame:
+    """(lang, phrase, n): numbers turned into their words. The dictionary has DICTIONARY rows at most, so it is broadcast."""
+    out, places = rows, []
+    words = F.broadcast(dictionary.select(F.col("id").alias("key"), F.col("phrase").alias("word"), F.col("lang").alias("of")))
+    for k in range(max_n):
+        code = F.col("t") if k == max_n - 1 else F.shiftright("h", BITS * k).bitwiseAND((1 << BITS) - 1) if k * BITS < 63 else F.lit(None).cast("long")
+        out = out.withColumn("key", code).join(words, "key", "left").withColumnsRenamed({"word": f"w{k}", "of": f"of{k}"}).drop("key")
+        places.append(f"w{k}")
+    lang = F.coalesce("lang", "of0") if "lang" in rows.columns else F.col("of0")
+    texts = ["head", *places[:-1], "tail", places[-1]] if "head" in rows.columns else places
+    return out.select(lang.alias("lang"), F.concat_ws(" ", *texts).alias("phrase"), "n")
 
 
 def with_size(phrases: DataFrame) -> DataFrame:
@@ -187,8 +181,9 @@ def counted(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> DataFram
     spark = docs.sparkSession
     words = materialised(counted_words(docs), "words")
     frequent, path = words.where(F.col("n") >= least), shared_dir(spark, "dictionary")
-    frequent.orderBy(F.desc("n"), "lang", "phrase").limit(DICTIONARY).write.parquet(path)
-    files, complete = shipped(spark, path), frequent.count() <= DICTIONARY
+    best = frequent.orderBy(F.desc("n"), "lang", "phrase").limit(DICTIONARY)
+    best.withColumn("id", F.row_number().over(W.orderBy(F.desc("n"), "lang", "phrase")).cast("long")).write.parquet(path)
+    dictionary, files, complete = spark.read.parquet(path), shipped(spark, path), frequent.count() <= DICTIONARY
     dealt = exploded(docs, max_n, files, complete)
     left, right = [[c for c in cols if c in dealt.columns] for cols in (["lang", "h", "head"], ["t", "tail"])]
     dealt = dealt.repartition(FINER * int(spark.conf.get("spark.sql.shuffle.partitions")), *left)
@@ -197,10 +192,10 @@ def counted(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> DataFram
     both = F.when(shorter_one, F.array(none)).otherwise(F.array(F.struct(*right), none))
     rows = dealt.select(*left, "n", F.explode(both).alias("x")).select(*left, "x.*", "n")
     here = rows.groupBy(*left, *right).agg(F.sum("n").alias("n"))  # all rows of a head lie together
-    whole = with_size(spelled(here.where(F.col("n") >= least), files)).where(F.col("words").between(max(2, max_n - 1), max_n))
+    whole = with_size(spelled(here.where(F.col("n") >= least), dictionary, max_n)).where(F.col("words").between(max(2, max_n - 1), max_n))
     out = with_size(words).union(whole)
     if max_n > 3:  # prefixes shorter than a head
-        heads = spelled(here.where(shorter_one), files)
+        heads = spelled(here.where(shorter_one), dictionary, max_n)
         each = heads.select("lang", "n", F.split("phrase", " ").alias("w")).where(F.size("w") > 1)
         sizes = F.sequence(F.lit(2), F.least(F.size("w"), F.lit(max_n - 2)))
         shorter = each.select("lang", F.explode(F.transform(sizes, lambda k: F.array_join(F.slice("w", 1, k), " "))).alias("phrase"), "n")
