@@ -93,3 +93,24 @@ def bibliographies(spark: SparkSession, sf_dir: str) -> DataFrame:
     doi = F.when(how == 0, F.concat(F.lit("https://doi.org/"), F.upper("doi"), F.lit(".")))
     names = F.when(how == 2, damaged).when(how == 7, F.slice(s, 1, 0)).otherwise(s)
     return x.select("citing", "ref_index", doi.alias("doi"), title.alias("title"), names.alias("surnames"), year.alias("year"), venue.alias("venue"), raw.alias("raw"))
+
+
+def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text): a paper for each bibliography: a paragraph for each reference, then the list in one of five styles, with
+    a heading or none, running heads between entries and a section after it."""
+    r = bibliographies(spark, sf_dir)
+    i, style = F.col("ref_index"), F.col("citing") % 5
+    mark = lambda x: F.when(style == 2, F.concat(F.lit("("), x, F.lit(")"))).otherwise(F.concat(F.lit("["), x, F.lit("]")))
+    n = lambda k: (i + k).cast("string")
+    odd = F.when(i % 5 == 0, F.concat(F.lit(", as eq "), mark(n(0)))).when(i % 5 == 1, F.concat(F.lit(", not "), mark(F.lit("4-400")))).otherwise("")
+    said = F.concat(F.lit("Paragraph "), n(0), F.lit(" follows the earlier work "), mark(n(0)), odd, F.lit(" in all that matters here. Others "), mark(F.when(i % 2 == 0, F.concat(n(0), F.lit("-"), n(2))).otherwise(F.concat(n(0), F.lit(", "), n(1)))), F.lit(" found the same in other places."))
+    names = F.when(F.size("surnames") > 0, F.array_join(F.transform("surnames", lambda a: F.concat(F.initcap(a), F.lit(", A."))), "; ")).otherwise("Anon, X.")
+    entry = F.concat(names, F.lit(" "), F.coalesce("title", F.lit("Abstr.")), F.lit(" "), n(0), F.lit(".\n"), "venue", F.lit(" 12, "), n(100), F.lit("–"), n(110), F.coalesce(F.concat(F.lit(" doi:"), F.regexp_replace(F.lower("doi"), r"^https://doi.org/|\.$", "")), F.lit("")), F.lit(" ("), F.coalesce(F.col("year").cast("string"), F.lit("1999")), F.lit(")."))
+    lead = F.when(style == 0, F.concat(n(0), F.lit(". "))).when(style == 1, F.concat(F.lit("["), n(0), F.lit("] "))).when(style == 2, F.concat(F.lit("("), n(0), F.lit(") "))).when(style == 3, F.concat(n(0), F.lit(" "))).otherwise("")
+    head = F.when((i % 3 == 0) & (style < 4), F.concat(F.lit("\nImaginary Results Reports "), n(30))).otherwise("")
+    row = F.struct("ref_index", said.alias("said"), F.concat(lead, entry, head).alias("entry"))
+    all_ = r.groupBy("citing").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    kind = F.col("citing") % 4
+    heading = F.when(kind == 0, "References\n").when(kind == 1, "REFERENCES AND NOTES\n").when(kind == 2, "R EFERENCES\n").otherwise("")
+    text = F.concat(F.array_join(F.transform("rows", lambda x: x["said"]), "\n\n"), F.lit("\n\n"), heading, F.array_join(F.transform("rows", lambda x: x["entry"]), "\n"), F.lit("\nAcknowledgements\nWe thank all who helped."))
+    return all_.select(F.col("citing").alias("id"), text.alias("text"))

@@ -1,7 +1,6 @@
 """Each query of the library against its SQL in DuckDB, on the smallest tables."""
 
 import math
-import random
 from pathlib import Path
 
 import duckdb
@@ -45,30 +44,6 @@ def test_search_page_is_in_order(spark):
     assert got and got == sorted(got)
 
 
-def test_greedy_assignment(spark):
-    from foliospark.operators import matching
-    from foliospark.plans.session import checkpoint_dir
-
-    checkpoint_dir(spark)
-    rng = random.Random(1)
-    rows = list({(rng.randrange(30), rng.randrange(30), rng.choice((0.7, 0.8, 0.9))) for _ in range(300)})
-    refs, works, expected = set(), set(), set()
-    for r, w, score in sorted(rows, key=lambda x: (-x[2], x[0], x[1])):
-        if r not in refs and w not in works:
-            refs.add(r)
-            works.add(w)
-            expected.add((r, w, score))
-    got = matching.assigned(spark.createDataFrame(rows, "ref_id long, work_id long, score double")).collect()
-    assert {tuple(r) for r in got} == expected
-
-
-def test_reference_matches(spark):
-    """Whole titles with their venue find their work; no reference or work twice."""
-    out = QUERIES["reference_matches"](spark, SF).collect()
-    assert len({r.ref_id for r in out}) == len({r.work_id for r in out}) == len(out)
-    assert sum(r.ref_id == 10 * r.work_id for r in out if r.work_id % 4) >= 0.7 * sum(r.work_id % 4 > 0 for r in out) > 0
-
-
 def test_packed_chunks(spark):
     docs = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect() if r.text is not None]
     got = [(r.chunks, r.longest, r.chars) for r in QUERIES["packed_chunks"](spark, SF).orderBy("doc_id").collect()]
