@@ -52,3 +52,19 @@ def newest_per_group(df: DataFrame, group: str, order: list, key: list[str], kee
     """History: of equal keys only the newest row, of these the newest ``keep`` of each group."""
     last = df.withColumn("rn", F.row_number().over(W.partitionBy(group, *key).orderBy(*order))).where("rn = 1").drop("rn")
     return top_per_group(last, group, order, keep)
+
+
+def numbered(df: DataFrame, group: list[str], order: list, out: str) -> DataFrame:
+    """Numbers the rows of each group from 1 in this order, however large a group is: rows are sorted over all partitions
+    by range, numbered in each, and moved up by the counts of the partitions before. The sorted rows are checkpointed."""
+    names = [c for c in df.columns]
+    keys = [F.col(c) if isinstance(c, str) else c for c in [*group, *order]]
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = rows.select("*", F.spark_partition_id().alias("part__"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row__")).checkpoint()
+    parts = rows.groupBy(*group, "part__").agg(F.count("*").alias("n__"), F.min("row__").alias("first__"))
+    before = F.coalesce(F.sum("n__").over(W.partitionBy(*group).orderBy("part__").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select(*[F.col(c).alias(f"{c}__g") for c in group], F.col("part__").alias("p__"), (before - F.col("first__") + 1).alias("up__"))
+    same = (F.col("part__") == F.col("p__"))
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}__g"))
+    return rows.join(starts, same).withColumn(out, F.col("row__") + F.col("up__")).select(*names, out)

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed values of units: unit, canonical unit, scale, offset.
-UNITS = (("mg/L", "kg m^-3", 0.001, 0.0), ("g/L", "kg m^-3", 1.0, 0.0), ("kPa", "Pa", 1000.0, 0.0), ("°C", "K", 1.0, 273.15))
+from foliospark.operators import units
+from foliospark.operators.ranking import numbered
+
+#: Least records of a relation between columns, its tolerance and largest reach in decades; least values of a run and of the
+#: others, and decades between their medians, of a shifted scale.
+RELATED, TOLERANCE, REACH, RUN_VALUES, OTHERS, SHIFTED = 4, 0.05, 9, 3, 5, 2.0
 
 
 def canonical(records: DataFrame) -> DataFrame:
-    """Adds canonical unit and value, absent if the unit isn't known. The units are a handful of rows, so broadcast."""
-    units = records.sparkSession.createDataFrame(UNITS, "unit string, canonical_unit string, scale double, shift double")
-    out = records.join(F.broadcast(units), "unit", "left")
-    return out.withColumn("canonical_value", F.col("value") * F.col("scale") + F.col("shift")).drop("scale", "shift")
+    """Adds canonical unit and value, absent if the unit isn't known."""
+    return units.canonical(records).drop("scale", "shift")
 
 
 def status(records: DataFrame) -> DataFrame:
@@ -77,3 +79,44 @@ def duplicates(records: DataFrame) -> DataFrame:
 def cell_conflicts(records: DataFrame) -> DataFrame:
     """Cells (work, field, subject, conditions) with more than one value."""
     return records.groupBy("work_id", "field", "subject", "conditions").agg(F.count_distinct("value").alias("n_values")).where("n_values > 1")
+
+
+def derived_gaps(records: DataFrame, group: str) -> DataFrame:
+    """(group, numerator, denominator, result, decades, n): triples of fields where result / (numerator / denominator) is the
+    same power of ten, not 1, for RELATED subjects or more; of the orders of one triple the first.
+
+    A subject has a field's first value by run and ordinal; units must be known and scale only.
+    """
+    known = units.canonical(records.where("value is not null")).where("canonical_unit is not null and shift = 0")
+    rows = known.select(group, F.lower(F.trim("subject")).alias("key"), "field", "run_id", "ordinal", (F.col("value") * F.col("scale")).alias("v")).where("key != ''")
+    cells = rows.groupBy(group, "key", "field").agg(F.min_by("v", F.struct("run_id", "ordinal", "v")).alias("v")).where("v != 0")
+    of = lambda f, v: cells.select(group, "key", F.col("field").alias(f), F.col("v").alias(v))
+    trip = of("numerator", "a").join(of("denominator", "b"), [group, "key"]).where("numerator != denominator").join(of("result", "c"), [group, "key"]).where("result != numerator and result != denominator")
+    ratio = F.col("c") / (F.col("a") / F.col("b"))
+    log = F.when((ratio > 0) & (ratio < float("inf")), F.log10(ratio))
+    by = trip.withColumn("l", log).where("l is not null").groupBy(group, "numerator", "denominator", "result").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.count("*").alias("n"))
+    good = by.withColumn("decades", F.floor(F.col("lo") + 0.5)).where((F.col("n") >= RELATED) & (F.col("decades") != 0) & (F.abs("decades") <= REACH) & (F.col("decades") - F.col("lo") <= TOLERANCE) & (F.col("hi") - F.col("decades") <= TOLERANCE))
+    triple = F.array_sort(F.array("numerator", "denominator", "result"))
+    first = F.min(F.struct("numerator", "denominator", "result", "decades", "n")).alias("x")
+    return good.groupBy(group, triple.alias("triple")).agg(first).select(group, "x.*")
+
+
+def scale_shifts(records: DataFrame) -> DataFrame:
+    """(field, canonical_unit, run_id, n, median, others, others_median, decades): runs whose values' median lies more than
+    SHIFTED decades from that of all other runs.
+
+    All values of a field and unit are ranked once. The i-th value of the others is that of rank i plus the run's own
+    values before it, so each run's two middle ones are looked up, and no run gathers the others.
+    """
+    key = ["field", "canonical_unit"]
+    rows = canonical(records.where("value is not null")).where("canonical_unit is not null").select(*key, "run_id", F.abs("canonical_value").alias("v")).where("v > 0")
+    ranked = numbered(rows, key, ["v", "run_id"], "rank")
+    total = ranked.groupBy(*key).agg(F.count("*").alias("total"))
+    runs = ranked.groupBy(*key, "run_id").agg(F.array_sort(F.collect_list("rank")).alias("ranks"), F.count("*").alias("n"), F.percentile("v", 0.5).alias("median")).where(F.col("n") >= RUN_VALUES)
+    runs = runs.join(total, key).withColumn("others", F.col("total") - F.col("n")).where(F.col("others") >= OTHERS)
+    place = lambda i: i + F.size(F.filter(F.transform("ranks", lambda r, j: r - j - 1), lambda before: before < i))
+    middle = F.array(F.floor((F.col("others") + 1) / 2), F.floor((F.col("others") + 2) / 2))
+    asked = runs.withColumn("rank", F.explode(F.transform(middle, place)))
+    found = asked.join(ranked.select(*key, "rank", "v"), [*key, "rank"]).groupBy(*key, "run_id", "n", "median", "others").agg(F.avg("v").alias("others_median"))
+    off = F.abs(F.log10(F.col("median") / F.col("others_median")))
+    return found.withColumn("decades", off).where(F.col("decades") > SHIFTED)

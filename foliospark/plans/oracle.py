@@ -5,13 +5,14 @@ from __future__ import annotations
 WORKS = """works AS (SELECT p_partkey AS work_id, p_name AS title, p_brand AS venue, p_type AS work_type, CASE WHEN p_partkey % 13 <> 0 THEN p_size + 1990 END AS year, CASE WHEN p_partkey % 7 <> 0 THEN p_type || ' ' || p_name END AS abstract FROM part)"""
 CITES = """cites AS (SELECT DISTINCT a.l_partkey AS citing, b.l_partkey AS cited FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"""
 PW = """pw AS (SELECT c_nationkey AS project_id, o_orderkey AS work_id, CASE WHEN o_orderkey % 11 <> 0 THEN round(o_totalprice / 1000, 1) END AS relevance, CASE o_orderstatus WHEN 'F' THEN 'included' WHEN 'O' THEN 'undecided' ELSE 'excluded' END AS inclusion_status FROM orders JOIN customer ON o_custkey = c_custkey)"""
-M = """m AS (SELECT l_orderkey AS run_id, l_partkey AS work_id, l_returnflag AS field, l_linenumber AS ordinal, CASE WHEN l_linenumber <> 7 THEN l_quantity END AS value, CASE l_linenumber WHEN 1 THEN 'mg/L' WHEN 2 THEN 'g/L' WHEN 3 THEN 'kPa' WHEN 4 THEN '°C' WHEN 5 THEN 'furlong' END AS unit, l_tax * 100 * l_discount * 100 AS error, CAST(l_suppkey AS VARCHAR) AS subject, strftime(l_shipdate, '%Y-%m') AS conditions, l_orderkey % 5 = 0 AS superseded, l_linestatus AS kind FROM lineitem)"""
+M = """m AS (SELECT l_orderkey AS run_id, l_partkey AS work_id, l_returnflag AS field, l_linenumber AS ordinal, CASE WHEN l_linenumber <> 7 THEN l_quantity END AS value, CASE l_linenumber WHEN 1 THEN 'mM' WHEN 2 THEN CASE WHEN l_suppkey % 3 = 0 THEN 'uM' ELSE 'µM' END WHEN 3 THEN CASE l_suppkey % 3 WHEN 0 THEN 'min^-1' WHEN 1 THEN '1/min' ELSE 'min⁻¹' END WHEN 4 THEN CASE WHEN l_suppkey % 3 = 0 THEN 'K' ELSE 'kelvin' END WHEN 5 THEN 'furlong' END AS unit, l_tax * 100 * l_discount * 100 AS error, CAST(l_suppkey AS VARCHAR) AS subject, strftime(l_shipdate, '%Y-%m') AS conditions, l_orderkey % 5 = 0 AS superseded, l_linestatus AS kind FROM lineitem)"""
 FOLD = "lower(regexp_replace(regexp_replace(translate({x}, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY'), '[-–—_]', ' ', 'g'), '\\s+', ' ', 'g'))"
 TEXT = "(" + " OR ".join(f"coalesce(contains({FOLD.format(x=f)}, '{n}'), false)" for n in ("ring", "plate") for f in ("title", "abstract", "venue")) + ")"
 VENUE = "venue IN ('Brand#1', 'Brand#2', 'Brand#17', 'Brand#4')"
 YEAR = "coalesce(year = 2030 OR year BETWEEN 1995 AND 2020, false)"
 W5 = f"{WORKS}, {CITES}, wc AS (SELECT works.*, coalesce(n, 0) AS n_citations FROM works LEFT JOIN (SELECT cited, count(*) AS n FROM cites GROUP BY cited) ON cited = work_id)"
-CANON = "CASE unit WHEN 'mg/L' THEN 'kg m^-3' WHEN 'g/L' THEN 'kg m^-3' WHEN 'kPa' THEN 'Pa' WHEN '°C' THEN 'K' END"
+CANON = "CASE WHEN unit IN ('mM', 'uM', 'µM') THEN 'M' WHEN unit IN ('min^-1', '1/min', 'min⁻¹') THEN 's^-1' WHEN unit IN ('K', 'kelvin') THEN '°C' END"
+CANONICAL = "CASE WHEN unit = 'mM' THEN value * 1e-3 WHEN unit IN ('uM', 'µM') THEN value * 1e-6 WHEN unit IN ('min^-1', '1/min', 'min⁻¹') THEN value / 60 WHEN unit IN ('K', 'kelvin') THEN value - 273.15 END"
 STATUS = "CASE WHEN kind = 'conflict' THEN 'conflict' WHEN value IS NULL THEN 'invalid' WHEN unit IS NULL OR kind = 'inferred' THEN 'review' ELSE 'validated' END"
 
 ORACLE = {
@@ -42,7 +43,7 @@ i AS (SELECT * FROM e WHERE citing IN (SELECT work_id FROM n) AND cited IN (SELE
 SELECT work_id, relevance, (SELECT count(*) FROM e WHERE cited = work_id) AS in_degree, (SELECT count(*) FROM e WHERE citing = work_id) AS out_degree, (SELECT count(*) FROM i WHERE cited = work_id) AS inner_in, (SELECT count(*) FROM i WHERE citing = work_id) AS inner_out FROM n""",
     "cited_by": f"""WITH {CITES}, n AS (SELECT p_partkey AS work_id FROM part WHERE p_partkey % 9 <> 0 AND (p_partkey * 37 % 100) / 100 >= 0.3) SELECT cited, count(DISTINCT citing) AS n_citing FROM cites WHERE citing <> cited AND citing IN (SELECT work_id FROM n) AND cited IN (SELECT work_id FROM n) GROUP BY cited""",
     "reachable": f"""WITH RECURSIVE {CITES}, r AS (SELECT p_partkey AS node, 0 AS hops FROM part WHERE p_partkey < 3 UNION SELECT cited, hops + 1 FROM r JOIN cites ON node = citing WHERE hops < 60) SELECT node, min(hops) AS hops FROM r GROUP BY node""",
-    "records": f"""WITH {M} SELECT run_id, work_id, field, ordinal, value, unit, {CANON} AS canonical_unit, round(CASE unit WHEN 'mg/L' THEN value * 0.001 WHEN 'g/L' THEN value WHEN 'kPa' THEN value * 1000 WHEN '°C' THEN value + 273.15 END, 6) AS canonical_value, subject, conditions, {STATUS} AS status FROM m WHERE NOT superseded""",
+    "records": f"""WITH {M} SELECT run_id, work_id, field, ordinal, value, unit, {CANON} AS canonical_unit, round({CANONICAL}, 6) AS canonical_value, subject, conditions, {STATUS} AS status FROM m WHERE NOT superseded""",
     "status_summary": f"WITH {M} SELECT {STATUS} AS status, count(*) AS n, count(DISTINCT work_id) AS works FROM m WHERE NOT superseded GROUP BY 1",
     "matrix": f"""WITH {M}, k AS (SELECT *, lower(trim(subject)) || '|' || lower(trim(conditions)) AS reading FROM m WHERE NOT superseded AND value IS NOT NULL), f AS (SELECT *, row_number() OVER (PARTITION BY work_id, reading, field ORDER BY run_id, ordinal, value) AS rn FROM k)
 SELECT work_id, reading, max(value) FILTER (field = 'A') AS field_a, max(value) FILTER (field = 'N') AS field_n, max(value) FILTER (field = 'R') AS field_r FROM f WHERE rn = 1 GROUP BY work_id, reading""",

@@ -49,7 +49,9 @@ def project_works(spark: SparkSession, sf_dir: str) -> DataFrame:
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts with a value, from lineitem: the run is the order, superseded for every fifth."""
     x = table(spark, sf_dir, "lineitem")
-    unit = F.when(F.col("l_linenumber") == 1, "mg/L").when(F.col("l_linenumber") == 2, "g/L").when(F.col("l_linenumber") == 3, "kPa").when(F.col("l_linenumber") == 4, "°C").when(F.col("l_linenumber") == 5, "furlong")
+    way, line = F.col("l_suppkey") % 3, F.col("l_linenumber")
+    rate = F.when(way == 0, "min^-1").when(way == 1, "1/min").otherwise("min⁻¹")
+    unit = F.when(line == 1, "mM").when(line == 2, F.when(way == 0, "uM").otherwise("µM")).when(line == 3, rate).when(line == 4, F.when(way == 0, "K").otherwise("kelvin")).when(line == 5, "furlong")
     value = F.when(F.col("l_linenumber") != 7, F.col("l_quantity"))
     return x.select(F.col("l_orderkey").alias("run_id"), F.col("l_partkey").alias("work_id"), F.col("l_returnflag").alias("field"), F.col("l_linenumber").alias("ordinal"), value.alias("value"), unit.alias("unit"), (F.col("l_tax") * 100 * F.col("l_discount") * 100).alias("error"), F.col("l_suppkey").cast("string").alias("subject"), F.date_format("l_shipdate", "yyyy-MM").alias("conditions"), (F.col("l_orderkey") % 5 == 0).alias("superseded"), F.col("l_linestatus").alias("kind"))
 
@@ -114,3 +116,16 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     heading = F.when(kind == 0, "References\n").when(kind == 1, "REFERENCES AND NOTES\n").when(kind == 2, "R EFERENCES\n").otherwise("")
     text = F.concat(F.array_join(F.transform("rows", lambda x: x["said"]), "\n\n"), F.lit("\n\n"), heading, F.array_join(F.transform("rows", lambda x: x["entry"]), "\n"), F.lit("\nAcknowledgements\nWe thank all who helped."))
     return all_.select(F.col("citing").alias("id"), text.alias("text"))
+
+
+def kinetics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three fields of five subjects of each work: a rate, a constant and their quotient, which is off by a power of ten in
+    three works of four, and by no power in some."""
+    p = table(spark, sf_dir, "part")
+    w, k = F.col("p_partkey"), F.col("k")
+    rows = p.select(w, F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    a, b = (10 + w * (k + 1) % 7).cast("double"), (1 + (w + k) % 5).cast("double")
+    c = a / b * F.pow(F.lit(10.0), w % 4) * F.when((w % 5 == 0) & (k == 2), 1.3).otherwise(1.0)
+    row = lambda field, value, unit: F.struct(F.lit(field).alias("field"), value.alias("value"), F.lit(unit).alias("unit"))
+    each = rows.select(w.alias("work_id"), w.alias("run_id"), k.alias("ordinal"), F.concat(F.lit(" S"), k).alias("subject"), F.explode(F.array(row("kcat", a, "s^-1"), row("Km", b, "mM"), row("eff", c, "mM  1 s  1"))).alias("x"))
+    return each.select("work_id", "run_id", "ordinal", "subject", "x.*")
