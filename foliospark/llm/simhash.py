@@ -25,6 +25,7 @@ or kept by ``deduplicated``, whatever their names.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterable, Iterator
 from itertools import combinations
@@ -39,8 +40,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import batches, checkpointed, materialised, small_batches, table, text_bytes
 
 SHINGLE, SEED, RADIUS, BLOCK = 3, 42, 2, 1024
-#: Of the near-duplicate stage: words of a shingle, least Jaccard similarity, radius of candidates in 128 bits, keys, their bits.
-NEAR_SHINGLE, SIMILARITY, NEAR, KEYS, KEY_BITS = 5, 0.8, 30, 64, 16
+#: Of the near-duplicate stage: words of a shingle, least Jaccard similarity, radius of candidates in 128 bits, least bits of
+#: a key, share of bits in which texts of that similarity agree, and share of them that have a key in common.
+NEAR_SHINGLE, SIMILARITY, NEAR, KEY_BITS, AGREE, MET = 5, 0.8, 30, 16, 0.8465, 0.99
 #: Queries compared with a block at once, planes between two looks at whether any lane is still near, rows of a group
 #: that is compared by places, rows gathered before a comparison.
 QUERIES, LOOK, SMALL, GATHERED = 64, 8, 64, 1 << 16
@@ -214,6 +216,13 @@ def sampled_keys(bits: int, keys: int, size: int) -> list[list[int]]:
     return [sorted(rng.sample(range(bits), size)) for _ in range(keys)]
 
 
+def key_plan(classes: int) -> tuple[int, int]:
+    """(keys, bits of each): bits grow with the classes, so that a key holds about BLOCK of them however many there are, and
+    keys with the bits, so that links are met as often."""
+    bits = max(KEY_BITS, math.ceil(math.log2(max(1, classes) / BLOCK)))
+    return math.ceil(math.log(1 - MET) / math.log(1 - AGREE**bits)), bits
+
+
 def links(classes: DataFrame, keys: list[list[int]], radius: int) -> DataFrame:
     """Links (a, b) of a minimum spanning forest of every group. classes: sh__id, sh__n, then a fingerprint's words.
 
@@ -377,7 +386,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     saved = materialised(signed(docs), "signed")
     order = F.struct(F.col("doc.doc_id").isNull().alias("absent"), F.col("doc.doc_id").alias("id"), "row")
     classes = materialised(saved.groupBy("s0", "s1").agg(F.min(order).alias("first"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("n").alias("n")).drop("s0", "s1"), "classes")
-    found = links(classes.select(F.col("first.row").alias("sh__id"), F.col("n").alias("sh__n"), "f0", "f1"), sampled_keys(128, KEYS, KEY_BITS), NEAR)
+    found = links(classes.select(F.col("first.row").alias("sh__id"), F.col("n").alias("sh__n"), "f0", "f1"), sampled_keys(128, *key_plan(classes.count())), NEAR)
     found = materialised(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
     roots = components(confirmed(found, saved))
     first = classes.select("first", F.col("first.row").alias("node")).join(roots, "node", "left")

@@ -41,6 +41,13 @@ def files(spark, tmp_path, **tables):
 QUERIES = {"op1": quality.op1_quality, "op2": secrets.op2_secrets, "op6": decontam.op6_decontaminate, "op7": bpe.op7_bpe, "op8": simhash.op8_simhash, "op9": langid.op9_langid, "op10": pii.op10_pii}
 
 
+def test_keys_grow_with_the_classes():
+    assert simhash.key_plan(0) == simhash.key_plan(1 << 26) == (64, 16)
+    for classes in (1 << 28, 10**9, 10**11):
+        keys, bits = simhash.key_plan(classes)
+        assert classes / 2**bits <= simhash.BLOCK and (1 - simhash.AGREE**bits) ** keys <= 1 - simhash.MET
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_every_row_once_and_empty_tables(spark, docs, bench, tmp_path, name):
     d = files(spark, tmp_path / "full", documents=docs, benchmark=bench)
