@@ -44,9 +44,22 @@ def stale(now: DataFrame, recorded: DataFrame, key: str, value: str) -> DataFram
     return both.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(key, "reason")
 
 
-def in_scope(rows: DataFrame, project: str = "project_id") -> DataFrame:
-    """(project_id, n): rows of each project, those of project 0 counted for every one, without joining them to all."""
+def in_scope(rows: DataFrame, projects: DataFrame, project: str = "project_id") -> DataFrame:
+    """(project_id, n): rows of each of these projects, those of project 0 counted for every one, without joining them to all."""
     own = rows.where(F.col(project) != 0).groupBy(project).agg(F.count("*").alias("own"))
-    shared = rows.where(F.col(project) == 0).agg(F.count("*").alias("shared"))  # one row
-    return own.join(shared, F.lit(True)).select(project, (F.col("own") + F.col("shared")).alias("n"))
+    shared = rows.where(F.col(project) == 0).count()
+    return projects.select(project).distinct().where(F.col(project) != 0).join(own, project, "left").select(project, (F.coalesce("own", F.lit(0)) + shared).alias("n"))
 
+
+
+def cascaded(tables: dict[str, DataFrame], gone: dict[str, DataFrame], owned: list[tuple[str, str, str, str]]) -> dict[str, DataFrame]:
+    """The tables without the rows that go, and without all rows that belong to them, level by level.
+
+    gone: ids by table, in the table's key; owned: (table, column, owner, owner's key): rows of the table go with the owner
+    that their column names. The relations hold no circle and are given owners first.
+    """
+    left = {t: x.join(gone[t], gone[t].columns, "left_anti").select(*x.columns) if t in gone else x for t, x in tables.items()}
+    for table, column, owner, key in owned:
+        lost = tables[owner].select(F.col(key).alias(column)).join(left[owner].select(F.col(key).alias(column)), column, "left_anti")
+        left[table] = left[table].join(lost, column, "left_anti").select(*tables[table].columns)
+    return left

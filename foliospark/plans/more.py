@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
 from foliospark.operators import changes, matching, ranking, records, search
-from foliospark.plans.oracle import CITES, M, PW, TEXT, W5, WORKS
+from foliospark.plans.oracle import CITES, DOCS, M, PW, TEXT, W5, WORKS
 from foliospark.plans.queries import FILTERS
 from foliospark.sources import entities as E
 
@@ -55,7 +55,7 @@ def q_stale_dossiers(s, d):
 
 def q_in_scope(s, d):
     owner = E.table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("subject"), F.col("s_nationkey").alias("project_id"))
-    return changes.in_scope(E.measurements(s, d).join(owner, "subject"))
+    return changes.in_scope(E.measurements(s, d).join(owner, "subject"), E.table(s, d, "nation").select(F.col("n_nationkey").alias("project_id")))
 
 
 def q_null_safe_pairs(s, d):
@@ -187,13 +187,14 @@ DOSSIER = "SELECT project_id, sha256(string_agg(w, ',' ORDER BY w)) AS hash FROM
 RAW = "CASE c_custkey % 7 WHEN 0 THEN 'n.d.' WHEN 1 THEN ' ' WHEN 2 THEN 'Not reported' ELSE 'c. ' || (c_custkey + 1300) || 'a' END"
 
 MORE_ORACLE = {
+    "packed_chunks": "WITH RECURSIVE s AS (SELECT doc_id, [length(x) FOR x IN string_split(text, chr(10))] AS n FROM documents WHERE text IS NOT NULL), f AS (SELECT doc_id, n, 1 AS i, CAST(n[1] AS BIGINT) AS now, CAST([] AS BIGINT[]) AS done FROM s UNION ALL SELECT doc_id, n, i + 1, CASE WHEN now > 0 AND now + n[i + 1] > 600 THEN n[i + 1] ELSE now + n[i + 1] END, CASE WHEN now > 0 AND now + n[i + 1] > 600 THEN list_append(done, now) ELSE done END FROM f WHERE i < len(n)), z AS (SELECT doc_id, CASE WHEN now > 0 THEN list_append(done, now) ELSE done END AS c FROM f WHERE i = len(n)) SELECT doc_id, CAST(len(c) AS BIGINT) AS chunks, list_max(c) AS longest, CAST(coalesce(list_sum(c), 0) AS BIGINT) AS chars FROM z",
     "upserted": "WITH n AS (SELECT o_custkey AS id, max(o_totalprice) AS amount FROM orders GROUP BY 1 HAVING max(o_totalprice) > 100000) SELECT c_custkey AS id, coalesce(n.amount, c_acctbal) AS amount FROM customer LEFT JOIN n ON n.id = c_custkey UNION ALL SELECT * FROM n WHERE id NOT IN (SELECT c_custkey FROM customer)",
     "inserted": f"WITH {PW}, o AS (SELECT project_id, min(work_id) AS work_id, max(relevance) AS relevance FROM pw WHERE inclusion_status = 'included' GROUP BY 1), a AS (SELECT * FROM o UNION ALL SELECT project_id, work_id, min(relevance) FROM pw WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.project_id = pw.project_id AND o.work_id = pw.work_id) GROUP BY 1, 2) SELECT project_id, count(*) AS n, CAST(sum(work_id) AS BIGINT) AS ids, round(max(relevance), 4) AS most FROM a GROUP BY 1",
     "retired": f"WITH {M} SELECT field, count(*) AS n, count(DISTINCT run_id) AS runs FROM m WHERE run_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1",
     "superseded": f"WITH {M}, r AS (SELECT DISTINCT work_id, field, run_id FROM m), x AS (SELECT *, run_id = max(run_id) OVER (PARTITION BY work_id, field) AS is_current FROM r) SELECT field, is_current, count(*) AS n, CAST(sum(run_id) AS BIGINT) AS runs FROM x GROUP BY 1, 2",
     "stale_fingerprints": f"WITH {WORKS}, {CITES}, a AS (SELECT work_id, {STAMP.format('')} AS f FROM works w), b AS (SELECT work_id, {STAMP.format(' AND coalesce(c.year, 0) < 2035')} AS f FROM works w WHERE year IS NULL OR year < 2030) SELECT a.work_id, CASE WHEN b.work_id IS NULL THEN 'missing' ELSE 'changed' END AS reason FROM a LEFT JOIN b USING (work_id) WHERE b.work_id IS NULL OR a.f <> b.f",
     "stale_dossiers": f"WITH {PW}, a AS ({DOSSIER.format('')}), b AS ({DOSSIER.format(' AND relevance > 10')}) SELECT a.project_id, CASE WHEN b.project_id IS NULL THEN 'missing' ELSE 'changed' END AS reason FROM a LEFT JOIN b USING (project_id) WHERE b.project_id IS NULL OR a.hash <> b.hash",
-    "in_scope": "WITH m AS (SELECT s_nationkey AS p FROM lineitem JOIN supplier ON s_suppkey = l_suppkey), ps AS (SELECT DISTINCT p FROM m WHERE p <> 0) SELECT ps.p AS project_id, count(*) AS n FROM ps JOIN m ON m.p = ps.p OR m.p = 0 GROUP BY 1",
+    "in_scope": "WITH m AS (SELECT s_nationkey AS p FROM lineitem JOIN supplier ON s_suppkey = l_suppkey), ps AS (SELECT n_nationkey AS p FROM nation WHERE n_nationkey <> 0) SELECT ps.p AS project_id, count(m.p) AS n FROM ps LEFT JOIN m ON m.p = ps.p OR m.p = 0 GROUP BY 1",
     "null_safe_pairs": f"WITH {WORKS}, a AS (SELECT venue, year, count(*) AS works FROM works GROUP BY 1, 2), b AS (SELECT venue, year, count(*) AS told FROM works WHERE abstract IS NOT NULL GROUP BY 1, 2) SELECT a.venue, a.year, works, told FROM a JOIN b ON a.venue IS NOT DISTINCT FROM b.venue AND a.year IS NOT DISTINCT FROM b.year",
     "passages": "WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), l AS (SELECT doc_id, unnest(range(0, len(x))) AS idx, unnest(x) AS line FROM s), p AS (SELECT doc_id, idx, line, concat_ws(chr(10), lag(line) OVER w, line, lead(line) OVER w) AS passage FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY idx)) SELECT doc_id, CAST(idx AS INTEGER) AS idx, CAST(length(passage) AS INTEGER) AS chars, sha256(passage) AS hash FROM p WHERE regexp_matches(line, '[0-9]{4}')",
     "points_in_spans": """WITH y AS (SELECT l_suppkey AS supplier, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS s, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) + floor(l_quantity / 20) AS BIGINT) AS e FROM lineitem),
@@ -205,7 +206,7 @@ p AS (SELECT l_suppkey AS supplier, date_diff('day', DATE '1992-01-01', CAST(o_o
     "unit_missing": f"WITH {M} SELECT field, count(*) AS n, count(DISTINCT run_id) AS runs FROM m WHERE value IS NOT NULL AND unit IS NULL GROUP BY 1",
     "value_under_two_fields": f"WITH {M} SELECT work_id, subject, value, count(DISTINCT field) AS fields FROM m WHERE value IS NOT NULL GROUP BY 1, 2, 3 HAVING count(DISTINCT field) > 1",
     "cells_to_read": f"WITH {M} SELECT subject, field, count(DISTINCT conditions) AS cells, count(*) AS n FROM m GROUP BY 1, 2 HAVING count(DISTINCT conditions) >= 4",
-    "content_status": "SELECT p_brand AS venue, count(*) AS n, min(p_partkey) AS first FROM part WHERE p_partkey % 4 IN (0, 1) GROUP BY 1",
+    "content_status": f"WITH {DOCS}, b AS (SELECT work_id, arg_min(content_status, (NOT is_preferred, document_id)) AS s FROM docs GROUP BY 1) SELECT p_brand AS venue, count(*) AS n, min(p_partkey) AS first FROM part JOIN b ON work_id = p_partkey WHERE s IN ('full_text', 'abstract_only') GROUP BY 1",
     "search_by_author": f"WITH {W5} SELECT work_id, year, n_citations FROM wc WHERE {TEXT} AND year BETWEEN 1995 AND 2035 AND work_id IN (SELECT l_partkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE contains(lower(s_name), '00001') OR contains(lower(s_name), '00007'))",
     "identity_groups": "WITH r AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN '10.1/W' || (p_partkey % 50) END AS doi, CASE WHEN p_partkey % 5 <> 0 THEN p_name ELSE 'ab' END AS title FROM part), t AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS n FROM r) SELECT CASE WHEN doi IS NOT NULL THEN 'doi:' || lower(doi) WHEN length(n) >= 8 THEN 'title:' || n ELSE 'row:' || id END AS key, min(id) AS head, count(*) AS members, max(doi) AS doi FROM t GROUP BY 1",
     "ego_expansion": f"WITH {CITES}, {PW}, e AS (SELECT * FROM cites WHERE citing <> cited), n AS (SELECT DISTINCT work_id % 200 + 1 AS node FROM (SELECT work_id FROM pw ORDER BY relevance DESC NULLS LAST, work_id LIMIT 5)) SELECT node FROM n UNION SELECT cited FROM e WHERE citing IN (SELECT node FROM n) UNION SELECT citing FROM e WHERE cited IN (SELECT node FROM n)",

@@ -6,6 +6,7 @@ WORKS = """works AS (SELECT p_partkey AS work_id, p_name AS title, p_brand AS ve
 CITES = """cites AS (SELECT DISTINCT a.l_partkey AS citing, b.l_partkey AS cited FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"""
 PW = """pw AS (SELECT c_nationkey AS project_id, o_orderkey AS work_id, CASE WHEN o_orderkey % 11 <> 0 THEN round(o_totalprice / 1000, 1) END AS relevance, CASE o_orderstatus WHEN 'F' THEN 'included' WHEN 'O' THEN 'undecided' ELSE 'excluded' END AS inclusion_status FROM orders JOIN customer ON o_custkey = c_custkey)"""
 M = """m AS (SELECT l_orderkey AS run_id, l_partkey AS work_id, l_returnflag AS field, l_linenumber AS ordinal, CASE WHEN l_linenumber <> 7 THEN l_quantity END AS value, CASE l_linenumber WHEN 1 THEN 'mM' WHEN 2 THEN CASE WHEN l_suppkey % 3 = 0 THEN 'uM' ELSE 'µM' END WHEN 3 THEN CASE l_suppkey % 3 WHEN 0 THEN 'min^-1' WHEN 1 THEN '1/min' ELSE 'min⁻¹' END WHEN 4 THEN CASE WHEN l_suppkey % 3 = 0 THEN 'K' ELSE 'kelvin' END WHEN 5 THEN 'furlong' END AS unit, l_tax * 100 * l_discount * 100 AS error, CAST(l_suppkey AS VARCHAR) AS subject, strftime(l_shipdate, '%Y-%m') AS conditions, l_orderkey % 5 = 0 AS superseded, l_linestatus AS kind FROM lineitem)"""
+DOCS = "docs AS (SELECT p_partkey AS work_id, p_partkey * 2 + k AS document_id, CASE (p_partkey + k) % 4 WHEN 0 THEN 'full_text' WHEN 1 THEN 'abstract_only' ELSE 'metadata_only' END AS content_status, p_partkey % 3 <> 0 OR k = p_partkey % 2 OR p_partkey % 15 = 0 AS is_preferred FROM part, (SELECT unnest([0, 1]) AS k) WHERE k = 0 OR p_partkey % 3 = 0)"
 FOLD = "lower(regexp_replace(regexp_replace(translate({x}, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY'), '[-–—_]', ' ', 'g'), '\\s+', ' ', 'g'))"
 TEXT = "(" + " OR ".join(f"coalesce(contains({FOLD.format(x=f)}, '{n}'), false)" for n in ("ring", "plate") for f in ("title", "abstract", "venue")) + ")"
 VENUE = "venue IN ('Brand#1', 'Brand#2', 'Brand#17', 'Brand#4')"
@@ -63,7 +64,7 @@ SELECT k.field, k.unit, k.run_id, work_id, value, round(greatest(log10(plo) - lo
     "storage": """WITH x AS (SELECT o_custkey, CAST(sum(CAST(round(o_totalprice) AS BIGINT)) AS BIGINT) AS bytes, count(*) AS files FROM orders GROUP BY o_custkey HAVING sum(CAST(round(o_totalprice) AS BIGINT)) > 500000) SELECT c_nationkey AS project_id, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes, CAST(coalesce(sum(files), 0) AS BIGINT) AS files FROM customer LEFT JOIN x ON o_custkey = c_custkey GROUP BY c_nationkey""",
     "daily_usage": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum FROM events GROUP BY 1, 2",
     "nearest": "SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS rn, round(round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6), 4) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0) WHERE rn <= 10",
-    "preferred_document": "SELECT p_partkey AS work_id, p_partkey * 2 AS document_id, CASE p_partkey % 4 WHEN 0 THEN 'full_text' WHEN 1 THEN 'abstract_only' ELSE 'metadata_only' END AS content_status, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS documents FROM part",
+    "preferred_document": f"WITH {DOCS} SELECT work_id, arg_min(document_id, (NOT is_preferred, document_id)) AS document_id, arg_min(content_status, (NOT is_preferred, document_id)) AS content_status, count(*) AS documents FROM docs GROUP BY 1",
     "title_groups": f"WITH {WORKS} SELECT trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS key, min(work_id) AS head, count(*) AS members, max(year) AS latest FROM works GROUP BY 1",
     "token_overlap": """WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS t FROM benchmark), x AS (SELECT item_id, t, (SELECT t FROM b WHERE item_id = 0) AS t0 FROM b WHERE item_id <> 0)
 SELECT item_id, CAST(len(list_intersect(t, t0)) AS BIGINT) AS overlap, round(CASE WHEN len(t) > 0 AND len(t0) > 0 THEN 2.0::DOUBLE * len(list_intersect(t, t0)) / (len(t) + len(t0)) ELSE 0 END, 6) AS dice FROM x ORDER BY overlap DESC, item_id LIMIT 8""",
@@ -71,3 +72,5 @@ SELECT item_id, CAST(len(list_intersect(t, t0)) AS BIGINT) AS overlap, round(CAS
     "csv_rows": """WITH x AS (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS a, c_name || CASE WHEN c_custkey % 3 = 0 THEN ', "x"' ELSE '' END AS b, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment ELSE '' END AS c FROM customer) SELECT c_custkey, a || ',' || CASE WHEN c_custkey % 3 = 0 THEN '"' || replace(b, '"', '""') || '"' ELSE b END || ',' || c || chr(13) || chr(10) AS line FROM x""",
     "claim_order": "SELECT event_id, user_id, event_type FROM events e WHERE event_type <> 'error' AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'error' AND b.user_id = e.user_id AND CAST(b.ts AS DATE) = CAST(e.ts AS DATE)) ORDER BY event_type, event_id LIMIT 20",
 }
+
+ORACLE["daily_usage_stream"] = ORACLE["daily_usage"]

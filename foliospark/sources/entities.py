@@ -32,11 +32,21 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_of_works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document for each work, two for every third; the first is preferred."""
+    """One document for each work, two for every third; of these either is preferred, or both."""
     p = table(spark, sf_dir, "part")
     both = p.select(F.col("p_partkey").alias("work_id"), F.explode(F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("k"))
-    status = F.when((F.col("work_id") + F.col("k")) % 4 == 0, "full_text").when((F.col("work_id") + F.col("k")) % 4 == 1, "abstract_only").otherwise("metadata_only")
-    return both.select((F.col("work_id") * 2 + F.col("k")).alias("document_id"), "work_id", status.alias("content_status"), (F.col("k") == 0).alias("is_preferred"))
+    w, k = F.col("work_id"), F.col("k")
+    status = F.when((w + k) % 4 == 0, "full_text").when((w + k) % 4 == 1, "abstract_only").otherwise("metadata_only")
+    return both.select((w * 2 + k).alias("document_id"), "work_id", status.alias("content_status"), ((w % 3 != 0) | (k == w % 2) | (w % 15 == 0)).alias("is_preferred"))
+
+
+def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works of projects: a project for each nation, with the works that its suppliers had in an order."""
+    x = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    pairs = x.select(F.col("s_nationkey").alias("project_id"), F.col("l_partkey").alias("work_id")).distinct()
+    w, p = F.col("work_id"), F.col("project_id")
+    kind = F.when((w + p) % 5 == 0, "unread").when((w + p) % 5 == 1, "included").when((w + p) % 5 == 2, "excluded").when((w + p) % 5 == 3, "uncertain").otherwise("read")
+    return pairs.select("project_id", "work_id", F.when((w * 7 + p) % 6 != 0, (w * 37 + p * 11) % 100 / 100).alias("relevance"), kind.alias("inclusion_status"), ((w + p * 3) % 10 == 0).alias("is_reference"))
 
 
 def project_works(spark: SparkSession, sf_dir: str) -> DataFrame:
