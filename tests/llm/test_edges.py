@@ -192,6 +192,21 @@ def test_pii_equals_regexes(spark):
     assert iban.select(pii.joined(F.filter("pii__spans", lambda x: x["kind"] == "iban"))).first()[0] == "iban:5:32"
 
 
+def test_pii_of_clashing_columns(spark):
+    rows = [(1, "mail a@b.co or 10.0.0.1", "x", 3, "y", 24), (2, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pii__digit string, pii__spans int, spans string, n_chars long").withColumn("doc", F.lit(5)).withColumn("merged", F.lit(6))
+    out = pii.redact(df).orderBy("doc_id").collect()
+    assert out[0].asDict() == {"doc_id": 1, "text": "mail <EMAIL> or <IP>", "pii__digit": "x", "pii__spans": 3, "spans": "y", "n_chars": 20, "doc": 5, "merged": 6}
+    assert out[1].text is None and out[1].doc == 5
+
+
+def test_pii_of_very_many_matches(spark):
+    n = 100_000
+    began = time.time()
+    row = pii.spanned(spark.createDataFrame([(1, "a@b.co " * n)], "doc_id long, text string")).select(F.size("spans").alias("n"), F.get("spans", F.lit(n - 1))["s"].alias("s")).first()
+    assert (row.n, row.s) == (n, 7 * (n - 1)) and time.time() - began < 60
+
+
 def test_pii_octets_of_zeros(spark):
     rng = random.Random(8)
     parts = ["0", "00", "10.0.0.1", ".", "1", "10", "199", "255", "256", "0255", "0256", "000300", " ", "x"]
@@ -501,12 +516,19 @@ def test_boilerplate_of_a_whole_host(spark):
     ("<head><script>x='</head>'</script><title>t</title></head><p>a<!-- <p>b", ["a"]),
     ("a < b & c &lt; d<br>e</3 f <svg/> g <i", ["a < b & c < d e</3 f g"]),
     ("<ul><li>a</div></ul></section><p>b", ["a", "b"]),
+    ('<div class="with-sidebar"><article>a</article></div>', ["a"]),
+    ('<form id=all><main class="ad-free"><p>a</main></form><nav>n</nav>', ["a"]),
+    ('<div class="related"><article>teaser</article></div><article>a</article>', ["a"]),
+    ('<article><p>a<section class="user-comments"><p>c1</section><article class="comment"><p>reply</article><p>b</article>', ["a", "b"]),
+    ("<article><ul><li class=advert><p>buy now<li>a<li>b</ul></article>", ["a", "b"]),
+    ('<article><p>a <span class="ad">AD <span>x</span> y</span> b<p><i class=ad>open<p>c</article>', ["a b", "c"]),
+    ('<article><div class="recipe-widget"><p>flour</div><div class="widget">w</div></article>', ["flour"]),
 ])
 def test_page_blocks(page, want):
     assert [t for t, kind in html.blocks_of(page) if kind != html.OUT] == want
 
 
-@pytest.mark.parametrize("part", ["<a ", "<div>", "<div></section>", "<svg>", "<!-- ", "<p x='", '<p x="y', "<", "</", "&amp", "<a b=", "<math><noscript>", "<p class=a-"])
+@pytest.mark.parametrize("part", ["<a ", "<div>", "<div></section>", "<svg>", "<!-- ", "<p x='", '<p x="y', "<", "</", "&amp", "<a b=", "<math><noscript>", "<p class=a-", "<li>", "<b class=ad>", "<b class=ad></b>", "<b class=ad><i>", "<article class=comment>"])
 def test_long_pages_take_linear_time(part):
     began = time.process_time()
     html.blocks_of(part * (1_000_000 // len(part)))
