@@ -48,25 +48,33 @@ BROADCAST_ROWS = 500_000
 
 #: Fixed values of HTML: elements that start and end a block, those that may hold others, and those without text.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-HOLDERS = frozenset("article aside blockquote details dialog div dl fieldset figure footer form header main menu nav ol section table td ul button select".split())
+HOLDERS = frozenset("article aside blockquote details dialog div dl fieldset figure footer form header main menu nav ol section table td ul li button select".split())
+VOID = frozenset("area base br col embed img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template textarea svg title iframe object math".split())
 NEVER = frozenset("nav aside footer form menu dialog button select".split())
 #: Words of a class, id or role that mark what isn't the article: in any name, or in names of nothing but such words.
-SURE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies gdpr sidebar breadcrumb breadcrumbs disqus newsletter subscribe signup popup modal footer masthead widget".split())
-LIKELY = frozenset("banner promo promos promotion consent notice notices menu nav navbar navigation comment comments share sharing social related recommended recommendations header".split())
-PLAIN = frozenset("area bar block bottom box buttons container content icons inner item items left links list main outer page panel posts primary right secondary section site slot stories thread top unit wrapper".split())
+SURE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies gdpr sidebar breadcrumb breadcrumbs disqus newsletter subscribe signup popup modal footer masthead".split())
+LIKELY = frozenset("banner promo promos promotion consent notice notices menu nav navbar navigation comment comments share sharing social related recommended recommendations header widget reply replies".split())
+PLAIN = frozenset("area bar block bottom box buttons container content icons inner item items left links list main outer page panel posts primary right secondary section site slot stories thread top unit user users reader readers wrapper".split())
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)*+)>""")
 NAMED = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+))""", re.I).findall
 SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$""").search
 END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in SILENT}
 
+HAS_ARTICLE = re.compile(r"<(?:article|main)\b", re.I).search
+
 ARTICLE, OPEN, OUT = 0, 1, 2
 
 
-def marked(attributes: str) -> bool:
+def marked(attributes: str, only: frozenset[str] | None = None) -> bool:
+    """Whether a class, id or role tells of what isn't the article; ``only``: names that are such a word by themselves."""
     for values in NAMED(attributes):
         for name in " ".join(values).lower().split():
+            if only is not None:
+                if name in only:
+                    return True
+                continue
             parts = re.split("[_-]+", name)
             if any(p in SURE for p in parts):
                 return True
@@ -76,17 +84,30 @@ def marked(attributes: str) -> bool:
 
 
 def blocks_of(page: str | None) -> list[tuple[str, int]]:
-    """(text, ARTICLE, OPEN or OUT) of each block, in order."""
+    """(text, ARTICLE, OPEN or OUT) of each block, in order. Where what stands around them would leave out every article of a
+    page, as a form or a class name around the whole page, it doesn't count."""
+    found = scanned(page, False)
+    if page and HAS_ARTICLE(page) and all(kind != ARTICLE for _, kind in found):
+        return scanned(page, True)
+    return found
+
+
+def scanned(page: str | None, lenient: bool) -> list[tuple[str, int]]:
+    """The blocks by one forward pass; ``lenient``: an article begins even inside what its name leaves out."""
     out: list[tuple[str, int]] = []
     held: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # element, whether an article or in one, whether left out
     opened: dict[str, int] = {}  # how often each element is on the stack
     endless: set[str] = set()  # elements without text that aren't closed any more
-    own_out = False  # of a paragraph or item by its own class
+    own_out = False  # of a paragraph by its own class
+    inline: list = []  # of an element inside a line that its class leaves out: name, where its text begins, how often it is open
     page = page or ""
     at, n = 0, len(page)
 
     def close() -> None:
+        if inline:
+            del held[inline[1] :]
+            inline.clear()
         text = " ".join(entities.unescape("".join(held)).split())
         held.clear()
         if text:
@@ -132,6 +153,13 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
             held.append(" ")
             continue
         if name not in BLOCKS and name not in HOLDERS:
+            if inline and name == inline[0]:
+                inline[2] += -1 if closing else 1
+                if not inline[2]:
+                    del held[inline[1] :]
+                    inline.clear()
+            elif not inline and not closing and name not in VOID and m[3] and marked(m[3], SURE):
+                inline[:] = [name, len(held), 1]
             continue
         close()
         own_out = False
@@ -145,8 +173,12 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
             continue
         if name == "hr":
             continue
+        if name == "li" and stack and stack[-1][0] == "li":  # an item ends where the next begins
+            opened[stack.pop()[0]] -= 1
         inside, left_out = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        begins = name in ("article", "main") and not left_out
+        begins = name in ("article", "main") and not inside and (lenient or not left_out)
+        if begins:
+            left_out = False
         bad = name in NEVER or (name == "header" and not inside) or (not begins and bool(m[3]) and marked(m[3]))
         if name in HOLDERS:
             stack.append((name, inside or begins, left_out or bad))
