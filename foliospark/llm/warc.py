@@ -39,17 +39,27 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record; a revisit has no block."""
+def record_id(page_id: int | None, url: str | None, sha: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {sha}')}>"
+
+
+def one_line(url: str) -> str:
+    return url.replace("\r", "").replace("\n", "")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, head_url: str | None = None) -> bytes:
+    """One WARC/1.1 record; a revisit has no block, and refers to the response's record by its id, URI and page."""
     sha = digest(payload)
     block = b"" if revisit else payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {sha}')}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{sha}", f"X-Payload-Length: {len(payload)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, url, sha)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{sha}", f"X-Payload-Length: {len(payload)}"]
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if url is not None:
-        head.append("WARC-Target-URI: " + "".join(url.split("\r")).replace("\n", ""))
+        head.append(f"WARC-Target-URI: {one_line(url)}")
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", *([f"WARC-Refers-To: <page:{refers_to}>"] if refers_to is not None else [])]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, head_url, sha)}"]
+        head += [f"WARC-Refers-To-Target-URI: {one_line(head_url)}"] if head_url is not None else []
+        head += [f"X-Refers-To-Page: {refers_to}"] if refers_to is not None else []
     head.append(f"Content-Length: {len(block)}")
     return CRLF.join(x.encode("utf-8", "replace") for x in head) + CRLF * 2 + block + CRLF * 2
 
@@ -100,8 +110,8 @@ def archives(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     small_batches(pages.sparkSession)
     body = F.coalesce("html", F.lit(""))
     plain = pages.select("page_id", "url", "html").withColumn("sha", F.when(F.octet_length(body) >= least, F.sha1(F.encode(body, "UTF-8"))))
-    repeated = plain.where("sha is not null").groupBy("sha").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    told = plain.join(repeated, "sha", "left").select("page_id", "url", "html", "head", (F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head"))).alias("revisit"))
+    repeated = plain.where("sha is not null").groupBy("sha").agg(F.max("page_id").alias("head"), F.max(F.struct("page_id", "url"))["url"].alias("head_url"), F.count("*").alias("n")).where("n > 1").drop("n")
+    told = plain.join(repeated, "sha", "left").select("page_id", "url", "html", "head", (F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head"))).alias("revisit"), "head_url")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -111,8 +121,8 @@ def archives(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(data).hexdigest()]), pa.array([data], pa.binary())], names=["archive", "data"])
 
         for batch in batches(it):
-            for page_id, url, html, head, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append(record(page_id, url, text_bytes(html), head, revisit))
+            for page_id, url, html, head, revisit, head_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(record(page_id, url, text_bytes(html), head, revisit, head_url))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     yield closed()
@@ -139,9 +149,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     sha, n = fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"])
                     if fields["WARC-Type"] == "response" and (digest(block), len(block)) != (sha, n):
                         raise ValueError("a payload isn't what its record states")
-                    to = fields.get("WARC-Refers-To")
+                    to = fields.get("X-Refers-To-Page")
                     page = fields.get("X-Page-Id")
-                    rows.append((None if page is None else int(page), n, sha, fields["WARC-Type"], None if to is None else int(to[6:-1])))
+                    rows.append((None if page is None else int(page), n, sha, fields["WARC-Type"], None if to is None else int(to)))
                 kinds = pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
