@@ -29,6 +29,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import batches, small_batches, table
@@ -131,7 +132,9 @@ def sampled(docs: DataFrame) -> list:
     chars = F.length("text")
     start = 1 + F.floor(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 20)) / (1 << 20) * F.greatest(chars - TRAIN_CHARS + 1, F.lit(1)))
     passage = F.substr("text", start.cast("int"), F.lit(TRAIN_CHARS)).alias("text")
-    rows = usable.join(F.broadcast(limits), "lang").where("draw < below").select(passage, "lang", "draw").collect()  # limits: at most TRAIN_DOCS rows
+    rows = usable.join(F.broadcast(limits), "lang").where("draw < below").select(passage, "lang", "draw")  # limits: at most TRAIN_DOCS rows
+    place = F.row_number().over(W.partitionBy("lang").orderBy("draw", "text"))
+    rows = rows.withColumn("place", place).where(F.col("place") <= quota).collect()  # also where one doc_id has very many rows
     out, taken = [], Counter()
     for r in sorted(rows, key=lambda r: (r.draw, r.text, r.lang)):
         if taken[r.lang] < quota:

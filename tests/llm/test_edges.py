@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns; exact values by brute force."""
 
+import base64
 import collections
 import hashlib
 import itertools
@@ -483,6 +484,34 @@ def test_pages(spark, tmp_path):
     assert [q(spark, e).count() for q in (html.op4_html, urls.op3_urls, warc.op5_warc)] == [0, 0, 0]
 
 
+def test_warc_by_brute_force(spark, tmp_path):
+    """Types, digests and references over random pages, and each reference is the id of a response's record."""
+    rng = random.Random(11)
+    bodies = [None, "", "<p>a", "<p>é", "x" * 3000, *("".join(rng.choice("abc<> ") for _ in range(200)) for _ in range(5))]
+    rows = [(i, rng.choice([None, f"http://h/{i}", "http://h/a\r\nb"]), rng.choice(bodies)) for i in range(120)] + [(None, "http://h/n", "<p>alone"), (7, "http://h/again", "<p>other")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    sha = lambda html: base64.b32encode(hashlib.sha1((html or "").encode()).digest()).decode()
+    head = {}
+    for i, _, html in rows:
+        head[sha(html)] = max(head.get(sha(html), -1), -1 if i is None else i)
+    want = sorted(((i, len((html or "").encode()), sha(html), *(("response", None) if i is None or head[sha(html)] == i else ("revisit", head[sha(html)]))) for i, _, html in rows), key=str)
+    out = warc.op5_warc(spark, files(spark, tmp_path, pages=pages)).collect()
+    assert sorted(map(tuple, out), key=str) == want
+    fields = [f for r in warc.archives(pages).collect() for f, _ in warc.records_of(bytes(r["data"]))]
+    ids = {f["WARC-Record-ID"]: f for f in fields}
+    told = [f for f in fields if f["WARC-Type"] == "revisit"]
+    assert told and all(ids[f["WARC-Refers-To"]]["WARC-Type"] == "response" and ids[f["WARC-Refers-To"]]["WARC-Payload-Digest"] == f["WARC-Payload-Digest"] for f in told)
+    assert all(ids[f["WARC-Refers-To"]].get("WARC-Target-URI") == f.get("WARC-Refers-To-Target-URI") for f in told)
+
+
+def test_language_sample_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_DOCS", 20)
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1][:6]
+    df = spark.createDataFrame([(i, f"text {k} of {i}", "en" if i % 2 else "fr") for i in ids for k in range(300)], "doc_id long, text string, lang string")
+    rows = langid.sampled(df)
+    assert len(rows) <= 20 and collections.Counter(r.lang for r in rows).most_common(1)[0][1] <= 10
+
+
 def test_runs_by_brute_force():
     rng = random.Random(5)
     for _ in range(60):
