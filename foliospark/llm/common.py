@@ -7,8 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch handed to Python; texts are long, so batches stay far below Spark's 10,000 rows.
 ARROW_ROWS = 1024
@@ -22,6 +21,8 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="foliospark-"))
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -72,10 +73,5 @@ def text_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "replace")
 
 
-def row_key(*cols: str) -> Column:
-    """A row's identity by value; equal rows share it, and get equal results."""
-    return F.xxhash64(*(F.col(c) for c in cols))
-
-
 def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in it if b.num_rows)

@@ -6,7 +6,7 @@ in one pass. Equal scores and counts go by the phrase's UTF-8 bytes. Extra colum
 
 Rows are counted before they are shuffled: a task turns up to FLUSH_WORDS words into the distinct windows of max_n words
 (shorter at a piece's end) with their counts. They are dealt by language and a window's first max_n - 1 words, its head, so
-windows and heads are summed in one shuffle. Words are counted first; the DICTIONARY most frequent ones are known to all
+windows and heads are summed in one shuffle. Words are counted first; the most frequent ones, DICTIONARY at most, are known to all
 tasks and travel as numbers. Where these are all words that occur ``least`` times, the others end a window, as no frequent
 phrase has them, and rows are numbers alone; else the others are spelled out. Both ways give the same rows.
 """
@@ -181,7 +181,11 @@ def counted(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> DataFram
     spark = docs.sparkSession
     words = materialised(counted_words(docs), "words")
     frequent, path = words.where(F.col("n") >= least), shared_dir(spark, "dictionary")
-    best = frequent.orderBy(F.desc("n"), "lang", "phrase").limit(DICTIONARY)
+    # the least count from which on there are DICTIONARY words at most; a row for each count that occurs
+    upto = F.sum("c").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, 0))
+    sizes = frequent.groupBy("n").agg(F.count("*").alias("c")).withColumn("upto", upto)
+    cut = sizes.where(F.col("upto") <= DICTIONARY).agg(F.min("n")).first()[0]
+    best = frequent.where(F.col("n") >= cut) if cut is not None else frequent.limit(0)
     best.withColumn("id", F.row_number().over(W.orderBy(F.desc("n"), "lang", "phrase")).cast("long")).write.parquet(path)
     dictionary, files, complete = spark.read.parquet(path), shipped(spark, path), frequent.count() <= DICTIONARY
     dealt = exploded(docs, max_n, files, complete)
