@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 
 
 def normalised_rank(df: DataFrame, group: str, value: str, out: str = "rank") -> DataFrame:
-    """1 for the largest value of a group down to 0; ties share the better rank, absent values have none, one row has 1."""
-    w = W.partitionBy(group, F.col(value).isNull()).orderBy(F.desc(value))
-    return df.withColumn(out, F.when(F.col(value).isNotNull(), 1 - F.percent_rank().over(w)))
+    """1 for the largest value of a group down to 0; ties share the better rank, absent values have none, one row has 1.
+
+    Ranks come from counts by value, so the rows of a group are never gathered, only its distinct values.
+    """
+    by = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g__"), F.col(value).alias("v__")).agg(F.count("*").alias("n__"))
+    w = W.partitionBy("g__")
+    above = F.sum("n__").over(w.orderBy(F.desc("v__")).rowsBetween(W.unboundedPreceding, 0)) - F.col("n__")
+    ranks = by.select("g__", "v__", (1 - F.coalesce(above / F.nullif(F.sum("n__").over(w) - 1, F.lit(0)), F.lit(0.0))).alias(out))
+    return df.join(ranks, F.col(group).eqNullSafe(F.col("g__")) & (F.col(value) == F.col("v__")), "left").drop("g__", "v__")
 
 
 def bands(df: DataFrame, group: str, value: str) -> DataFrame:

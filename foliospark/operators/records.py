@@ -36,9 +36,9 @@ def matrix(records: DataFrame, fields: list[str]) -> DataFrame:
 
 def coverage(records: DataFrame, works: DataFrame) -> DataFrame:
     """Works with and without a value, and values, by field; fields without any value stay."""
-    total = works.agg(F.count("*").alias("n_works"))
+    total = works.count()
     by = records.groupBy("field").agg(F.count_distinct(F.when(F.col("value").isNotNull(), F.col("work_id"))).alias("with_values"), F.count("value").alias("n_values"))
-    return by.join(F.broadcast(total)).select("field", "with_values", (F.col("n_works") - F.col("with_values")).alias("without_values"), "n_values")
+    return by.select("field", "with_values", (F.lit(total) - F.col("with_values")).alias("without_values"), "n_values")
 
 
 def unit_outvoted(records: DataFrame, least: int = 5, share: float = 0.8) -> DataFrame:

@@ -176,8 +176,8 @@ def q_cleaned_fields(s, d):
 
 def q_containment(s, d):
     b = E.table(s, d, "benchmark").select("item_id", T.tokens(F.col("text")).alias("t"))
-    first = b.agg(F.min_by("t", "item_id").alias("t0"))  # one row
-    return b.join(first, F.lit(True)).select("item_id", F.round(matching.containment(F.col("t0"), F.col("t")), 6).alias("share"))
+    first = F.lit(b.agg(F.min_by("t", "item_id")).first()[0])  # the tokens of one text
+    return b.select("item_id", F.round(matching.containment(first, F.col("t")), 6).alias("share"))
 
 
 MORE = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}

@@ -205,8 +205,8 @@ def q_title_groups(s, d):
 
 def q_token_overlap(s, d):
     b = E.table(s, d, "benchmark").select("item_id", T.tokens(F.col("text")).alias("t"))
-    target = b.where("item_id = 0").select(F.col("t").alias("t0"))
-    out = b.where("item_id != 0").join(F.broadcast(target)).select("item_id", F.size(F.array_intersect("t", "t0")).cast("long").alias("overlap"), F.round(T.dice(F.col("t"), F.col("t0")), 6).alias("dice"))
+    target = F.lit(b.where("item_id = 0").agg(F.min("t")).first()[0])  # the tokens of one text
+    out = b.where("item_id != 0").select("item_id", F.size(F.array_intersect("t", target)).cast("long").alias("overlap"), F.round(T.dice(F.col("t"), target), 6).alias("dice"))
     return out.orderBy(F.desc("overlap"), "item_id").limit(8)
 
 
