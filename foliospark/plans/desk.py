@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
-from foliospark.operators import extraction, jobs
+from foliospark.operators import extraction, hits, jobs
+from foliospark.plans.corpus import MEMBERS
 from foliospark.plans.documents import RUNS, STAGES, history
+from foliospark.plans.literature import PUBLISHED, loose
 from foliospark.plans.oracle import WORKS
 from foliospark.plans.session import checkpoint_dir
 from foliospark.sources import entities as E
@@ -105,6 +107,33 @@ def q_stage_rollup(s, d):
     return jobs.rollup(planned(s, d)[0])
 
 
+def found(s, d):
+    """Hits of a search, from orders: some are works by DOI or title, some are new, some are nothing."""
+    p, o = E.published(s, d), E.table(s, d, "orders")
+    n = E.table(s, d, "part").agg(F.max("p_partkey") + 1).first()[0]
+    i = F.col("o_orderkey")
+    x = o.select(i.alias("hit_id"), (i * 7919 % (n * 2)).alias("work_id"), (i % 6).alias("how")).join(p, "work_id", "left")
+    how = F.col("how")
+    doi = F.when(how == 0, F.upper("doi")).when(how == 1, F.concat(F.lit("https://doi.org/10.1101/"), (F.col("work_id") % 50).cast("string")))
+    title = F.when(how == 2, F.upper("title")).when(how == 3, F.concat(F.lit("New title "), (F.col("work_id") % 40).cast("string"))).when(how == 4, F.col("title"))
+    return x.select("hit_id", title.alias("title"), doi.alias("doi"), F.when(how != 4, 2001).alias("year"), F.when(how == 4, "Elsewhere").alias("venue"), F.concat(F.lit("Abstract "), F.col("hit_id").cast("string")).alias("abstract"))
+
+
+def known(s, d):
+    return E.published(s, d).select("work_id", "title", "doi", "year", "venue", F.lit(None).cast("string").alias("abstract"))
+
+
+def q_hits_resolved(s, d):
+    members = E.memberships(s, d).where("project_id = 3")
+    out = hits.in_project(found(s, d), known(s, d), members)
+    return out.select("hit_id", "work_id", "member", hits.is_preprint(F.col("doi")).alias("preprint"))
+
+
+def q_works_upserted(s, d):
+    checkpoint_dir(s)
+    return hits.upserted(known(s, d), found(s, d)).select("work_id", "title", "doi", "year", "venue", "abstract")
+
+
 DESK = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 VIEW = f"""{WORKS}, fa AS (SELECT *, o_orderkey AS fact_id, CASE WHEN o_orderkey % 5 <> 4 THEN o_orderkey % 5 END AS ff, CASE o_orderkey % 5 WHEN 0 THEN 'not detected' WHEN 1 THEN 'about 12 units' WHEN 2 THEN 'N 95' WHEN 3 THEN 'some text' END AS words FROM orders),
@@ -120,7 +149,15 @@ jo0 AS (SELECT work_id, n, stage, (work_id * 13 + n * 7) % 19 AS h FROM works, s
 dp AS MATERIALIZED (SELECT x.job_id, y.job_id AS on_id, y.status AS on_status FROM jo x JOIN wt ON a = x.n JOIN jo y ON y.work_id = x.work_id AND y.n = b)"""
 CELL = "CASE WHEN regexp_matches({0}, '[\",\\r\\n]|^\\s|\\s$') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE coalesce({0}, '') END"
 VT = "(CASE WHEN fact_id % 3 = 0 THEN value_text || ' ' ELSE value_text END)"
+HITS = f"""{PUBLISHED}, h0 AS (SELECT o_orderkey AS hit_id, o_orderkey * 7919 % (2 * (SELECT max(p_partkey) + 1 FROM part)) AS w, o_orderkey % 6 AS how FROM orders),
+h AS MATERIALIZED (SELECT hit_id, CASE how WHEN 2 THEN upper(title) WHEN 3 THEN 'New title ' || (work_id % 40) WHEN 4 THEN title END AS title, CASE how WHEN 0 THEN upper(doi) WHEN 1 THEN 'https://doi.org/10.1101/' || (w % 50) END AS doi, CASE WHEN how <> 4 THEN 2001 END AS year, CASE WHEN how = 4 THEN 'Elsewhere' END AS venue, 'Abstract ' || hit_id AS abstract FROM (SELECT h0.*, pub.*, h0.w AS work_id FROM h0 LEFT JOIN (SELECT * EXCLUDE (work_id), work_id AS pw FROM pub) pub ON pw = w)),
+hk AS (SELECT *, lower(regexp_replace(doi, '^https://doi.org/', '')) AS dk, {loose('title')} AS tk FROM h), wt AS (SELECT {loose('title')} AS tk, min(work_id) AS work_id, arg_min(coalesce(doi, ''), work_id) AS d FROM pub GROUP BY 1),
+hr AS MATERIALIZED (SELECT hk.*, coalesce(pub.work_id, CASE WHEN NOT coalesce(dk <> nullif(wt.d, ''), false) THEN wt.work_id END) AS of FROM hk LEFT JOIN pub ON pub.doi = dk LEFT JOIN wt USING (tk))"""
 DESK_ORACLE = {
+    "hits_resolved": f"WITH {HITS}, {MEMBERS} SELECT hit_id, of AS work_id, coalesce(of IN (SELECT work_id FROM mb WHERE project_id = 3), false) AS member, coalesce(dk LIKE '10.1101/%', false) AS preprint FROM hr",
+    "works_upserted": f"""WITH {HITS}, ad AS (SELECT of, min(hit_id) AS hit, arg_min(year, hit_id) FILTER (year IS NOT NULL) AS year, arg_min(venue, hit_id) FILTER (venue IS NOT NULL) AS venue, arg_min(abstract, hit_id) AS abstract, arg_min(doi, hit_id) FILTER (doi IS NOT NULL) AS doi FROM hr WHERE of IS NOT NULL GROUP BY 1),
+nw AS (SELECT coalesce('doi:' || dk, 'title:' || tk) AS k, min(hit_id) AS hit, arg_min(title, hit_id) FILTER (title IS NOT NULL) AS title, arg_min(doi, hit_id) FILTER (doi IS NOT NULL) AS doi, arg_min(year, hit_id) FILTER (year IS NOT NULL) AS year, arg_min(venue, hit_id) FILTER (venue IS NOT NULL) AS venue, arg_min(abstract, hit_id) AS abstract FROM hr WHERE of IS NULL AND (dk IS NOT NULL OR tk IS NOT NULL) GROUP BY 1)
+SELECT work_id, title, coalesce(pub.doi, ad.doi) AS doi, coalesce(pub.year, ad.year) AS year, coalesce(pub.venue, ad.venue) AS venue, abstract FROM pub LEFT JOIN ad ON of = work_id UNION ALL SELECT (SELECT max(work_id) FROM pub) + row_number() OVER (ORDER BY hit), title, doi, year, venue, abstract FROM nw""",
     "record_view": f"WITH {VIEW} SELECT fact_id, measurement_id, work_id, project_id, quantity, value, value_text, field_key, status FROM vw LEFT JOIN fi USING (field_id)",
     "record_status": f"WITH {VIEW} SELECT status, count(*) AS n, count(DISTINCT work_id) AS works FROM vw WHERE project_id IN (0, 3) GROUP BY 1",
     "record_readings": f"WITH {VIEW}, r AS (SELECT *, {READING} AS reading FROM vw WHERE field_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY work_id, field_id, {READING} ORDER BY measurement_id NULLS FIRST, fact_id) = 1), p AS (SELECT work_id, count(DISTINCT reading) AS depth FROM r GROUP BY 1) SELECT work_id, field_id, reading, fact_id, measurement_id, depth, count(*) OVER (PARTITION BY work_id, field_id) = 1 AND depth > 1 AS paper_level FROM r JOIN p USING (work_id)",

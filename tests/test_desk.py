@@ -106,3 +106,18 @@ def test_leases(spark):
     df = spark.createDataFrame(rows, "job_id long, status string, attempts int, lease string, run string").selectExpr("job_id", "status", "attempts", "cast(lease as timestamp) as lease_until", "cast(run as timestamp) as run_after")
     out = {r.job_id: (r.status, str(r.run_after)) for r in jobs.settled(df, "2024-06-01 00:00:00").collect()}
     assert out == {1: ("queued", "2024-06-01 00:01:00"), 2: ("failed", "None"), 3: ("running", "None"), 4: ("queued", "None")}
+
+
+def test_hits(spark):
+    from foliospark.operators import hits
+
+    checkpoint_dir(spark)
+    cols = "title string, doi string, year int, venue string, abstract string"
+    works = spark.createDataFrame([(1, "A Title", "10.1234/a", None, None, None), (2, "Other", None, 1999, "V", None), (3, "a title!", None, None, None, None)], "work_id long, " + cols)
+    rows = [(10, "x", "https://doi.org/10.1234/A", 2001, None, None), (11, "OTHER", None, 2002, "W", "abs"), (12, "A title", "10.1234/b", 2003, None, None), (13, "a title", None, 2004, "late", "late"), (14, None, None, 1, "n", "n"), (15, "New", "10.48550/n", None, None, None), (16, "new", "doi:10.48550/N", 2020, "ar", None), (17, " - ", "", None, None, None)]
+    found = spark.createDataFrame(rows, "hit_id long, " + cols)
+    out = {r.hit_id: (r.work_id, r.member) for r in hits.in_project(found, works, spark.createDataFrame([(2,)], "work_id long")).collect()}
+    assert out == {10: (1, False), 11: (2, True), 12: (None, False), 13: (1, False), 14: (None, False), 15: (None, False), 16: (None, False), 17: (None, False)}
+    new = {r.work_id: (r.title, r.doi, r.year, r.venue, r.abstract) for r in hits.upserted(works, found).collect()}
+    assert new == {1: ("A Title", "10.1234/a", 2001, "late", "late"), 2: ("Other", None, 1999, "V", "abs"), 3: ("a title!", None, None, None, None), 4: ("A title", "10.1234/b", 2003, None, None), 5: ("New", "10.48550/n", 2020, "ar", None)}
+    assert column(spark, hits.is_preprint, "10.1101/2020.1", "https://doi.org/10.48550/arXiv.1", "10.1038/x", None) == [True, True, False, False]
