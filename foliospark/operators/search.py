@@ -81,9 +81,10 @@ def search(works: DataFrame, citations: DataFrame, authors: DataFrame, f: Filter
     hits = with_citations(works, citations).where(predicates(f))
     order = [F.desc("n_citations"), F.desc_nulls_last("year"), F.asc("folded"), F.asc("work_id")]
     page = hits.withColumn("folded", F.translate("title", string.ascii_uppercase, string.ascii_lowercase)).orderBy(*order).offset(offset).limit(max(0, min(limit, SEARCH_LIMIT - offset)))
+    page = page.withColumn("place", F.row_number().over(W.orderBy(*order)))  # a join may lose the order that a sort then takes for given
     own = authors.join(F.broadcast(page.select("work_id")), "work_id")  # at most SEARCH_LIMIT rows
     names = own.groupBy("work_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda x: x["name"]), "; ").alias("authors"))
-    return page.join(names, "work_id", "left").orderBy(*order).select("work_id", "title", "year", "venue", "n_citations", F.substring("abstract", 1, 200).alias("snippet"), F.coalesce("authors", F.lit("")).alias("authors"))
+    return page.join(names, "work_id", "left").orderBy("place").select("work_id", "title", "year", "venue", "n_citations", F.substring("abstract", 1, 200).alias("snippet"), F.coalesce("authors", F.lit("")).alias("authors"))
 
 
 def written_by(authors: DataFrame, needles: tuple[str, ...]) -> DataFrame:
