@@ -26,32 +26,33 @@ def planned(works: DataFrame, stages: list[S.Stage], jobs: DataFrame, runs: Data
     each = works.select("work_id", "project_id").distinct().withColumn("stage", F.explode(F.array(*(F.lit(s.name) for s in stages)))).join(order, "stage").withColumn("job_key", key())
     live = jobs.where(~F.col("status").isin(*ENDED)).select("job_key").distinct()
     held = runs.where(F.col("status").isin(*S.CACHEABLE)).select("work_id", "stage").distinct()
-    return each.join(live, "job_key", "left_anti").join(held, ["work_id", "stage"], "left_anti").select("job_key", "work_id", "project_id", "stage", "idx")
+    return each.join(live.hint("merge"), "job_key", "left_anti").join(held.hint("merge"), ["work_id", "stage"], "left_anti").select("job_key", "work_id", "project_id", "stage", "idx")
 
 
 def dependencies(jobs: DataFrame, stages: list[S.Stage]) -> DataFrame:
     """(job_id, depends_on): a job waits for those of the same work and project whose stages provide what it needs."""
     needs = S.table(jobs.sparkSession, stages).select("stage", F.explode(F.flatten("needs")).alias("before")).distinct()
     mine = jobs.select("job_id", "work_id", "project_id", "stage").join(F.broadcast(needs), "stage")
-    theirs = jobs.select(F.col("job_id").alias("depends_on"), "work_id", "project_id", F.col("stage").alias("before"))
+    # jobs are many for each row that Spark judges their size by, so they aren't broadcast, here and below
+    theirs = jobs.select(F.col("job_id").alias("depends_on"), "work_id", "project_id", F.col("stage").alias("before")).hint("merge")
     return mine.join(theirs, ["work_id", "project_id", "before"]).where("job_id != depends_on").select("job_id", "depends_on").distinct()
 
 
 def blocked(jobs: DataFrame, waits: DataFrame) -> DataFrame:
     """Adds live_blockers and dead_blockers: ids, in order and joined by commas, of what a job waits for and what will never
     let it start."""
-    state = jobs.select(F.col("job_id").alias("depends_on"), "status").where(~F.col("status").isin(*SATISFIED))
+    state = jobs.select(F.col("job_id").alias("depends_on"), "status").where(~F.col("status").isin(*SATISFIED)).hint("merge")
     dead = F.col("status").isin("failed", "cancelled")
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.col("depends_on")))), lambda x: x.cast("string")), ",")
     by = waits.join(state, "depends_on").groupBy("job_id").agg(joined(~dead).alias("live_blockers"), joined(dead).alias("dead_blockers"))
-    return jobs.join(by, "job_id", "left").fillna("", ["live_blockers", "dead_blockers"])
+    return jobs.join(by.hint("merge"), "job_id", "left").fillna("", ["live_blockers", "dead_blockers"])
 
 
 def ready(jobs: DataFrame, waits: DataFrame, stages: list[S.Stage], now: str) -> DataFrame:
     """Adds ``turn`` to the jobs that may start: queued, not cancelled, due, not tried too often, waiting for nothing; by
     priority, the order of stages, and id."""
     order = F.broadcast(S.table(jobs.sparkSession, stages).select("stage", "idx"))
-    open_ = waits.join(jobs.select(F.col("job_id").alias("depends_on"), "status").where(~F.col("status").isin(*SATISFIED)), "depends_on").select("job_id").distinct()
+    open_ = waits.join(jobs.select(F.col("job_id").alias("depends_on"), "status").where(~F.col("status").isin(*SATISFIED)).hint("merge"), "depends_on").select("job_id").distinct().hint("merge")
     due = F.col("run_after").isNull() | (F.col("run_after") <= F.lit(now).cast("timestamp"))
     x = jobs.where((F.col("status") == "queued") & ~F.col("cancel_requested") & due & (F.col("attempts") < ATTEMPTS)).join(open_, "job_id", "left_anti").join(order, "stage")
     return x.withColumn("turn", F.row_number().over(W.partitionBy("project_id").orderBy("priority", "idx", "job_id")))
@@ -68,19 +69,19 @@ def settled(jobs: DataFrame, now: str, wait: int = 60) -> DataFrame:
 def retried(jobs: DataFrame, waits: DataFrame, again: DataFrame) -> DataFrame:
     """Failed or cancelled jobs of ``again`` (job_id) are queued anew, and so are cancelled ones that wait, directly or through
     others, for them. Each round looks only at what the last one brought back."""
-    front = jobs.where(F.col("status").isin("failed", "cancelled")).join(again.select("job_id"), "job_id", "left_semi").select("job_id").distinct().checkpoint()
+    front = jobs.where(F.col("status").isin("failed", "cancelled")).join(again.select("job_id").hint("merge"), "job_id", "left_semi").select("job_id").distinct().checkpoint()
     back = [front]
-    cancelled = jobs.where("status = 'cancelled'").select("job_id")
+    cancelled = jobs.where("status = 'cancelled'").select("job_id").hint("merge")
     while not front.isEmpty():
-        new = waits.join(front.select(F.col("job_id").alias("depends_on")), "depends_on").select("job_id").distinct().join(cancelled, "job_id", "left_semi")
+        new = waits.join(front.select(F.col("job_id").alias("depends_on")).hint("merge"), "depends_on").select("job_id").distinct().join(cancelled, "job_id", "left_semi")
         for seen in back:
-            new = new.join(seen, "job_id", "left_anti")
+            new = new.join(seen.hint("merge"), "job_id", "left_anti")
         front = new.checkpoint()
         back.append(front)
     revived = back[0]
     for x in back[1:]:
         revived = revived.union(x)
-    out = jobs.join(revived.withColumn("hit", F.lit(True)), "job_id", "left")
+    out = jobs.join(revived.withColumn("hit", F.lit(True)).hint("merge"), "job_id", "left")
     return out.withColumns({"status": F.when(F.col("hit"), "queued").otherwise(F.col("status")), "attempts": F.when(F.col("hit"), 0).otherwise(F.col("attempts"))}).drop("hit").select(*jobs.columns)
 
 

@@ -76,7 +76,7 @@ def q_identifiers(s, d):
 def planned(s, d):
     """Jobs of works and stages in all states, and what they wait for."""
     w, n = F.col("work_id"), F.col("n")
-    each = E.works(s, d).select("work_id", F.posexplode(F.array(*(F.lit(x.name) for x in STAGES))).alias("n", "stage")).withColumn("h", (w * 13 + n * 7) % 19)
+    each = E.spread(E.works(s, d), "work_id").select("work_id", F.posexplode(F.array(*(F.lit(x.name) for x in STAGES))).alias("n", "stage")).withColumn("h", (w * 13 + n * 7) % 19)
     status = F.when(F.col("h") < 8, "done").when(F.col("h") < 13, "queued").when(F.col("h") == 13, "running").when(F.col("h") == 14, "failed").when(F.col("h") < 18, "cancelled").otherwise("review")
     all_ = each.select((w * 10 + n).alias("job_id"), "work_id", (w % 5).alias("project_id"), "stage", status.alias("status"), (w % 17 == 0).alias("cancel_requested"), F.when(w % 6 == 0, F.lit("2024-07-01").cast("timestamp")).alias("run_after"), (w % 7).cast("int").alias("attempts"), (w % 3).cast("int").alias("priority"))
     return all_, jobs.dependencies(all_, STAGES)
@@ -85,7 +85,7 @@ def planned(s, d):
 def q_planned_jobs(s, d):
     all_, _ = planned(s, d)
     runs, _, _ = history(s, d)
-    works = E.works(s, d).select("work_id", (F.col("work_id") % 5).alias("project_id"))
+    works = E.spread(E.works(s, d), "work_id").select("work_id", (F.col("work_id") % 5).alias("project_id"))
     return jobs.planned(works, STAGES, all_.withColumn("job_key", jobs.key()), runs.where("not superseded")).groupBy("stage").agg(F.count("*").alias("n"), F.sum("work_id").alias("ids"))
 
 
