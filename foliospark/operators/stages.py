@@ -59,10 +59,11 @@ def stale(works: DataFrame, stages: list[Stage], runs: DataFrame, now: DataFrame
     by = runs.groupBy("work_id").agg(F.collect_set(F.when(F.col("status").isin(*SATISFYING), F.col("stage"))).alias("satisfied"), F.collect_set(F.when(~F.col("status").isin(*CACHEABLE), F.col("stage"))).alias("open"))
     held = jobs.where(F.col("status").isin(*QUEUED)).groupBy("work_id").agg(F.collect_set("stage").alias("held"))
     each = F.array(*(F.lit(s.name) for s in stages))
-    rows = works.select("work_id").distinct().join(by, "work_id").join(held, "work_id", "left").withColumn("stage", F.explode(each)).join(plan, "stage")
+    # runs, jobs and fingerprints are many for each row that Spark judges their size by, so they aren't broadcast, here and below
+    rows = works.select("work_id").distinct().join(by.hint("merge"), "work_id").join(held.hint("merge"), "work_id", "left").withColumn("stage", F.explode(each)).join(plan, "stage")
     rows = rows.where(~F.array_contains("open", F.col("stage")) & ~F.coalesce(F.array_contains("held", F.col("stage")), F.lit(False)))
     made = runs.groupBy("work_id", "stage").agg(F.max("fingerprint").alias("made"), F.lit(True).alias("ran"))
-    both = rows.join(made, ["work_id", "stage"], "left").join(now.select("work_id", "stage", F.col("fingerprint").alias("now")), ["work_id", "stage"], "left")
+    both = rows.join(made.hint("merge"), ["work_id", "stage"], "left").join(now.select("work_id", "stage", F.col("fingerprint").alias("now")).hint("merge"), ["work_id", "stage"], "left")
     ready = F.forall("needs", lambda chain: F.arrays_overlap(chain, F.col("satisfied")))
     is_stale = F.when(F.col("ran").isNull(), ready).otherwise(~F.col("made").eqNullSafe(F.col("now")))
     found = both.where(is_stale).groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("idx", "stage"))).alias("s"))
@@ -88,8 +89,8 @@ def superseded(runs: DataFrame, stages: list[Stage], origins: DataFrame) -> Data
     falls = {s.name: downstream(stages, s.name) for s in stages}
     below = reduce(lambda c, s: c.when(F.col("stage") == s.name, F.array(*map(F.lit, falls[s.name]))), stages[1:], F.when(F.col("stage") == stages[0].name, F.array(*map(F.lit, falls[stages[0].name]))))
     # a stage falls only through an origin that has a current run
-    live = origins.join(runs.where("not superseded").select("work_id", "stage").distinct(), ["work_id", "stage"], "left_semi")
+    live = origins.join(runs.where("not superseded").select("work_id", "stage").distinct().hint("merge"), ["work_id", "stage"], "left_semi")
     hit = live.select("work_id", F.explode(below).alias("stage")).distinct().withColumn("hit", F.lit(True))
-    x = runs.join(hit, ["work_id", "stage"], "left").withColumn("falls", F.col("hit").isNotNull() & ~F.col("superseded"))
+    x = runs.join(hit.hint("merge"), ["work_id", "stage"], "left").withColumn("falls", F.col("hit").isNotNull() & ~F.col("superseded"))
     running: Column = F.col("falls") & (F.col("status") == "running")
     return x.withColumns({"error": F.when(running, F.coalesce("error", F.lit(RETIRED))).otherwise(F.col("error")), "status": F.when(running, "failed").otherwise(F.col("status")), "superseded": F.col("superseded") | F.col("falls")}).drop("hit", "falls")

@@ -79,7 +79,7 @@ def q_vector_coverage(s, d):
 def history(s, d):
     """Runs of stages, what they would be made from now, and jobs in the queue."""
     w, n = F.col("work_id"), F.col("n")
-    each = E.works(s, d).select("work_id", F.posexplode(F.array(*(F.lit(x.name) for x in STAGES))).alias("n", "stage")).withColumn("h", (w * 31 + n * 17) % 23)
+    each = E.spread(E.works(s, d), "work_id").select("work_id", F.posexplode(F.array(*(F.lit(x.name) for x in STAGES))).alias("n", "stage")).withColumn("h", (w * 31 + n * 17) % 23)
     status = F.when(F.col("h") == 3, "failed").when(F.col("h") == 4, "empty").when(F.col("h") == 5, "refused").when(F.col("h") == 6, "running").otherwise("succeeded")
     runs = each.where("h > 2 and work_id % 8 != 0 and n < 2 + work_id % 6").select("work_id", "stage", status.alias("status"), F.concat(F.lit("f"), (w % 5).cast("string")).alias("fingerprint"), (F.col("h") == 7).alias("superseded"), F.lit(None).cast("string").alias("error"))
     now = each.select("work_id", "stage", F.concat(F.lit("f"), F.when((w + n) % 7 == 0, 9).otherwise(w % 5).cast("string")).alias("fingerprint"))
