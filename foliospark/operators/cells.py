@@ -62,7 +62,8 @@ def disagreements(stored: DataFrame, read: DataFrame) -> DataFrame:
     seen = cells.groupBy("doc", "r", "c").agg(best).select("doc", "r", "c", "x.*")
     line = cells.select("doc", "r", F.explode("real").alias("v"), "col", "c").groupBy("doc", "r").agg(F.array_sort(F.collect_list(F.struct("c", "col", "v"))).alias("line"))
     own = key(stored).groupBy("doc", "r", "c").agg(F.first("row").alias("row"), F.first("col").alias("col"), F.collect_list("value").alias("stored"))
-    both = own.join(seen, ["doc", "r", "c"]).join(line, ["doc", "r"], "left")
+    # cells are many for each row that Spark judges their size by, so they aren't broadcast
+    both = own.join(seen.hint("merge"), ["doc", "r", "c"]).join(line.hint("merge"), ["doc", "r"], "left")
     none = F.coalesce("line", F.array().cast("array<struct<c:string,col:string,v:string>>"))
 
     def of_stored(v: Column) -> Column:

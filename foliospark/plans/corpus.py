@@ -78,7 +78,7 @@ def q_citation_roles(s, d):
 
 def readings(s, d):
     """Two columns of each work's subjects, as stored and as read again in seven manners."""
-    p = E.table(s, d, "part").select(F.col("p_partkey").alias("doc"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    p = E.spread(E.table(s, d, "part"), "p_partkey").select(F.col("p_partkey").alias("doc"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
     w, k = F.col("doc"), F.col("k")
     a, b = (10 + w % 90 + k).cast("string"), F.concat((1 + w % 8).cast("string"), F.lit(","), F.lpad((w * 7 % 1000).cast("string"), 3, "0"))
     row = F.concat(F.lit("Row "), k)
