@@ -9,7 +9,7 @@ from foliospark.plans.session import checkpoint_dir
 from tests.test_queries import SF
 
 
-@pytest.mark.parametrize("name", ["blocked_jobs", "ready_jobs", "retried_jobs", "stale_works", "superseded_cascade", "planned_jobs", "cell_disagreements"])
+@pytest.mark.parametrize("name", ["bibliography_references", "callout_gate", "bibliography_entries", "blocked_jobs", "ready_jobs", "cell_disagreements", "retried_jobs", "stale_works", "superseded_cascade", "planned_jobs"])
 def test_only_fixed_tables_are_broadcast(spark, name):
     checkpoint_dir(spark)
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
