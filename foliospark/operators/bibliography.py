@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import bibliographic as B
+from foliospark.plans.session import small_batches
 
 STYLES = ("dot", "bracket", "paren", "bare")
 #: Largest gap in a chain; least chain that makes a list by itself, or cuts a section; least size of a text, a numbered and another entry.
@@ -220,6 +221,7 @@ def entries(docs: DataFrame) -> DataFrame:
 
     Columns: id and text; null and empty texts have none. Offsets are code points of the text.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select("id", "text").join(running_heads(docs), "id", "left")
     kind = dict(docs.dtypes)["id"]
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.plans.session import small_batches
+
 #: Widest range a mark may name; least distinct ordinals, and least share of the printed entries, of a trusted numbering.
 WIDEST, LEAST_ORDINALS, LEAST_SHARE = 40, 5, 0.5
 #: Largest share of a text that a bibliography fences off; beyond it the entries are notes all over the text.
@@ -129,6 +131,7 @@ def scanned(docs: DataFrame, entries: DataFrame) -> DataFrame:
 
     Docs: id, text. Entries: id, ordinal, at, end, as ``bibliography.entries`` gives them.
     """
+    small_batches(docs.sparkSession)
     own = entries.groupBy("id").agg(F.collect_set("ordinal").alias("known"), F.collect_list(F.struct("at", "end")).alias("spans"), F.min("at").alias("a"), F.max("end").alias("b"))
     fits = F.col("b") - F.col("a") <= FENCED * F.length("text")
     rows = docs.select("id", "text").join(own, "id").select("id", "text", "known", F.transform("spans", lambda x: F.array(x["at"], x["end"])).alias("spans"), F.when(fits, F.array("a", "b")).otherwise(F.array(F.lit(-1), F.lit(-1))).alias("fence"))

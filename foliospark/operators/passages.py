@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.operators.callouts import paragraphs_of
+from foliospark.plans.session import small_batches
 
 #: Characters of a token; characters below which a chunk is unsure; of a part of a source, and the most parts.
 TOKEN, UNSURE, PART, PARTS = 4, 120, 120_000, 12
@@ -88,6 +89,7 @@ def budget_of(max_tokens: int, prefix: str = "") -> int:
 
 def rows_of(docs: DataFrame, each: Callable[[str], list[tuple]], columns: str) -> DataFrame:
     """A row for each tuple that ``each`` finds in a document's text, its id first."""
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["id"]
     names = ["id", *(c.split()[0] for c in columns.split(", "))]
 

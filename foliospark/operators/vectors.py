@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from foliospark.plans.session import checkpoint_dir
 
-#: Query vectors compared at once, and held by a task; more are taken in several jobs.
-QUERY_BLOCK, HELD = 4096, 32
+#: Query vectors of a file, and files held by a task, more are taken in several jobs; scores worked out at once.
+QUERY_BLOCK, HELD, SCORES = 4096, 32, 1 << 20
 
 
 def block_files(queries: DataFrame) -> list[str]:
@@ -49,7 +49,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, own: bool = False) -
             for f in some:
                 for i, v in zip(*(c.to_pylist() for c in pq.read_table(SparkFiles.get(f)).columns)):
                     if v is not None and None not in v:
-                        asked.setdefault(len(v), []).append((i, v))
+                        asked.setdefault(len(v), []).append((i, np.array(v, float)))
             sides = {d: (np.array([i for i, _ in x]), np.array([v for _, v in x], float).reshape(len(x), d)) for d, x in asked.items()}
             sides = {d: (i, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)) for d, (i, q) in sides.items()}
             best = {d: (np.zeros((len(i), 0), np.int64), np.zeros((len(i), 0))) for d, (i, _) in sides.items()}
@@ -60,8 +60,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, own: bool = False) -
                     v = np.array([list(v) for _, v in rows if len(v) == d], float).reshape(len(ids), d)
                     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
                     asking, q = sides[d]
-                    for a in range(0, len(asking), QUERY_BLOCK):
-                        part = slice(a, a + QUERY_BLOCK)
+                    some_of = max(1, SCORES // len(ids))
+                    for a in range(0, len(asking), some_of):
+                        part = slice(a, a + some_of)
                         score = np.round(q[part] @ v.T, 6) + 0.0
                         if not own:
                             score[asking[part, None] == ids[None]] = -np.inf

@@ -17,6 +17,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()).rstrip("/")
 
 
+#: Rows of texts, and of vectors, that a Python worker is handed at once.
+BATCH = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds: Spark's 10,000 rows of a batch are many texts, and each makes many rows."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def local(cpus: int = 8, **conf: str) -> SparkSession:
     """A session on this machine, as tests and the benchmark use."""
     b = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", str(cpus)).config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")

@@ -15,3 +15,28 @@ def test_only_fixed_tables_are_broadcast(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     keys = {re.sub(r"#\d+L?", "", k) for k in re.findall(r"BroadcastHashJoin \[(.*?)\]", plan)}
     assert keys <= {"stage"} and "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_batches_of_texts_are_small(spark):
+    from foliospark.operators import bibliography, callouts, passages
+
+    docs = spark.createDataFrame([(1, "a text")], "id long, text string")
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for of in (lambda: passages.chunks(docs, 400), lambda: bibliography.entries(docs), lambda: callouts.scanned(docs, spark.createDataFrame([(1, 1, 0, 1)], "id long, ordinal int, at int, end int"))):
+            spark.conf.set(key, "10000")
+            of()
+            assert int(spark.conf.get(key)) <= 1024
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_nearest_in_small_blocks(spark, monkeypatch):
+    from foliospark.operators import vectors
+
+    checkpoint_dir(spark)
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    run = lambda: sorted(map(tuple, vectors.nearest(e, e.where("vec_id % 10 = 0"), 3).collect()))
+    whole = run()
+    monkeypatch.setattr(vectors, "SCORES", 1)
+    assert whole and run() == whole
