@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,16 +32,22 @@ def is_printed(quote: Column, text: Column, least: int = PROOF) -> Column:
 
 def place_of(text: str | None, quote: str | None) -> tuple[int, int, int] | None:
     """(at, end, times) of the first place where the letters and digits of a quotation stand in a row."""
-    keep = lambda s: [(c, i) for i, ch in enumerate(s or "") for c in ch.lower() if c.isalpha() or c.isdecimal()]
-    held, want = keep(text), "".join(c for c, _ in keep(quote))
-    line = "".join(c for c, _ in held)
+    if not text or not quote:
+        return None
+    keep = lambda s: [(c, i) for i, ch in enumerate(s) for c in ch.lower() if c.isalpha() or c.isdecimal()]
+    if text.isascii():  # each character is one in lower case
+        line, held = re.sub("[^a-z0-9]+", "", text.lower()), [m.start() for m in re.finditer("[A-Za-z0-9]", text)]
+    else:
+        pairs = keep(text)
+        line, held = "".join(c for c, _ in pairs), [i for _, i in pairs]
+    want = "".join(c for c, _ in keep(quote)) if not quote.isascii() else re.sub("[^a-z0-9]+", "", quote.lower())
     at = line.find(want) if want else -1
     if at < 0:
         return None
     times, then = 1, line.find(want, at + 1)
     while then >= 0:
         times, then = times + 1, line.find(want, then + 1)
-    return held[at][1], held[at + len(want) - 1][1] + 1, times
+    return held[at], held[at + len(want) - 1] + 1, times
 
 
 @F.pandas_udf(PLACE)
@@ -57,28 +65,28 @@ def located(quotes: DataFrame, paragraphs: DataFrame) -> DataFrame:
     than once where it was looked for is ambiguous. Claims that name no paragraph find nothing.
     """
     q = quotes.select("quote_id", "id", "claimed", "quote", canon(F.col("quote")).alias("cq")).where("cq != ''")
-    p = paragraphs.select("id", "idx", "text", "at", canon(F.col("text")).alias("cp"))
-    times = lambda text, needle: F.regexp_count(text, F.concat(F.lit("(?="), needle, F.lit(")")))  # noqa: E731  overlaps count
-    named = q.where("claimed is not null").select("quote_id", "id", "quote", "cq", F.posexplode("claimed").alias("pos", "idx")).join(p, ["id", "idx"])
-    rows = F.array_sort(F.collect_list(F.struct("pos", "idx", "cp"))).alias("rows")
-    own = named.groupBy("quote_id", "id", "quote", "cq").agg(rows).withColumn("joined", F.array_join(F.transform("rows", lambda r: r["cp"]), ""))
+    # a document meets its quotations as one row, so its paragraphs are shuffled once and not for each of them
+    docs = paragraphs.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("idx", "at", "text"))).alias("rows"))
+    docs = docs.select("id", F.transform("rows", lambda r: F.struct(r["idx"], r["at"], r["text"], canon(r["text"]).alias("cp"))).alias("rows"))
+    joined = lambda rows: F.array_join(F.transform(rows, lambda r: r["cp"]), "")
+    again = lambda text: F.call_function("locate", F.col("cq"), text, F.instr(text, F.col("cq")) + 1) > 0  # noqa: E731  overlaps count
+    holding = lambda rows: F.filter(rows, lambda r: F.contains(r["cp"], F.col("cq")))
+    x = q.join(docs.hint("merge"), "id").withColumn("own", F.flatten(F.transform("claimed", lambda i: F.filter("rows", lambda r: r["idx"] == i))))
+    x = x.where("claimed is null or size(own) > 0").withColumn("joined", joined(F.col("own")))
     words = F.filter(F.transform(F.split("quote", r"[\s;,()\[\]]+"), lambda w: canon(w)), lambda w: w != "")
     whole = F.contains("joined", F.col("cq"))
-    own = own.withColumn("match", F.when(whole, "contiguous").when(F.forall(words, lambda w: F.contains(F.col("joined"), w)), "stitched"))
-    holder = F.get(F.filter("rows", lambda r: F.contains(r["cp"], F.col("cq"))), F.lit(0))["idx"]
-    found = own.where("match is not null").select("quote_id", "id", "cq", F.coalesce(holder, F.get("rows", F.lit(0))["idx"]).alias("paragraph"), F.when(holder.isNull(), "stitched").otherwise(F.col("match")).alias("match"), F.when(whole, times(F.col("joined"), F.col("cq")) > 1).otherwise(False).alias("ambiguous"))
-    free = own.where("match is null").select("quote_id", "id", "quote", "cq", F.lit(True).alias("was_claimed")).unionByName(q.where("claimed is null").select("quote_id", "id", "quote", "cq", F.lit(False).alias("was_claimed")))
+    x = x.withColumn("match", F.when(whole, "contiguous").when(F.forall(words, lambda w: F.contains(F.col("joined"), w)), "stitched"))
+    x = x.withColumn("holders", holding(F.when(F.col("match").isNull(), F.col("rows")).otherwise(F.col("own"))))
+    first, free = F.get("holders", F.lit(0)), F.col("claimed").isNull()
     pieces = F.filter(F.transform(F.split("quote", r"\.{3}|…"), lambda w: canon(w)), lambda w: F.length(w) >= PIECE)
-    free = free.withColumn("pieces", pieces)
-    met = free.join(p, "id")
-    in_order = (F.size("pieces") > 1) & F.rlike(F.col("cp"), F.array_join("pieces", ".*"))
-    met = met.withColumns({"has": F.contains("cp", F.col("cq")), "ordered": in_order})
-    by = met.groupBy("quote_id", "id", "cq", "was_claimed").agg(F.min(F.when(F.col("has"), F.col("idx"))).alias("first"), F.count_if("has").alias("holders"), F.min_by(F.when(F.col("has"), times(F.col("cp"), F.col("cq"))), F.when(F.col("has"), F.col("idx"))).alias("there"), F.min(F.when(F.col("ordered"), F.col("idx"))).alias("ordered"), F.array_sort(F.collect_list(F.struct("idx", F.length("cp").alias("n")))).alias("lengths"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "cp"))), lambda r: r["cp"]), "").alias("all"))
-    spot = F.instr("all", F.col("cq")) - 1
-    before = F.transform("lengths", lambda r, i: F.aggregate(F.slice("lengths", 1, i), F.lit(0), lambda n, y: n + y["n"]))
-    owner = F.get("lengths", F.size(F.filter(before, lambda b: b <= spot)) - 1)["idx"]
-    across = F.when(~F.col("was_claimed") & (spot >= 0), owner)
-    rest = by.select("quote_id", "id", "cq", F.coalesce("first", F.when(~F.col("was_claimed"), F.col("ordered")), across).alias("paragraph"), F.when(F.col("first").isNotNull(), "contiguous").otherwise("stitched").alias("match"), F.coalesce(F.col("was_claimed") & ((F.col("holders") > 1) | (F.col("there") > 1)), F.lit(False)).alias("ambiguous")).where("paragraph is not null")
-    both = found.unionByName(rest).join(p.select("id", F.col("idx").alias("paragraph"), "text", F.col("at").alias("base")), ["id", "paragraph"])
-    both = both.withColumn("place", places(F.when(F.col("match") == "contiguous", F.col("text")), F.col("cq")))
-    return both.select("quote_id", "paragraph", "match", "ambiguous", (F.col("base") + F.col("place.at")).alias("at"), (F.col("base") + F.col("place.end")).alias("end"))
+    x = x.withColumn("pieces", F.when(free & first.isNull(), pieces))
+    ordered = F.when(F.size("pieces") > 1, F.get(F.filter("rows", lambda r: F.rlike(r["cp"], F.array_join("pieces", ".*"))), F.lit(0)))
+    x = x.withColumn("ordered", ordered)
+    x = x.withColumn("spot", F.when(free & first.isNull() & F.col("ordered").isNull(), F.instr(joined(F.col("rows")), F.col("cq")) - 1))
+    before = F.transform("rows", lambda r, i: F.aggregate(F.slice("rows", 1, i), F.lit(0), lambda n, y: n + F.length(y["cp"])))
+    across = F.when(F.col("spot") >= 0, F.get("rows", F.size(F.filter(before, lambda b: b <= F.col("spot"))) - 1))
+    many = F.when(F.col("match") == "contiguous", again(F.col("joined"))).when(F.col("match").isNull() & ~free, (F.size("holders") > 1) | again(first["cp"]))
+    at = F.coalesce(first, F.when(F.col("match").isNotNull(), F.get("own", F.lit(0))), F.col("ordered"), across)
+    both = x.select("quote_id", "cq", at.alias("x"), F.when(first.isNotNull() & (F.coalesce("match", F.lit("contiguous")) == "contiguous"), "contiguous").otherwise("stitched").alias("match"), F.coalesce(many, F.lit(False)).alias("ambiguous")).where("x is not null")
+    both = both.withColumn("place", places(F.when(F.col("match") == "contiguous", F.col("x.text")), F.col("cq")))
+    return both.select("quote_id", F.col("x.idx").alias("paragraph"), "match", "ambiguous", (F.col("x.at") + F.col("place.at")).alias("at"), (F.col("x.at") + F.col("place.end")).alias("end"))

@@ -34,7 +34,8 @@ def q_paper_sections(s, d):
 
 def quotations(s, d):
     """A quotation from each paragraph of the papers, in six manners of being claimed and copied."""
-    p = passages.paragraphs(E.papers(s, d))
+    checkpoint_dir(s)
+    p = passages.paragraphs(E.papers(s, d)).select("id", "idx", "at", "text").checkpoint()
     after = p.select("id", (F.col("idx") - 1).alias("idx"), F.col("text").alias("after"))
     i, t, how = F.col("idx"), F.col("text"), F.col("idx") % 6
     tail = lambda n: F.substring(t, F.length(t) - n + 1, F.lit(n))
