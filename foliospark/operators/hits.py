@@ -29,7 +29,11 @@ def resolved(hits: DataFrame, works: DataFrame) -> DataFrame:
     own = keyed(works.select("work_id", "doi", "title"))
     by_doi = own.where("doi_key is not null").groupBy("doi_key").agg(F.min("work_id").alias("of_doi"))
     by_title = own.where("title_key is not null").groupBy("title_key").agg(F.min(F.struct("work_id", F.col("doi_key").alias("d"))).alias("t"))
-    x = keyed(hits).join(by_doi, "doi_key", "left").join(by_title, "title_key", "left")
+    x = keyed(hits).withColumn("row__", F.xxhash64(*hits.columns))
+    for own_key, of in (("doi_key", by_doi), ("title_key", by_title)):
+        # hits without a key find nothing, and are dealt by what else they are: one task would get them all
+        part = F.when(F.col(own_key).isNull(), F.col("row__")).otherwise(0)
+        x = x.withColumn("part__", part).join(of.withColumn("part__", F.lit(0).cast("long")).hint("merge"), [own_key, "part__"], "left")
     other = F.coalesce(F.col("doi_key") != F.col("t.d"), F.lit(False))
     return x.withColumn("work_id", F.coalesce("of_doi", F.when(~other, F.col("t.work_id")))).select(*[c for c in hits.columns if c != "work_id"], "doi_key", "title_key", "work_id")
 
@@ -48,11 +52,12 @@ def upserted(works: DataFrame, hits: DataFrame) -> DataFrame:
     works: work_id and FILLED; hits: hit_id and FILLED.
     """
     first = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("hit_id"))).alias(c)
-    x = resolved(hits, works)
-    adds = x.where("work_id is not null").groupBy("work_id").agg(*(first(c).alias(f"new_{c}") for c in FILLED))
-    old = works.join(adds, "work_id", "left").select("work_id", *(F.coalesce(c, f"new_{c}").alias(c) for c in FILLED))
-    key = F.coalesce(F.concat(F.lit("doi:"), "doi_key"), F.concat(F.lit("title:"), "title_key"))
-    fresh = x.where("work_id is null").withColumn("key", key).where("key is not null").groupBy("key").agg(F.min("hit_id").alias("hit_id"), *(first(c) for c in FILLED))
+    key = F.when(F.col("work_id").isNull(), F.coalesce(F.concat(F.lit("doi:"), "doi_key"), F.concat(F.lit("title:"), "title_key")))
+    # what is known and what is new come from one pass over the hits
+    by = resolved(hits, works).withColumn("key", key).where("work_id is not null or key is not null").groupBy("work_id", "key").agg(F.min("hit_id").alias("hit_id"), *(first(c) for c in FILLED)).checkpoint()
+    adds = by.where("work_id is not null").select("work_id", *(F.col(c).alias(f"new_{c}") for c in FILLED))
+    old = works.join(adds.hint("merge"), "work_id", "left").select("work_id", *(F.coalesce(c, f"new_{c}").alias(c) for c in FILLED))
+    fresh = by.where("work_id is null").drop("work_id", "key")
     top = works.agg(F.coalesce(F.max("work_id"), F.lit(0))).first()[0]
     new = numbered(fresh.withColumn("g", F.lit(0)), ["g"], ["hit_id"], "n").select((F.col("n") + top).alias("work_id"), *FILLED)
     return old.unionByName(new)

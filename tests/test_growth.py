@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from foliospark.plans.session import checkpoint_dir
@@ -40,3 +41,30 @@ def test_nearest_in_small_blocks(spark, monkeypatch):
     whole = run()
     monkeypatch.setattr(vectors, "SCORES", 1)
     assert whole and run() == whole
+
+
+def held_apart(spark, made):
+    """Partitions that hold rows, as the plan deals them, without what Spark joins as it runs."""
+    key = "spark.sql.adaptive.enabled"
+    spark.conf.set(key, "false")
+    try:
+        return made().select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.set(key, "true")
+
+
+def test_hits_without_a_key_are_dealt_out(spark):
+    from foliospark.operators import hits
+
+    own = spark.createDataFrame([(1, "10.1/a", "A title")], "work_id long, doi string, title string")
+    found = spark.range(1000).select(F.col("id").alias("hit_id"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("title"))
+    assert held_apart(spark, lambda: hits.resolved(found, own)) > 1
+
+
+def test_paragraphs_meet_quotations_by_document(spark):
+    from foliospark.operators import quotes
+
+    q = spark.createDataFrame([(1, 1, None, "a quotation that is long enough")], "quote_id long, id long, claimed array<int>, quote string")
+    p = spark.createDataFrame([(1, 0, "A quotation that is long enough, and more", 7)], "id long, idx int, text string, at int")
+    plan = quotes.located(q, p)._jdf.queryExecution().sparkPlan().toString()
+    assert len(re.findall("(?:Join|CartesianProduct)", plan)) == 1
