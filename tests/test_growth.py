@@ -68,3 +68,10 @@ def test_paragraphs_meet_quotations_by_document(spark):
     p = spark.createDataFrame([(1, 0, "A quotation that is long enough, and more", 7)], "id long, idx int, text string, at int")
     plan = quotes.located(q, p)._jdf.queryExecution().sparkPlan().toString()
     assert len(re.findall("(?:Join|CartesianProduct)", plan)) == 1
+
+
+def test_rows_that_become_many_are_dealt_by_their_number(spark):
+    from foliospark.sources import entities
+
+    few, many = (entities.spread(spark.range(n), "id").rdd.getNumPartitions() for n in (10, 40 * 20_000))
+    assert many >= 40 > few
