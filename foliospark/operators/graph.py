@@ -29,11 +29,13 @@ def cited_by(citations: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
-    """(node, hops) of all nodes that the start nodes reach; each round visits new nodes only and is checkpointed.
+    """(node, hops) of all nodes that the start nodes reach; each round visits new nodes only and is checkpointed, and so are
+    the edges, which are made once.
 
     Nodes farther than ``most`` hops, if it is given, are an error and not left out.
     """
     front = start.select("node", F.lit(0).alias("hops")).distinct().checkpoint()
+    edges = edges.select("citing", "cited").where("citing != cited").checkpoint()
     fronts = [front]
     for hop in count(1):
         new = front.join(edges, front.node == edges.citing).select(F.col("cited").alias("node")).distinct()
