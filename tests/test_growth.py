@@ -75,3 +75,30 @@ def test_rows_that_become_many_are_dealt_by_their_number(spark):
 
     few, many = (entities.spread(spark.range(n), "id").rdd.getNumPartitions() for n in (10, 40 * 20_000))
     assert many >= 40 > few
+
+
+def test_reachable_makes_its_edges_once(spark, tmp_path):
+    from foliospark.operators import graph
+
+    checkpoint_dir(spark)
+    log = str(tmp_path / "made")
+
+    def run(it):
+        with open(log, "a") as f:
+            f.write("x")
+        yield from it
+
+    edges = spark.range(5, numPartitions=1).selectExpr("id as citing", "id + 1 as cited").mapInPandas(run, "citing long, cited long")
+    assert graph.reachable(edges, spark.createDataFrame([(0,)], "node long")).count() == 6
+    assert open(log).read() == "x"
+
+
+def test_plain_texts_are_spared_the_table_of_marks(spark, monkeypatch):
+    from foliospark.functions import bibliographic as B
+
+    texts = ["Effi cient e ffi cient", "a ` b`", "caf´ e", "naïve “x” – y", "", None, "plain of\nlines", "ﬁ ´"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = [r[0] for r in df.select(B.fold_text(F.col("t"))).collect()]
+    assert whole[:2] == ["Effi cient efficient", "ab"] and whole[3:6] == ['naive "x" - y', "", None]
+    monkeypatch.setattr(B, "compatible", lambda: ("a", "b"))
+    assert spark.createDataFrame([("banana",)], "t string").select(B.fold_text(F.col("t"))).first()[0] == "banana"
