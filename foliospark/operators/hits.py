@@ -31,7 +31,7 @@ def resolved(hits: DataFrame, works: DataFrame) -> DataFrame:
     by_title = own.where("title_key is not null").groupBy("title_key").agg(F.min(F.struct("work_id", F.col("doi_key").alias("d"))).alias("t"))
     x = keyed(hits).withColumn("row__", F.xxhash64(*hits.columns))
     for own_key, of in (("doi_key", by_doi), ("title_key", by_title)):
-        # hits without a key find nothing, and are dealt by what else they are: one task would get them all
+        # meant to deal out hits without a key; where Spark drops the constant from the join's keys, one task still gets them
         part = F.when(F.col(own_key).isNull(), F.col("row__")).otherwise(0)
         x = x.withColumn("part__", part).join(of.withColumn("part__", F.lit(0).cast("long")).hint("merge"), [own_key, "part__"], "left")
     other = F.coalesce(F.col("doi_key") != F.col("t.d"), F.lit(False))
