@@ -88,9 +88,11 @@ def superseded(runs: DataFrame, stages: list[Stage], origins: DataFrame) -> Data
     and error. A running one fails; runs that are superseded already stay as they are."""
     falls = {s.name: downstream(stages, s.name) for s in stages}
     below = reduce(lambda c, s: c.when(F.col("stage") == s.name, F.array(*map(F.lit, falls[s.name]))), stages[1:], F.when(F.col("stage") == stages[0].name, F.array(*map(F.lit, falls[stages[0].name]))))
-    # a stage falls only through an origin that has a current run
-    live = origins.join(runs.where("not superseded").select("work_id", "stage").distinct().hint("merge"), ["work_id", "stage"], "left_semi")
-    hit = live.select("work_id", F.explode(below).alias("stage")).distinct().withColumn("hit", F.lit(True))
-    x = runs.join(hit.hint("merge"), ["work_id", "stage"], "left").withColumn("falls", F.col("hit").isNotNull() & ~F.col("superseded"))
+    # a stage falls only through an origin that has a current run; all meet by work, as their stages are a handful, so that
+    # rows which are dealt out by work already stay where they are
+    current = runs.where("not superseded").groupBy("work_id").agg(F.collect_set("stage").alias("current"))
+    live = origins.join(current.hint("merge"), "work_id").where(F.array_contains("current", F.col("stage")))
+    hit = live.groupBy("work_id").agg(F.flatten(F.collect_set(below)).alias("hit"))
+    x = runs.join(hit.hint("merge"), "work_id", "left").withColumn("falls", F.coalesce(F.array_contains("hit", F.col("stage")), F.lit(False)) & ~F.col("superseded"))
     running: Column = F.col("falls") & (F.col("status") == "running")
     return x.withColumns({"error": F.when(running, F.coalesce("error", F.lit(RETIRED))).otherwise(F.col("error")), "status": F.when(running, "failed").otherwise(F.col("status")), "superseded": F.col("superseded") | F.col("falls")}).drop("hit", "falls")

@@ -95,7 +95,7 @@ def q_stale_works(s, d):
 
 def q_superseded_cascade(s, d):
     runs, _, _ = history(s, d)
-    origins = E.works(s, d).select("work_id", F.when(F.col("work_id") % 3 == 0, "parse").when(F.col("work_id") % 3 == 1, "clean").otherwise("segment").alias("stage"))
+    origins = E.spread(E.works(s, d), "work_id").select("work_id", F.when(F.col("work_id") % 3 == 0, "parse").when(F.col("work_id") % 3 == 1, "clean").otherwise("segment").alias("stage"))
     return stages.superseded(runs, STAGES, origins).groupBy("stage", "status", "superseded").agg(F.count("*").alias("n"), F.count("error").alias("errors"))
 
 

@@ -102,3 +102,19 @@ def test_plain_texts_are_spared_the_table_of_marks(spark, monkeypatch):
     assert whole[:2] == ["Effi cient efficient", "ab"] and whole[3:6] == ['naive "x" - y', "", None]
     monkeypatch.setattr(B, "compatible", lambda: ("a", "b"))
     assert spark.createDataFrame([("banana",)], "t string").select(B.fold_text(F.col("t"))).first()[0] == "banana"
+
+
+def shuffles(df):
+    """The kinds of the shuffles in a plan."""
+    return re.findall(r"Exchange .*?, (\w+), \[plan_id", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_runs_dealt_out_by_work_stay_where_they_are(spark):
+    from foliospark.operators import stages
+    from foliospark.plans.documents import STAGES
+
+    runs = spark.createDataFrame([(1, "parse", "succeeded", False, None), (1, "clean", "running", False, None), (1, None, "succeeded", False, None), (2, "clean", "succeeded", True, None), (2, "segment", "succeeded", False, None)], "work_id long, stage string, status string, superseded boolean, error string").repartition(3, "work_id")
+    origins = spark.createDataFrame([(1, "parse"), (1, "parse"), (2, "clean"), (3, None)], "work_id long, stage string").repartition(3, "work_id")
+    out = stages.superseded(runs, STAGES, origins)
+    assert sorted(map(tuple, out.select("work_id", F.coalesce("stage", F.lit("")).alias("stage"), "status", "superseded").collect())) == [(1, "", "succeeded", False), (1, "clean", "failed", True), (1, "parse", "succeeded", True), (2, "clean", "succeeded", True), (2, "segment", "succeeded", False)]
+    assert set(shuffles(out)) == {"REPARTITION_BY_NUM"}
