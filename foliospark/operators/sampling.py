@@ -13,8 +13,8 @@ from foliospark.operators.ranking import numbered
 
 #: Fixed values of the generator.
 STEP, BITS32 = 0x6D2B79F5, 0xFFFFFFFF
-#: Swaps worked out at once; a bound on memory.
-CHUNK = 1 << 20
+#: Swaps worked out at once: the first, where most places move, and a bound on memory.
+FIRST, CHUNK = 1 << 12, 1 << 20
 
 
 def times32(a: Column, b: Column) -> Column:
@@ -45,17 +45,20 @@ def first_places(seed: int, n: int, size: int) -> list[int]:
     The swaps are followed backwards from these places: the number of swap i is drawn directly, so no array of n is held.
     """
     at = list(range(min(size, n)))
-    for low in range(1, n, CHUNK):
-        i = np.arange(low, min(n, low + CHUNK))
+    low, step = 1, FIRST
+    while low < n:
+        i = np.arange(low, min(n, low + step))
         j = np.floor(drawn(seed, n - i) * (i + 1)).astype(np.int64)
-        near = np.isin(j, at) | np.isin(i, at)
-        todo = np.flatnonzero(near)
+        todo = np.flatnonzero(np.isin(j, at) | np.isin(i, at))
         while len(todo):
-            k = int(todo[0])
+            k, todo = int(todo[0]), todo[1:]
             a, b = int(i[k]), int(j[k])
-            at = [b if p == a else a if p == b else p for p in at]
-            rest = np.arange(k + 1, len(i))
-            todo = rest[np.isin(j[rest], at) | np.isin(i[rest], at)]
+            if a in at or b in at:
+                at = [b if p == a else a if p == b else p for p in at]
+                # no later swap is of place a or lower, so what moved there is met only where one draws it
+                later = j[k + 1 :]
+                todo = np.union1d(todo, k + 1 + np.flatnonzero((later == a) | (later == b)))
+        low, step = low + step, min(2 * step, CHUNK)
     return at
 
 
@@ -81,6 +84,8 @@ def qc_sample(records: DataFrame, project: str, fact: str, order: list[str]) ->
             out = [(p, place, number + 1, size) for p, n, places, size in zip(pdf[project], pdf.n, pdf.places, pdf["size"]) for place, number in enumerate(first_places(int(p) * 2654435761 + int(n), int(n), int(places)))]
             yield pd.DataFrame(out, columns=[project, "place", "number", "size"])
 
+    # a row a project is little to read and long to work on, so Spark would leave all to one task
+    asked = asked.repartition(records.sparkSession.sparkContext.defaultParallelism)
     picked = asked.mapInPandas(run, f"`{project}` {kind}, place int, number long, size long").join(rows, [project, "number"])
     first = picked.groupBy(project, fact).agg(F.min(F.struct("place", "size", *rest)).alias("x")).select(project, fact, "x.*")
     return numbered(first, [project], ["place"], "at").where("at <= size").select(project, F.col("at").cast("int").alias("place"), fact, *rest)

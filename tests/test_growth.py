@@ -118,3 +118,30 @@ def test_runs_dealt_out_by_work_stay_where_they_are(spark):
     out = stages.superseded(runs, STAGES, origins)
     assert sorted(map(tuple, out.select("work_id", F.coalesce("stage", F.lit("")).alias("stage"), "status", "superseded").collect())) == [(1, "", "succeeded", False), (1, "clean", "failed", True), (1, "parse", "succeeded", True), (2, "clean", "succeeded", True), (2, "segment", "succeeded", False)]
     assert set(shuffles(out)) == {"REPARTITION_BY_NUM"}
+
+
+def test_places_are_followed_in_one_pass(monkeypatch):
+    import numpy as np
+
+    from foliospark.operators import sampling
+
+    n, seed, isin, seen = 1 << 17, 7 * 2654435761, np.isin, []
+    place = np.arange(n)
+    for k, u in enumerate(sampling.drawn(seed, np.arange(1, n)), 1):
+        i = n - k
+        j = int(u * (i + 1))
+        place[i], place[j] = place[j], place[i]
+    monkeypatch.setattr(sampling.np, "isin", lambda a, b: (seen.append(len(a)), isin(a, b))[1])
+    assert sampling.first_places(seed, n, 300) == place[:300].tolist()
+    assert sum(seen) <= 2 * n
+
+
+def test_projects_are_dealt_out_before_their_shuffle(spark, monkeypatch):
+    from foliospark.operators import sampling
+
+    checkpoint_dir(spark)
+    rows, seen = spark.range(100).selectExpr("id % 5 as project_id", "id as fact_id"), []
+    run = type(rows).mapInPandas
+    monkeypatch.setattr(type(rows), "mapInPandas", lambda df, *a: (seen.append(shuffles(df)), run(df, *a))[1])
+    assert sampling.qc_sample(rows, "project_id", "fact_id", ["fact_id"]).count() == 15
+    assert [x[0] for x in seen] == ["REPARTITION_BY_NUM"]
