@@ -145,3 +145,9 @@ def test_projects_are_dealt_out_before_their_shuffle(spark, monkeypatch):
     monkeypatch.setattr(type(rows), "mapInPandas", lambda df, *a: (seen.append(shuffles(df)), run(df, *a))[1])
     assert sampling.qc_sample(rows, "project_id", "fact_id", ["fact_id"]).count() == 15
     assert [x[0] for x in seen] == ["REPARTITION_BY_NUM"]
+
+
+@pytest.mark.parametrize("name", ["reference_scores", "reference_matches"])
+def test_references_and_works_are_not_broadcast(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
