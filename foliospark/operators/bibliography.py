@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,38 +34,47 @@ OPENERS = (rf"{NAME}+,\s*[A-Z]\.", rf"\[\s*{NAME}+[^\]]{{0,60}}\d{{4}}[a-z]?\s*\
 HEADING = r"(?i)[\s\d.]*(?:references?\s+and\s+notes?|references?\s+cited|literature\s+cited|bibliographical\s+references?|references?|bibliography|notes\s+and\s+references)\s*:?\s*$"
 AFTER = r"(?i)\s*(?:supplementary\s+(?:information|material|data|methods|note)s?|appendix(?:\s*[A-Z\d][.:]?)?|appendices|author\s+(?:information|contributions?)|acknowledge?ments?|competing\s+(?:financial\s+)?interests?|about\s+the\s+authors?|methods?|online\s+methods?|experimental\s+(?:section|procedures?)|materials\s+and\s+methods|conflicts?\s+of\s+interest|funding|data\s+availability|abbreviations|summary|conclusions?)\s*:?\s*$"
 AFTER_WITH_TITLE = r"(?:\s*(?i:appendix|appendices|supplementary\s+(?:material|information|note)s?|supplement)\s*[:.]\s*\S|\s*S\s?\d{1,2}\.?\s+[A-Z][A-Za-z])"
-#: Page furniture inside entries.
-FURNITURE = (r"(?i)\bPage\s+\d+\s+of\s+\d+\b", r"(?i)\bView Article Online\b", r"(?i)\bDownloaded by [^.\n]{0,60}on \d{2}/\d{2}/\d{4}[^.\n]{0,20}\.", r"(?:\b\d{1,3}\b[ \t\n]+){6,}\d{1,3}\b")
+#: Page furniture inside entries, with letters that any has, and runs of numbers.
+FURNITURE = ((r"(?i)\bPage\s+\d+\s+of\s+\d+\b", "page"), (r"(?i)\bView Article Online\b", "onl"), (r"(?i)\bDownloaded by [^.\n]{0,60}on \d{2}/\d{2}/\d{4}[^.\n]{0,20}\.", "download"))
+NUMBERS = r"(?:\b\d{1,3}\b[ \t\n]+){6,}\d{1,3}\b"
 #: The year of an entry, initials beside a name, a range of pages, a DOI, and where a citation ends.
 YEAR, INITIALS, PAGES, DOI = r"\b(1[89]\d{2}|20\d{2})\b", r"[A-Z][a-z]+,?\s+[A-Z]\.|[A-Z]\.\s*[A-Z]?\.?\s+[A-Z][a-z]+", r"\b\d{1,4}\s*[–—-]\s*\d{1,4}\b", r"\b10\.\d{4,9}/"
 TAIL = r"(?:\((?:1[89]\d{2}|20\d{2})\)\s*\.?|\b(?:1[89]\d{2}|20\d{2})\s*[.;]|\d{1,4}\s*[–—-]\s*\d{1,4}\s*\.?|\b10\.\d{4,9}/\S+)"
 
+
+#: The patterns that a scan of lines tries, and what any place of one must have, which is sooner seen.
+STARTS, INSIDE = {k: re.compile(p) for k, p in AT_START.items()}, {k: re.compile(p) for k, p in WITHIN.items()}
+ENTRY_INSIDE = re.compile(r"\s(?:\d{1,3}\.?|\[\s*\d{1,3}\s*\]|\(\s*\d{1,3}\s*\))\s+(?=[A-Z])")
+HEADS, CLOSERS, OPENS = re.compile(HEADING), (re.compile(AFTER), re.compile(AFTER_WITH_TITLE)), [re.compile(p) for p in OPENERS]
+SPACED = re.compile(r"[A-Z\s.:\d]+")
+CLOSER_LETTERS, OPENER_LETTERS = frozenset("acdefmosACDEFMOSſ"), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ[")
+
+
 def folded(line: str) -> str:
-    return re.sub("[̀-ͯ]", "", unicodedata.normalize("NFKD", line))
+    return line if line.isascii() else re.sub("[̀-ͯ]", "", unicodedata.normalize("NFKD", line))
 
 
 def marks_of(text: str | None) -> list[tuple]:
     """(at, num, kind, first) of each marker; of headings, with their line's end as num, and of lines that end a list or
     open an entry. ``first``: the marker counts where styles are mixed."""
     out, at = [], 0
-    starts = [(k, re.compile(p)) for k, p in AT_START.items()]
-    inside = [(k, re.compile(p)) for k, p in WITHIN.items()]
-    heading, after, titled = re.compile(HEADING), re.compile(AFTER), re.compile(AFTER_WITH_TITLE)
-    openers = [re.compile(p) for p in OPENERS]
     for line in (text or "").split("\n"):
-        hits = [(k, m) for k, p in starts if (m := p.match(line))]
-        out += [(at, int(m[1]), k, n == 0) for n, (k, m) in enumerate(hits)]
-        for k, p in inside:
-            if all(k != x for x, _ in hits):
-                out += [(at + m.start(), int(m[1]), k, not hits) for m in p.finditer(line) if m.start()]
         bare = line.strip()
-        closed = re.sub(r"\s+", "", bare) if re.fullmatch(r"[A-Z\s.:\d]+", bare) else ""
-        if bare and (heading.match(bare) or len(closed) >= 8 and heading.match(closed)):
+        head = bare[:1]
+        kinds = ("bracket",) if head == "[" else ("paren",) if head == "(" else ("dot", "bare") if head.isdecimal() else ()
+        hits = [(k, m) for k in kinds if (m := STARTS[k].match(line))]
+        out += [(at, int(m[1]), k, n == 0) for n, (k, m) in enumerate(hits)]
+        if ENTRY_INSIDE.search(line):
+            for k, p in INSIDE.items():
+                if all(k != x for x, _ in hits):
+                    out += [(at + m.start(), int(m[1]), k, not hits) for m in p.finditer(line) if m.start()]
+        closed = re.sub(r"\s+", "", bare) if SPACED.fullmatch(bare) else ""
+        if bare and (HEADS.match(bare) or len(closed) >= 8 and HEADS.match(closed)):
             out.append((at, at + len(line) + 1, "heading", False))
-        if bare and (after.match(bare) or titled.match(bare)):
+        if head in CLOSER_LETTERS and any(p.match(bare) for p in CLOSERS):
             out.append((at, 0, "after", False))
         flat = folded(line)
-        if any(p.match(flat) for p in openers):
+        if flat[:1] in OPENER_LETTERS and any(p.match(flat) for p in OPENS):
             out.append((at, 0, "opener", False))
         at += len(line) + 1
     return sorted(out, key=lambda x: x[0])
@@ -134,8 +143,12 @@ def located(text: str, marks: list[tuple]) -> tuple[int, int]:
 
 def cleaned(raw: str, head: str | None) -> str:
     """An entry without running heads and page furniture, cut after its last citation if it has run away."""
-    for pattern in FURNITURE:
-        raw = re.sub(pattern, " ", raw)
+    low = raw.lower()
+    for pattern, sign in FURNITURE:
+        if sign in low:
+            raw = re.sub(pattern, " ", raw)
+    if re.search(r"\d[ \t\n]+\d", raw):
+        raw = re.sub(NUMBERS, " ", raw)
     if head:
         raw = re.sub(r"(?i)\s*\d{0,5}\s*" + r"\s+".join(map(re.escape, head.split())) + r"\s*\d{0,5}", " ", raw)
     raw = re.sub(r"\s+\n", "\n", re.sub(r"[ \t]{2,}", " ", raw)).strip()
@@ -172,7 +185,7 @@ def coverage(rows: list[tuple], size: int) -> float:
 
 def split_of(text: str, head: str | None) -> list[tuple]:
     """(style, ordinal, raw, at, end) of each entry of a document."""
-    if len(re.sub(r"\s", "", text)) < LEAST_TEXT:
+    if sum(map(len, text.split())) < LEAST_TEXT:
         return []
     marks = marks_of(text)
     start, stop = located(text, marks)
@@ -205,15 +218,58 @@ def split_of(text: str, head: str | None) -> list[tuple]:
     return [(style, *r) for r in rows if len(" ".join(r[1].split())) >= least]
 
 
-def running_heads(docs: DataFrame) -> DataFrame:
-    """(id, head): the line that a document repeats most, three times at least; page numbers at its ends don't count."""
-    line = F.trim(F.regexp_replace(F.regexp_replace("line", r"^\s*\d{1,5}\s+", ""), r"\s+\d{1,5}\s*$", ""))
-    lines = docs.select("id", F.explode(F.split("text", "\n")).alias("line")).select("id", line.alias("head"))
-    lines = lines.where(F.length("head").between(12, 90) & F.col("head").rlike("[A-Za-z]") & ~F.col("head").rlike(YEAR))
-    return lines.groupBy("id", "head").agg(F.count("*").alias("n")).where("n >= 3").groupBy("id").agg(F.max_by("head", F.struct("n", "head")).alias("head"))
+def running_head(text: Column) -> Column:
+    """The line that a document repeats most, three times at least; page numbers at its ends don't count."""
+    long = F.filter(F.split(text, "\n"), lambda x: F.length(x) >= 12)
+    lines = F.transform(long, lambda x: F.trim(F.regexp_replace(x, r"^\s*\d{1,5}\s+|\s+\d{1,5}\s*$", "")))
+    fit = F.array_sort(F.filter(lines, lambda x: F.length(x).between(12, 90) & x.rlike("[A-Za-z]") & ~x.rlike(YEAR)))
+    state = lambda last, run, most, head: F.struct(last.alias("last"), run.alias("run"), most.alias("most"), head.alias("head"))
+
+    def step(s: Column, x: Column) -> Column:
+        run = F.when(x == s["last"], s["run"] + 1).otherwise(F.lit(1))
+        return state(x, run, F.greatest(run, s["most"]), F.when(run >= s["most"], x).otherwise(s["head"]))
 
+    # of lines repeated alike the last in order, as they are sorted
+    return F.aggregate(fit, state(F.lit(""), F.lit(0), F.lit(0), F.lit("")), step, lambda s: F.when(s["most"] >= 3, s["head"]))
 
-ENTRY = "id {id}, style string, place int, ordinal int, raw string, at int, end int"
+
+def headed(docs: DataFrame) -> DataFrame:
+    """(id, text, head) of each document; Python workers hold small batches of them."""
+    small_batches(docs.sparkSession)
+    return docs.select("id", "text", running_head(F.col("text")).alias("head"))
+
+
+ENTRY = [("style", pa.string()), ("place", pa.int32()), ("ordinal", pa.int32()), ("raw", pa.string()), ("at", pa.int32()), ("end", pa.int32())]
+
+
+def named(fields: list[tuple]) -> str:
+    """Fields of Arrow types as those of a struct in Spark's notation."""
+    return ", ".join(f"{k}: {'string' if t == pa.string() else 'int'}" for k, t in fields)
+
+
+def of_each(docs: DataFrame, read: Callable[[str, str | None], tuple | None], columns: dict[str, pa.DataType], schema: str) -> DataFrame:
+    """id and what ``read`` finds in the text and running head of each document; it leaves out a document for which it has none."""
+    kind = dict(docs.dtypes)["id"]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            ids, texts, heads = batch.columns
+            found = [(n, row) for n, (text, head) in enumerate(zip(texts.to_pylist(), heads.to_pylist())) if (row := read(text or "", head or None))]
+            made = [pa.array([row[k] for _, row in found], t) for k, t in enumerate(columns.values())]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array([n for n, _ in found], pa.int64())), *made], names=["id", *columns])
+
+    return headed(docs).mapInArrow(run, f"id {kind}, {schema}")
+
+
+def listed(docs: DataFrame) -> DataFrame:
+    """(id, entries): the printed entries of each document that has a bibliography, in one row, as ``entries`` gives them."""
+    names = [k for k, _ in ENTRY]
+
+    def read(text: str, head: str | None) -> tuple | None:
+        own = [dict(zip(names, (style, n, *rest))) for n, (style, *rest) in enumerate(split_of(text, head))]
+        return (own,) if own else None
+
+    return of_each(docs, read, {"entries": pa.list_(pa.struct(ENTRY))}, f"entries array<struct<{named(ENTRY)}>>")
 
 
 def entries(docs: DataFrame) -> DataFrame:
@@ -221,21 +277,11 @@ def entries(docs: DataFrame) -> DataFrame:
 
     Columns: id and text; null and empty texts have none. Offsets are code points of the text.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select("id", "text").join(running_heads(docs), "id", "left")
-    kind = dict(docs.dtypes)["id"]
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = [(i, style, n, *rest) for i, text, head in zip(pdf.id, pdf.text, pdf["head"]) for n, (style, *rest) in enumerate(split_of(text or "", head or None))]
-            yield pd.DataFrame(out, columns=["id", "style", "place", "ordinal", "raw", "at", "end"])
-
-    return rows.mapInPandas(run, ENTRY.format(id=kind))
+    return listed(docs).select("id", F.explode("entries").alias("e")).select("id", "e.*")
 
 
-def body_of(raw: Column) -> Column:
+def body_of(flat: Column) -> Column:
     """An entry on one line, folded, without its marker."""
-    flat = B.unwrapped(B.fold_text(raw))
     return F.regexp_replace(F.regexp_replace(flat, r"^\s*(?:\[\s*\d{1,3}\s*\]|\(\s*\d{1,3}\s*\)|\d{1,3}\.)\s*", ""), r"^\s*\d{1,3}\s+", "")
 
 
@@ -270,11 +316,17 @@ def references(docs: DataFrame) -> DataFrame:
     Parts have the ordinal of their entry and no place in the text. A DOI that several references of a document carry
     is its own, printed on its pages, so none keeps it.
     """
-    rows = entries(docs).withColumn("body", body_of(F.col("raw")))
-    whole = rows.withColumn("part", F.lit(None).cast("string"))
-    parts = rows.select("id", "style", "place", "ordinal", F.explode(lettered(F.col("body"))).alias("p")).select("id", "style", "place", F.col("p.label").alias("part"), "ordinal", F.col("p.text").alias("raw"), F.lit(-1).alias("at"), F.lit(-1).alias("end"), F.col("p.text").alias("body"))
-    both = whole.unionByName(parts)
-    flat = B.unwrapped(B.fold_text(F.col("raw")))
-    both = both.withColumns({"doi": F.get(B.dois_in(flat), F.lit(0)), "year": year_of(F.col("body")), "surnames": F.coalesce(B.surnames_in(authors_of(F.col("body"))), F.array().cast("array<string>"))})
-    own = both.where("doi is not null").groupBy("id", "doi").agg(F.count("*").alias("n")).where("n > 1").select("id", "doi", F.lit(True).alias("own"))
-    return both.join(own, ["id", "doi"], "left").withColumn("doi", F.when(F.col("own").isNull(), F.col("doi"))).select("id", "style", "place", "part", "ordinal", "raw", "at", "end", "doi", "year", "surnames")
+    flat = lambda raw: B.unwrapped(B.fold_text(raw))
+    row = lambda e, part, raw, at, end, flat, body: F.struct(e["style"].alias("style"), e["place"].alias("place"), part.alias("part"), e["ordinal"].alias("ordinal"), raw.alias("raw"), at.alias("at"), end.alias("end"), flat.alias("flat"), body.alias("body"))
+    none = F.lit(-1)
+    # each step is made once in its document's row, which no shuffle parts
+    rows = listed(docs).withColumn("e", F.transform("entries", lambda e: F.struct(*(e[k].alias(k) for k, _ in ENTRY), flat(e["raw"]).alias("flat"))))
+    rows = rows.withColumn("e", F.transform("e", lambda e: row(e, F.lit(None).cast("string"), e["raw"], e["at"], e["end"], e["flat"], body_of(e["flat"]))))
+    parts = lambda e: F.transform(lettered(e["body"]), lambda p: row(e, p["label"], p["text"], none, none, flat(p["text"]), p["text"]))
+    rows = rows.withColumn("e", F.flatten(F.transform("e", lambda e: F.concat(F.array(e), parts(e)))))
+    rows = rows.withColumn("doi", F.transform("e", lambda e: F.get(B.dois_in(e["flat"]), F.lit(0))))
+    rows = rows.withColumn("sorted", F.array_sort(F.filter("doi", lambda x: x.isNotNull())))
+    rows = rows.withColumn("own", F.array_distinct(F.filter("sorted", lambda x, i: (i > 0) & (x == F.get("sorted", i - 1)))))
+    each = rows.select("id", "own", F.explode(F.arrays_zip("e", "doi")).alias("x")).select("id", "x.e.*", F.when(~F.array_contains("own", F.col("x.doi")), F.col("x.doi")).alias("doi"))
+    each = each.withColumns({"year": year_of(F.col("body")), "authors": authors_of(F.col("body"))})
+    return each.select("id", "style", "place", "part", "ordinal", "raw", "at", "end", "doi", "year", F.coalesce(B.surnames_in(F.col("authors")), F.array().cast("array<string>")).alias("surnames"))

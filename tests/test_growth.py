@@ -151,3 +151,23 @@ def test_projects_are_dealt_out_before_their_shuffle(spark, monkeypatch):
 def test_references_and_works_are_not_broadcast(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("of", ["references"])
+def test_texts_are_read_once_where_they_lie(spark, of, tmp_path):
+    from foliospark.operators import bibliography
+
+    log = str(tmp_path / "read")
+    text = "It is known [1] and shown [2, 3], as others [4-400] say. " * 9 + "\n\nReferences\n" + "\n".join(f"[{i}] Smith, J. A work of art {i}. Journal {i}, 1–9 doi:10.1/same (2001).\nA Running Head {i}" for i in range(1, 7))
+
+    def run(it):
+        with open(log, "a") as f:
+            f.write("x")
+        yield from it
+
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string").coalesce(1).mapInPandas(run, "id long, text string")
+    out = {"references": bibliography.references}[of](docs)
+    assert shuffles(out) == []
+    rows = out.collect()
+    assert open(log).read() == "x"
+    assert [(r.ordinal, r.doi, r.year, r.surnames[0]) for r in rows] == [(i, None, 2001, "smith") for i in range(1, 7)] and "Head" not in rows[0].raw
