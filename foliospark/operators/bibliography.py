@@ -45,7 +45,7 @@ TAIL = r"(?:\((?:1[89]\d{2}|20\d{2})\)\s*\.?|\b(?:1[89]\d{2}|20\d{2})\s*[.;]|\d{
 #: The patterns that a scan of lines tries, and what any place of one must have, which is sooner seen.
 STARTS, INSIDE = {k: re.compile(p) for k, p in AT_START.items()}, {k: re.compile(p) for k, p in WITHIN.items()}
 ENTRY_INSIDE = re.compile(r"\s(?:\d{1,3}\.?|\[\s*\d{1,3}\s*\]|\(\s*\d{1,3}\s*\))\s+(?=[A-Z])")
-HEADS, CLOSERS, OPENS = re.compile(HEADING), (re.compile(AFTER), re.compile(AFTER_WITH_TITLE)), [re.compile(p) for p in OPENERS]
+HEADS, CLOSERS, OPENS = re.compile(HEADING), (re.compile(AFTER), re.compile(AFTER_WITH_TITLE)), re.compile("|".join(f"(?:{p})" for p in OPENERS))
 SPACED = re.compile(r"[A-Z\s.:\d]+")
 CLOSER_LETTERS, OPENER_LETTERS = frozenset("acdefmosACDEFMOSſ"), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ[")
 
@@ -60,7 +60,10 @@ def marks_of(text: str | None) -> list[tuple]:
     out, at = [], 0
     for line in (text or "").split("\n"):
         bare = line.strip()
-        head = bare[:1]
+        if not bare:
+            at += len(line) + 1
+            continue
+        head = bare[0]
         kinds = ("bracket",) if head == "[" else ("paren",) if head == "(" else ("dot", "bare") if head.isdecimal() else ()
         hits = [(k, m) for k in kinds if (m := STARTS[k].match(line))]
         out += [(at, int(m[1]), k, n == 0) for n, (k, m) in enumerate(hits)]
@@ -69,12 +72,12 @@ def marks_of(text: str | None) -> list[tuple]:
                 if all(k != x for x, _ in hits):
                     out += [(at + m.start(), int(m[1]), k, not hits) for m in p.finditer(line) if m.start()]
         closed = re.sub(r"\s+", "", bare) if SPACED.fullmatch(bare) else ""
-        if bare and (HEADS.match(bare) or len(closed) >= 8 and HEADS.match(closed)):
+        if HEADS.match(bare) or len(closed) >= 8 and HEADS.match(closed):
             out.append((at, at + len(line) + 1, "heading", False))
-        if head in CLOSER_LETTERS and any(p.match(bare) for p in CLOSERS):
+        if head in CLOSER_LETTERS and (CLOSERS[0].match(bare) or CLOSERS[1].match(bare)):
             out.append((at, 0, "after", False))
         flat = folded(line)
-        if flat[:1] in OPENER_LETTERS and any(p.match(flat) for p in OPENS):
+        if flat[:1] in OPENER_LETTERS and OPENS.match(flat):
             out.append((at, 0, "opener", False))
         at += len(line) + 1
     return sorted(out, key=lambda x: x[0])

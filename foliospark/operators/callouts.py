@@ -7,9 +7,11 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.operators import bibliography
 from foliospark.plans.session import small_batches
 
 #: Widest range a mark may name; least distinct ordinals, and least share of the printed entries, of a trusted numbering.
@@ -26,6 +28,7 @@ NO_LEAD = re.compile(r"(?:\b(?:p\s?H|n|N|eq|ref|fig(?:ure)?|table|scheme|entry|s
 AFFILIATION = re.compile(r"(?:^|[\s,;])\d{1,2}\s+(?:department|division|institute|universit(?:y|à|é|ät)|laborator(?:y|ies)|faculty|school\s+of|centre|center|hospital|academy|college)\b", re.I)
 EQUATION = re.compile(r"\b(?:eqn|eqns|eq|eqs|equation|equations)\b\s*\.?\s*\(?\s*\d", re.I)
 ABBREVIATED = re.compile(r"(?:^|[\s(\[])(?:e\.g|i\.e|cf|vs|fig|figs|eq|eqs|ref|refs|no|nos|approx|ca|et al|al|pp|vol|ed|eds|min|max|sec|wt|mol|conc)\.$", re.I)
+PLACES = re.compile(r"\d\s+[diulfscha]")
 STOP = re.compile(r"[.!?][\"'”’)\]]*\s+(?=\S)")
 DASH = "[-‐-―]"
 
@@ -41,7 +44,9 @@ def expanded(interior: Column) -> Column:
         return F.when((F.size(ends) == 2) & (b >= a) & (b - a <= WIDEST), F.sequence(a, b)).otherwise(single)
 
     lists = F.transform(items, one)
-    return F.when((F.size(items) > 0) & F.forall(lists, lambda x: x.isNotNull()), F.flatten(lists))
+    # most marks name a single number
+    alone = F.when(interior.rlike("^[0-9]{1,9}$"), interior).cast("int")
+    return F.when(alone > 0, F.array(alone)).when((F.size(items) > 0) & F.forall(lists, lambda x: x.isNotNull()), F.flatten(lists))
 
 
 def sentence_starts(text: str) -> list[int]:
@@ -69,8 +74,16 @@ def sentence_at(text: str, starts: list[int], place: int) -> tuple[int, int]:
 
 def healed(text: str) -> str:
     """Lines joined, words broken at a line's end closed up."""
-    text = re.sub(r"([^\W\d_])[-‐\xad]\s*\n\s*([a-zà-öø-ÿ])", r"\1\2", text)
-    return re.sub(r"[ \t]{2,}", " ", re.sub(r"\s*\n\s*", " ", text)).strip()
+    if "\n" in text:
+        text = re.sub(r"\s*\n\s*", " ", re.sub(r"([^\W\d_])[-‐\xad]\s*\n\s*([a-zà-öø-ÿ])", r"\1\2", text))
+    return re.sub(r"[ \t]{2,}", " ", text).strip() if "  " in text or "\t" in text else text.strip()
+
+
+def cites(sentence: str) -> bool:
+    """Whether a sentence is neither an affiliation's nor an equation's."""
+    low = sentence.lower()
+    # in an ASCII text, a number before a letter that begins such a word is sooner seen than the word
+    return not ((not low.isascii() or PLACES.search(low)) and AFFILIATION.search(sentence)) and not ("eq" in low and EQUATION.search(sentence))
 
 
 def paragraphs_of(text: str) -> list[tuple[int, str]]:
@@ -95,18 +108,23 @@ def marks_of(text: str, known: set[int], spans: list[tuple[int, int]], fence: tu
         if fence[0] <= at < fence[1]:
             continue
         found = [(m.start(), m.end(), m[1]) for m in SQUARE.finditer(part)]
-        for m in ROUND.finditer(part):
+        for m in ROUND.finditer(part) if "(" in part else ():
             named = ordinals(m[1])
             if named and all(o in known for o in named) and not NO_LEAD.search(part[: m.start()]):
                 found.append((m.start(), m.end(), m[1]))
-        starts, last = sentence_starts(part), -1
+        if not found:
+            continue
+        starts, last, read = sentence_starts(part), -1, {}
         for a, b, inside in sorted(found, key=lambda x: (x[0], -x[1])):
             i = bisect_right(firsts, at + a) - 1
             if i >= 0 and at + a < merged[i][1]:
                 continue
-            begin, end = sentence_at(part, starts, a)
-            sentence = healed(part[begin:end])
-            if AFFILIATION.search(sentence) or EQUATION.search(sentence) or a < last:
+            around = sentence_at(part, starts, a)
+            if around not in read:
+                sentence = healed(part[slice(*around)])
+                read[around] = sentence if cites(sentence) else None
+            sentence = read[around]
+            if sentence is None or a < last:
                 continue
             last = b
             out.append((n, at + a, at + b, inside, sentence))
@@ -126,23 +144,66 @@ def ordinals(interior: str) -> list[int]:
     return out
 
 
+MARK = [("paragraph", pa.int32()), ("at", pa.int32()), ("end", pa.int32()), ("interior", pa.string()), ("sentence", pa.string())]
+NAMES = [k for k, _ in MARK]
+
+
 def scanned(docs: DataFrame, entries: DataFrame) -> DataFrame:
     """(id, paragraph, at, end, interior, sentence, ordinals) of the marks of each document that has entries.
 
     Docs: id, text. Entries: id, ordinal, at, end, as ``bibliography.entries`` gives them.
     """
     small_batches(docs.sparkSession)
-    own = entries.groupBy("id").agg(F.collect_set("ordinal").alias("known"), F.collect_list(F.struct("at", "end")).alias("spans"), F.min("at").alias("a"), F.max("end").alias("b"))
-    fits = F.col("b") - F.col("a") <= FENCED * F.length("text")
-    rows = docs.select("id", "text").join(own, "id").select("id", "text", "known", F.transform("spans", lambda x: F.array(x["at"], x["end"])).alias("spans"), F.when(fits, F.array("a", "b")).otherwise(F.array(F.lit(-1), F.lit(-1))).alias("fence"))
+    own = entries.groupBy("id").agg(F.collect_list(F.struct("ordinal", "at", "end")).alias("entries"))
+    rows = docs.select("id", "text").join(own, "id").select("id", "text", F.transform("entries", lambda x: F.array(x["ordinal"], x["at"], x["end"])).alias("entries"))
     kind = dict(docs.dtypes)["id"]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out = [(i, *m) for i, text, known, spans, fence in zip(pdf.id, pdf.text, pdf.known, pdf.spans, pdf.fence) for m in marks_of(text, set(known), [tuple(s) for s in spans], tuple(fence))]
-            yield pd.DataFrame(out, columns=["id", "paragraph", "at", "end", "interior", "sentence"])
+            out = [(i, *m) for i, text, own in zip(pdf.id, pdf.text, pdf.entries) for m in marks_among(text, own)]
+            yield pd.DataFrame(out, columns=["id", *NAMES])
+
+    return rows.mapInPandas(run, f"id {kind}, {bibliography.named(MARK).replace(':', '')}").withColumn("ordinals", expanded(F.col("interior")))
+
+
+def marks_among(text: str, entries: list) -> list[tuple]:
+    """The marks of a text whose entries are (ordinal, at, end); these fence off a part of it, unless they are notes all over it."""
+    a, b = min(e[1] for e in entries), max(e[2] for e in entries)
+    fence = (a, b) if b - a <= FENCED * len(text) else (-1, -1)
+    return marks_of(text, {int(e[0]) for e in entries}, [(e[1], e[2]) for e in entries], fence)
+
+
+def read(docs: DataFrame) -> DataFrame:
+    """(id, printed, known, marks) of each document that has entries: how many, their ordinals, and its marks with what they
+    name. Entries and marks are found in one reading of a text, so no text is shuffled or made again."""
+
+    def find(text: str, head: str | None) -> tuple | None:
+        own = [(ordinal, at, end) for _, ordinal, _, at, end in bibliography.split_of(text, head)]
+        return (len(own), sorted({e[0] for e in own}), [dict(zip(NAMES, m)) for m in marks_among(text, own)]) if own else None
+
+    columns = {"printed": pa.int64(), "known": pa.list_(pa.int32()), "marks": pa.list_(pa.struct(MARK))}
+    rows = bibliography.of_each(docs, find, columns, f"printed long, known array<int>, marks array<struct<{bibliography.named(MARK)}>>")
+    return rows.withColumn("marks", F.transform("marks", lambda m: F.struct(*(m[k].alias(k) for k in NAMES), expanded(m["interior"]).alias("ordinals"))))
+
+
+def callouts_of(docs: DataFrame) -> DataFrame:
+    """``callouts`` of documents, from one reading."""
+    each = read(docs).select("id", "known", F.explode("marks").alias("m"))
+    named = F.array_intersect(F.col("m.ordinals"), F.col("known"))
+    return each.select("id", "m.paragraph", "m.at", "m.end", F.explode(named).alias("ordinal"), "m.sentence")
+
+
+def gate_of(docs: DataFrame) -> DataFrame:
+    """``gate`` of documents, from one reading."""
+    rows = read(docs).select("id", "printed", "known", F.transform("marks", lambda m: m["ordinals"]).alias("each"))
+    rows = rows.withColumn("all", F.flatten(F.filter("each", lambda o: o.isNotNull())))
+    dangling = F.size(F.filter("all", lambda o: ~F.array_contains("known", o))).cast("long")
+    out = rows.select("id", "printed", F.size(F.array_intersect("all", "known")).cast("long").alias("distinct_ordinals"), F.size(F.filter("each", lambda o: o.isNull())).cast("long").alias("malformed"), dangling.alias("dangling"))
+    return out.withColumn("accepted", trusted())
+
 
-    return rows.mapInPandas(run, f"id {kind}, paragraph int, at int, end int, interior string, sentence string").withColumn("ordinals", expanded(F.col("interior")))
+def trusted() -> Column:
+    return (F.col("distinct_ordinals") >= LEAST_ORDINALS) & (F.col("distinct_ordinals") >= LEAST_SHARE * F.col("printed"))
 
 
 def callouts(marks: DataFrame, entries: DataFrame) -> DataFrame:
@@ -158,4 +219,4 @@ def gate(marks: DataFrame, entries: DataFrame) -> DataFrame:
     each = marks.join(printed.select("id", "known"), "id").select("id", "known", F.explode_outer("ordinals").alias("o"), F.col("ordinals").isNull().alias("bad"))
     named = each.groupBy("id").agg(F.count_distinct(F.when(F.array_contains("known", F.col("o")), F.col("o"))).alias("distinct_ordinals"), F.count_if("bad").alias("malformed"), F.count_if(F.col("o").isNotNull() & ~F.array_contains("known", F.col("o"))).alias("dangling"))
     out = printed.drop("known").join(named, "id", "left").fillna(0, ["distinct_ordinals", "malformed", "dangling"])
-    return out.withColumn("accepted", (F.col("distinct_ordinals") >= LEAST_ORDINALS) & (F.col("distinct_ordinals") >= LEAST_SHARE * F.col("printed")))
+    return out.withColumn("accepted", trusted())

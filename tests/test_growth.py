@@ -153,9 +153,9 @@ def test_references_and_works_are_not_broadcast(spark, name):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
-@pytest.mark.parametrize("of", ["references"])
+@pytest.mark.parametrize("of", ["references", "callouts", "gate"])
 def test_texts_are_read_once_where_they_lie(spark, of, tmp_path):
-    from foliospark.operators import bibliography
+    from foliospark.operators import bibliography, callouts
 
     log = str(tmp_path / "read")
     text = "It is known [1] and shown [2, 3], as others [4-400] say. " * 9 + "\n\nReferences\n" + "\n".join(f"[{i}] Smith, J. A work of art {i}. Journal {i}, 1–9 doi:10.1/same (2001).\nA Running Head {i}" for i in range(1, 7))
@@ -166,8 +166,25 @@ def test_texts_are_read_once_where_they_lie(spark, of, tmp_path):
         yield from it
 
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string").coalesce(1).mapInPandas(run, "id long, text string")
-    out = {"references": bibliography.references}[of](docs)
+    out = {"references": bibliography.references, "callouts": callouts.callouts_of, "gate": callouts.gate_of}[of](docs)
     assert shuffles(out) == []
     rows = out.collect()
     assert open(log).read() == "x"
-    assert [(r.ordinal, r.doi, r.year, r.surnames[0]) for r in rows] == [(i, None, 2001, "smith") for i in range(1, 7)] and "Head" not in rows[0].raw
+    if of == "references":
+        assert [(r.ordinal, r.doi, r.year, r.surnames[0]) for r in rows] == [(i, None, 2001, "smith") for i in range(1, 7)] and "Head" not in rows[0].raw
+    elif of == "callouts":
+        assert sorted({(r.at, r.ordinal) for r in rows})[:3] == [(12, 1), (26, 2), (26, 3)] and len(rows) == 27
+    else:
+        assert [tuple(r) for r in rows] == [(1, 6, 3, 9, 0, False)]
+
+
+def test_one_reading_gives_what_entries_and_marks_do(spark):
+    from foliospark.operators import bibliography, callouts
+    from foliospark.sources import entities
+
+    docs = entities.papers(spark, SF)
+    entries = bibliography.entries(docs)
+    marks = callouts.scanned(docs, entries)
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
+    assert same(callouts.callouts_of(docs), callouts.callouts(marks, entries))
+    assert same(callouts.gate_of(docs), callouts.gate(marks, entries))
