@@ -188,3 +188,14 @@ def test_one_reading_gives_what_entries_and_marks_do(spark):
     same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
     assert same(callouts.callouts_of(docs), callouts.callouts(marks, entries))
     assert same(callouts.gate_of(docs), callouts.gate(marks, entries))
+
+
+def test_pairs_that_sketches_rule_out_are_no_candidates(spark):
+    from foliospark.operators import matching
+    from tests.test_literature import REF, WORK
+
+    works = [(1, "crystallography alpha beta gamma delta", None, ["longlastname"], 2000, "Journal of Things"), (2, "crystallography kappa lambda sigma omega", None, ["longlastname"], 2000, "Journal of Things"), (3, "of other matters", None, ["longlastname"], 2001, "Annals")]
+    refs = [(9, 1, None, "crystallography alpha beta gamma delta", ["longlastname"], 2000, None, ""), (9, 2, None, None, ["longlastname"], 2000, "J. Things", "Longlastname, A.")]
+    a, b = matching.prepared(spark.createDataFrame(refs, REF), spark.createDataFrame(works, WORK))
+    got = sorted((r.ref_index, r.work_id) for r in matching.candidates(a, b, matching.LEAST).collect())
+    assert got == [(1, 1), (2, 1), (2, 2)]
